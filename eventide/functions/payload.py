@@ -16,35 +16,35 @@ MOTION_KIND = "motion.summary"
 SEGMENT_NAME = r"(?i)_(\d{2})-(\d{2})\.(?:mkv|mp4|avi|mov)$"
 
 
-def field(v: Column, name: str, type_: str = "string") -> Column:
-    return F.try_variant_get(v, f"$.{name}", type_)
+# What ingest reads of a line.  VARIANT keeps "there but null" and the JSON type.
+RECORD = (
+    "struct<type:variant,motion_score:variant,objects:variant,clip:variant,loc_ts:string,source:string,"
+    "ts:string,start_ts:string,end_ts:string,start_utc:string,end_utc:string,created_utc:string,"
+    "t0_ms:bigint,t1_ms:bigint,start_ms:bigint,end_ms:bigint,novelty:string,confidence:double,"
+    "text:string,model:string,wav:string,sr:int,lang:string>"
+)
 
 
-def has_key(v: Column, name: str) -> Column:
-    """Key is there, even when its value is null."""
-    return field(v, name, "variant").isNotNull()
+def text_of(v: Column) -> Column:
+    """A VARIANT's text when it is a JSON string, else NULL."""
+    return F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
 
 
-def text_field(v: Column, name: str) -> Column:
-    """The field when it is a JSON string, else NULL."""
-    raw = field(v, name, "variant")
-    return F.when(F.schema_of_variant(raw) == "STRING", field(v, name))
-
-
-def kind_of(v: Column) -> Column:
+def kind_of(r: Column) -> Column:
+    """Kind of a record: its type, or by the keys it has (a null value counts)."""
     return F.coalesce(
-        text_field(v, "type"),
-        F.when(has_key(v, "motion_score"), "motion").when(has_key(v, "objects"), "objects").otherwise("event"),
+        text_of(r["type"]),
+        F.when(r["motion_score"].isNotNull(), "motion").when(r["objects"].isNotNull(), "objects").otherwise("event"),
     )
 
 
-def source_of(v: Column, default: str) -> Column:
-    return F.coalesce(field(v, "source"), F.lit(default))
+def source_of(r: Column, default: str) -> Column:
+    return F.coalesce(r["source"], F.lit(default))
 
 
-def event_time(v: Column) -> Column:
+def event_time(r: Column) -> Column:
     """First usable of ts, loc_ts, start_utc, start_ts: never the wall clock."""
-    return F.coalesce(*(parse_ts(text_field(v, k)) for k in ("ts", "loc_ts", "start_utc", "start_ts")))
+    return F.coalesce(*(parse_ts(r[k]) for k in ("ts", "loc_ts", "start_utc", "start_ts")))
 
 
 def compact(line: Column) -> Column:
@@ -63,8 +63,7 @@ def event_id(source: Column, kind: Column, clip_id: Column, t0_ms: Column, paylo
 
 def clip_id(path: Column, start: Column, end: Column) -> Column:
     """Content id of a media segment; missing bounds count as empty text."""
-    blank = F.lit("")
-    return F.sha1(F.concat(path, F.lit("|"), F.coalesce(start, blank), F.lit("|"), F.coalesce(end, blank)))
+    return F.sha1(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in (path, start, end))))
 
 
 def segment_path(root: str, camera: Column, ts: Column, ext: str) -> Column:
@@ -97,26 +96,22 @@ def segment_bounds(path: Column) -> tuple[Column, Column]:
 
 
 def media_path(clip: Column, shard_file: Column, clips_dir: str) -> Column:
-    """Absolute path of a line's ``clip`` field; NULL when blank."""
-    c = strip(clip)
-    norm = F.regexp_replace(c, r"\\", "/")
-    shard_dir = F.regexp_replace(shard_file, r"/[^/]*$", "")
-    clips_parent = clips_dir.rstrip("/").rsplit("/", 1)[0]
-    return (
-        F.when(c.isNull() | (c == ""), F.lit(None))
-        .when(norm.startswith("media/"), F.concat_ws("/", shard_dir, norm))
-        .when(norm.startswith("record/"), F.concat(F.lit(clips_parent + "/"), norm))
-        .when(c.startswith("/"), c)
-        .otherwise(F.concat_ws("/", shard_dir, c))
+    """Absolute path of a line's (stripped) ``clip`` text; NULL when blank."""
+    norm = F.regexp_replace(F.nullif(clip, F.lit("")), r"\\", "/")
+    parent = clips_dir.rstrip("/").rsplit("/", 1)[0]
+    base = (
+        F.when(norm.startswith("/"), "")
+        .when(norm.startswith("record/"), f"{parent}/")
+        .otherwise(F.regexp_replace(shard_file, r"[^/]*$", ""))
     )
+    return F.concat(base, norm)
 
 
-def explicit_offsets(v: Column) -> tuple[Column, Column]:
+def explicit_offsets(r: Column) -> tuple[Column, Column]:
     """(t0, t1) given in the line: t0_ms/t1_ms first, then start_ms/end_ms; both or neither."""
-    pairs = [(field(v, a, "bigint"), field(v, b, "bigint")) for a, b in (("t0_ms", "t1_ms"), ("start_ms", "end_ms"))]
-    t0 = F.coalesce(*(F.when(a.isNotNull() & b.isNotNull(), a) for a, b in pairs))
-    t1 = F.coalesce(*(F.when(a.isNotNull() & b.isNotNull(), b) for a, b in pairs))
-    return t0, t1
+    a, b, c, d = r["t0_ms"], r["t1_ms"], r["start_ms"], r["end_ms"]
+    first, second = a.isNotNull() & b.isNotNull(), c.isNotNull() & d.isNotNull()
+    return F.when(first, a).when(second, c), F.when(first, b).when(second, d)
 
 
 def offsets(

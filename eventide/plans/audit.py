@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions import payload as P
+from eventide.functions.times import strip
 from eventide.params import IngestParams
 from eventide.schema import ROLLUP_COLUMNS
 
@@ -44,7 +45,7 @@ def clip_audit(parsed: DataFrame, segments: DataFrame, p: IngestParams, sample:
     lines = parsed.where(F.col("obj").isNotNull())
     if sample:
         lines = lines.orderBy("file", "line_no").limit(sample)
-    clip = P.media_path(P.text_field(F.col("obj"), "clip"), F.regexp_replace("file", "^file:/+", "/"), p.clips_dir)
+    clip = P.media_path(strip(P.text_of(F.col("obj.clip"))), F.regexp_replace("file", "^file:/+", "/"), p.clips_dir)
     known = segments.select(F.col("path").alias("clip_path"), F.lit(1).alias("_known")).distinct()
     return (
         lines.withColumn("clip_path", clip)
@@ -62,7 +63,7 @@ def peek(parsed: DataFrame, p: IngestParams, n: int | None = None) -> DataFrame:
         lines = lines.orderBy("file", "line_no").limit(n)
     v = F.col("obj")
     keys = F.json_object_keys("line")
-    clip = P.media_path(P.text_field(v, "clip"), F.regexp_replace("file", "^file:/+", "/"), p.clips_dir)
+    clip = P.media_path(strip(P.text_of(v["clip"])), F.regexp_replace("file", "^file:/+", "/"), p.clips_dir)
     return lines.select(
         "file", "line_no", P.kind_of(v).alias("kind"),
         F.slice(keys, 1, PEEK_KEYS).alias("keys"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventide import schema
 from eventide.functions import payload as P
-from eventide.functions.times import iso_z, parse_ts
+from eventide.functions.times import iso_z, parse_ts, strip
 from eventide.operators.dedupe import drop_windowed_duplicates
 from eventide.params import IngestParams
 from eventide.session import require_utc
@@ -29,8 +29,8 @@ def normalise(parsed: DataFrame, p: IngestParams, segments: DataFrame) -> DataFr
     its ``clip`` names or, without one, the recording its time falls in.
     """
     v = F.col("obj")
-    ts = parse_ts(P.text_field(v, "ts"))
-    named = P.media_path(P.text_field(v, "clip"), F.regexp_replace("file", "^file:/+", "/"), p.clips_dir)
+    ts = parse_ts(v["ts"])
+    named = P.media_path(F.col("_clip"), F.regexp_replace("file", "^file:/+", "/"), p.clips_dir)
     guessed = P.segment_path(p.clips_dir, F.lit(p.camera_stub), F.col("_ts"), p.container_ext)
     x0, x1 = P.explicit_offsets(v)
     rows = parsed.where(v.isNotNull()).withColumns({
@@ -38,13 +38,13 @@ def normalise(parsed: DataFrame, p: IngestParams, segments: DataFrame) -> DataFr
         "source": P.source_of(v, p.default_source),
         "_ts": ts,
         "created_utc": F.date_trunc("second", P.event_time(v)),
-        "clip_path": named,
+        "_clip": strip(P.text_of(v["clip"])),
         "_x0": x0, "_x1": x1,
-        "novelty": P.field(v, "novelty"),
-        "confidence": P.field(v, "confidence", "double"),
+        "novelty": v["novelty"],
+        "confidence": v["confidence"],
         "payload": P.compact(F.col("line")),
     })
-    rows = rows.where(F.col("created_utc").isNotNull()).withColumn("clip_path", F.coalesce("clip_path", guessed))
+    rows = rows.where(F.col("created_utc").isNotNull()).withColumn("clip_path", F.coalesce(named, guessed))
     media = segments.select(F.col("path").alias("clip_path"), "clip_id", F.col("start_utc").alias("_seg"))
     rows = rows.join(media, "clip_path", "left").withColumn("clip_id", F.coalesce("clip_id", F.lit("")))
     t0, t1, basis = P.offsets(F.col("_ts"), F.col("_seg"), F.col("_x0"), F.col("_x1"), p.pre_ms, p.post_ms)
@@ -52,7 +52,7 @@ def normalise(parsed: DataFrame, p: IngestParams, segments: DataFrame) -> DataFr
     c = F.col
     return rows.withColumn(
         "event_id", P.event_id(c("source"), c("kind"), c("clip_id"), c("t0_ms"), c("payload"))
-    ).drop("_ts", "_x0", "_x1", "_seg", "line")
+    ).drop("_ts", "_x0", "_x1", "_seg", "_clip", "line")
 
 
 def untimed(parsed: DataFrame) -> DataFrame:
@@ -64,19 +64,18 @@ def untimed(parsed: DataFrame) -> DataFrame:
 def caption_rows(rows: DataFrame) -> DataFrame:
     """Captions of speech events; missing times fall back to the creation time."""
     v, created = F.col("obj"), F.col("created_utc")
-    made = P.text_field(v, "created_utc")
-    made_ts = F.coalesce(parse_ts(made), created)
+    made_ts = F.coalesce(parse_ts(v["created_utc"]), created)
     second = lambda t: F.date_trunc("second", t)
     return rows.where(P.is_speech(F.col("kind"))).select(
         "event_id",
-        F.coalesce(P.field(v, "text"), F.lit("")).alias("text"),
-        P.field(v, "model").alias("model"),
+        F.coalesce(v["text"], F.lit("")).alias("text"),
+        v["model"].alias("model"),
         F.lit(None).cast("int").alias("tokens"),
-        F.coalesce(P.field(v, "wav"), F.lit("")).alias("wav"),
-        second(F.coalesce(parse_ts(P.text_field(v, "start_utc")), made_ts)).alias("start_utc"),
-        second(F.coalesce(parse_ts(P.text_field(v, "end_utc")), made_ts)).alias("end_utc"),
-        P.field(v, "sr", "int").alias("sr"),
-        P.field(v, "lang").alias("lang"),
+        F.coalesce(v["wav"], F.lit("")).alias("wav"),
+        second(F.coalesce(parse_ts(v["start_utc"]), made_ts)).alias("start_utc"),
+        second(F.coalesce(parse_ts(v["end_utc"]), made_ts)).alias("end_utc"),
+        v["sr"].alias("sr"),
+        v["lang"].alias("lang"),
         second(made_ts).alias("created_utc"),
     )
 
@@ -87,7 +86,7 @@ def event_rows(rows: DataFrame) -> DataFrame:
 
 def clip_rows(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """Segments some event points at."""
-    used = rows.where(F.col("clip_id") != "").select("clip_id").distinct()
+    used = rows.select("clip_id").distinct()  # no segment has the empty id
     return segments.join(used, "clip_id", "left_semi").select(*schema.CLIPS.names)
 
 

@@ -145,8 +145,10 @@ def counts_by(g: DataFrame, column: str, per: str = "hour") -> DataFrame:
 
 def token_grain(journal: DataFrame) -> DataFrame:
     """Count and first sight of every non-stop token per hour, case kept."""
-    spoken = measured(journal).where(F.col("text").isNotNull()).select("hour", "created_utc", "event_id", "text")
-    words = spoken.select("hour", "created_utc", "event_id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "token"))
+    spoken = measured(journal.where(F.col("kind") == "speech"))
+    # the outer form: no inferred filter that would split the text twice; stop-word test drops its NULLs
+    each = F.posexplode_outer(X.tokens(F.col("text"))).alias("pos", "token")
+    words = spoken.select("hour", "created_utc", "event_id", each)
     return words.where(~X.is_stop(F.col("token"))).groupBy("hour", "token").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct("created_utc", "event_id", "pos")).alias("first_seen"),

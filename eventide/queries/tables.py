@@ -122,7 +122,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     ).otherwise("")
     line = F.concat(
         F.lit("  { "), head, F.lit('"ts": "'), iso_local(c("ts")), F.lit('", '), source, explicit,
-        F.lit('"id":  '), c("event_id").cast("string"), F.lit(', "msg": "a  \\"b\\"\t: é"}  '),
+        F.lit('"id":  '), c("event_id").cast("string"), F.lit(', "msg": "a  \\"b\\"\\t: é"}  '),
     )
     file = F.concat_ws("/", F.lit("/events"), F.date_format("ts", "yyyy-MM-dd"), F.concat(c("camera"), F.lit(".jsonl")))
     return e.select(file.alias("file"), c("event_id").alias("line_no"), line.alias("line"))

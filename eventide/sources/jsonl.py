@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventide.functions.payload import RECORD
 from eventide.functions.times import strip
 
 QUARANTINE_CHARS = 200  # fixed value: how much of a bad line is kept
@@ -64,10 +65,11 @@ def first_lines(lines: DataFrame, limit: int) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Adds ``obj`` (VARIANT), NULL for a line that is not exactly one JSON object.
+    """Adds ``obj``, the record of a line; NULL for one that is not exactly one JSON object.
 
     Lines are parsed inside brackets, so trailing text or a second object on
-    the line makes them invalid.
+    the line makes them invalid.  The record passes a generator: filters on its
+    fields then stay above it instead of parsing the line once more.
     """
     line = F.col("line")
     arr = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
@@ -76,8 +78,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         clean_lines(lines)
         .withColumn("_arr", F.when(whole, arr))
         .withColumn("obj", F.when(
-            F.try_variant_get("_arr", "$[1]", "variant").isNull(), F.try_variant_get("_arr", "$[0]", "variant")))
+            F.try_variant_get("_arr", "$[1]", "variant").isNull(), F.try_variant_get("_arr", "$[0]", RECORD)))
         .drop("_arr")
+        .withColumn("obj", F.explode_outer(F.array("obj")))
     )
 
 

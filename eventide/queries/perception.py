@@ -21,8 +21,8 @@ DAY = 86400.0
 # the driver's events are minutes apart, so every time setting is scaled up
 PARAMS = PerceptionParams(
     min_motion_frames=1, merge_grace_s=1200.0, presence_hold_s=900.0, cooldown_s=1800.0, track_ttl_s=1800.0,
-    iou_threshold=0.05, buffer_s=3600.0, buffer_bytes=60000, max_detections=2, block_s=DAY,
-    min_track_area_px=2500.0, labels=("person", "dog", "cat"),
+    iou_threshold=0.3, buffer_s=3600.0, buffer_bytes=60000, max_detections=2, block_s=DAY,
+    min_track_area_px=70000.0, labels=("person", "dog", "cat"),
 )
 NOVELTY = PerceptionParams(novelty_window_s=30.0, phash_distance_max=24, block_s=300.0)
 
@@ -292,7 +292,7 @@ def object_summary(spark, sf):
 
 @register("cooldown", f"""WITH RECURSIVE {EVENTS},
 o AS (SELECT camera, event_type, us, event_id FROM ev),
-nx AS (SELECT a.camera, a.event_type, a.us, a.event_id, b.us AS nus FROM o a
+nx AS MATERIALIZED (SELECT a.camera, a.event_type, a.us, a.event_id, b.us AS nus FROM o a
        ASOF LEFT JOIN (SELECT DISTINCT camera, event_type, us FROM o) b
        ON a.camera = b.camera AND a.event_type = b.event_type AND a.us + 1800000000 <= b.us),
 ac AS (

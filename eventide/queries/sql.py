@@ -113,8 +113,8 @@ DETECTIONS = f"""
 det AS (
   SELECT camera, us // 600000000 AS frame_idx, us // 600000000 * 600 AS ts_s, event_id AS det_idx, {CLASS} AS cls,
          motion AS conf, (user_id * 7 % 700)::DOUBLE AS x1, (user_id * 11 % 400)::DOUBLE AS y1,
-         (user_id * 7 % 700)::DOUBLE + (event_id % 5 * 30 + 40)::DOUBLE AS x2,
-         (user_id * 11 % 400)::DOUBLE + (event_id % 5 * 30 + 40)::DOUBLE AS y2
+         (user_id * 7 % 700)::DOUBLE + (event_id % 5 * 30 + 240)::DOUBLE AS x2,
+         (user_id * 11 % 400)::DOUBLE + (event_id % 5 * 30 + 240)::DOUBLE AS y2
   FROM ev
 )"""
 

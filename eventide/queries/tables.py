@@ -164,7 +164,7 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
     slot = F.floor(F.unix_seconds("ts") / 600)
     x1 = (c("user_id") * 7 % 700).cast("double")
     y1 = (c("user_id") * 11 % 400).cast("double")
-    w = (c("event_id") % 5 * 30 + 40).cast("double")
+    w = (c("event_id") % 5 * 30 + 240).cast("double")
     return e.select(
         "camera", slot.cast("bigint").alias("frame_idx"), F.timestamp_seconds(slot * 600).alias("ts"),
         F.lit(1000).alias("img_w"), c("event_id").cast("int").alias("det_idx"),

@@ -1,2 +1,176 @@
+"""Registered queries over trends (2.L) and windowed batch forms of 2.H."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from eventide.functions.times import iso_z
+from eventide.params import TrendParams
+from eventide.plans import rollup, trends
+from eventide.queries import tables
+from eventide.queries.sql import EVENTS, ISO_Z, events_sql, journal_sql, turns_sql
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+PARAMS = TrendParams(z_threshold=2.0, mix_threshold=0.1, caption_similarity=0.2)
+
+
+def register(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+DAYS = """
+dm AS (SELECT CAST(hour AS DATE) AS date, count(*) AS total_events,
+         count(*) FILTER (WHERE kind LIKE 'motion%') / count(*) AS motion_share, count(DISTINCT hour) / 24.0::DOUBLE AS uptime
+       FROM j GROUP BY 1),
+dys AS (SELECT d.date, coalesce(total_events, 0) AS total_events, motion_share, uptime FROM (
+         SELECT CAST(unnest(generate_series((SELECT min(date) FROM dm), (SELECT max(date) FROM dm), INTERVAL 1 DAY)) AS DATE) AS date) d
+       LEFT JOIN dm USING (date)),
+bl AS (SELECT *, count(*) FILTER (WHERE total_events > 0) OVER w AS nb,
+         avg(total_events) FILTER (WHERE total_events > 0) OVER w AS mean,
+         stddev_pop(total_events) FILTER (WHERE total_events > 0) OVER w AS sd,
+         max(date) FILTER (WHERE total_events > 0) OVER w AS newest
+       FROM dys WINDOW w AS (ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))"""
+_STATE = "CASE WHEN nb < 3 THEN 'cold' WHEN date - newest > 2 THEN 'stale' ELSE 'ready' END"
+_DATE = "strftime(date, '%Y-%m-%d') AS date_utc"
+
+
+def trend_sql(select: str, ctes: str = DAYS) -> str:
+    head = journal_sql("")
+    return f"{head.rstrip()}, {ctes} {select}"
+
+
+def _date():
+    return F.date_format("date", "yyyy-MM-dd").alias("date_utc")
+
+
+def _days(spark, sf):
+    return trends.fill_days(trends.day_metrics(rollup.grain(tables.journal(spark, sf))))
+
+
+@register("day_metrics", trend_sql(f"""
+SELECT {_DATE}, total_events, round(motion_share, 9) AS motion_share, uptime FROM dm"""))
+def day_metrics(spark, sf):
+    d = trends.day_metrics(rollup.grain(tables.journal(spark, sf)))
+    return d.select(_date(), "total_events", F.round("motion_share", 9).alias("motion_share"), "uptime")
+
+
+@register("rolling_baseline", trend_sql(f"""
+SELECT {_DATE}, nb AS baseline_days, round(mean, 6) AS baseline_mean, round(sd, 6) AS baseline_std, {_STATE} AS baseline_state FROM bl"""))
+def rolling_baseline(spark, sf):
+    b = trends.baselines(_days(spark, sf), PARAMS)
+    r = lambda c: F.round(c, 6).alias(c)
+    return b.select(_date(), "baseline_days", r("baseline_mean"), r("baseline_std"), "baseline_state")
+
+
+@register("anomaly_flags", trend_sql(f"""
+SELECT {_DATE}, CASE WHEN {_STATE} <> 'ready' THEN NULL WHEN (total_events - mean) / greatest(sd, 1e-9) >= 2 THEN 'spike'
+       WHEN (total_events - mean) / greatest(sd, 1e-9) <= -2 THEN 'drop' END AS flag FROM bl"""))
+def anomaly_flags(spark, sf):
+    return trends.activity_flags(trends.baselines(_days(spark, sf), PARAMS), PARAMS).select(_date(), "flag")
+
+
+@register("missing_motion", trend_sql(f"""
+SELECT {_DATE}, total_events > 0 AND coalesce(motion_share, 0) = 0
+       AND coalesce(lag(motion_share) OVER (ORDER BY date), 0) > 0 AS missing_motion FROM dys"""))
+def missing_motion(spark, sf):
+    return trends.missing_motion(_days(spark, sf)).select(_date(), "missing_motion")
+
+
+@register("mix_shift", trend_sql("""
+SELECT strftime(a.date, '%Y-%m-%d') AS date_utc, round(sum(abs(coalesce(x.s, 0) - coalesce(y.s, 0))) / 2, 9) AS mix_distance
+FROM dm a JOIN dm b ON b.date = a.date - 1 CROSS JOIN (SELECT DISTINCT kind FROM j) k
+LEFT JOIN sh x ON x.date = a.date AND x.kind = k.kind LEFT JOIN sh y ON y.date = b.date AND y.kind = k.kind GROUP BY 1""",
+    DAYS + """, sh AS (SELECT CAST(hour AS DATE) AS date, kind, count(*) / sum(count(*)) OVER (PARTITION BY CAST(hour AS DATE)) AS s
+              FROM j GROUP BY 1, 2)"""))
+def mix_shift(spark, sf):
+    kinds = rollup.counts_by(rollup.grain(tables.journal(spark, sf)), "kind", "date")
+    return trends.mix_shift(kinds, PARAMS).select(_date(), F.round("mix_distance", 9).alias("mix_distance"))
+
+
+@register("week_over_week", trend_sql(f"""
+SELECT strftime(a.date, '%Y-%m-%d') AS date_utc, a.total_events, b.total_events AS week_ago,
+       a.total_events - b.total_events AS change FROM dys a LEFT JOIN dys b ON b.date = a.date - 7"""))
+def week_over_week(spark, sf):
+    return trends.week_over_week(_days(spark, sf)).select(_date(), "total_events", "week_ago", "change")
+
+
+@register("quarter_counts", journal_sql(f"""
+SELECT source, strftime(time_bucket(INTERVAL 15 MINUTE, created), {ISO_Z}) AS quarter, count(*) AS events FROM j GROUP BY 1, 2"""))
+def quarter_counts(spark, sf):
+    return trends.quarter_counts(tables.journal(spark, sf)).select("source", iso_z(F.col("quarter")).alias("quarter"), "events")
+
+
+@register("still_bursts", events_sql(f"""
+SELECT camera, strftime(time_bucket(INTERVAL 10 MINUTE, ts), {ISO_Z}) AS burst_start,
+       string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY ts, CAST(event_id AS VARCHAR)) AS paths FROM ev GROUP BY 1, 2"""))
+def still_bursts(spark, sf):
+    """Events as stills, in 10-minute bursts."""
+    e = tables.events(spark, sf).select("camera", "ts", F.col("event_id").cast("string").alias("path"))
+    b = trends.still_bursts(e, 600)
+    return b.select("camera", iso_z(F.col("burst_start")).alias("burst_start"), F.array_join("paths", "|").alias("paths"))
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_'']+'), lambda w: w <> ''))"
+
+
+@register("near_dup_captions", turns_sql("""
+SELECT conv_id, turn, round(CASE WHEN b IS NULL THEN NULL WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0
+         ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 9) AS similarity
+FROM (SELECT conv_id, turn, a, lag(a) OVER (PARTITION BY source ORDER BY ts, turn) AS b FROM w)""",
+    f"w AS (SELECT conv_id, turn, source, ts, {_WORDS} AS a FROM tn)"))
+def near_dup_captions(spark, sf):
+    t = tables.turns(spark, sf).withColumn("source", F.concat(F.lit("mic_"), F.col("conv_id") % 4))
+    out = trends.caption_repeats(t, PARAMS, ["source"], ["ts", "turn"], 86400.0)
+    return out.select("conv_id", "turn", F.round("similarity", 9).alias("similarity"))
+
+
+@register("audible_speech", turns_sql("SELECT conv_id, turn FROM tn WHERE spoken_s >= 0.5"))
+def audible_speech(spark, sf):
+    s = (F.unix_seconds("end_ts") - F.unix_seconds("ts")).alias("speech_s")
+    return trends.audible(tables.turns(spark, sf).select("conv_id", "turn", s), PARAMS).select("conv_id", "turn")
+
+
+@register("retention", journal_sql("""
+SELECT event_id FROM j WHERE CAST(created AS DATE) > (SELECT max(CAST(created AS DATE)) FROM j) - 7"""))
+def retention(spark, sf):
+    """The last seven days, seen from the newest event."""
+    j = tables.journal(spark, sf).withColumn("created_date", F.to_date("created_utc"))
+    newest = j.agg(F.max("created_date").alias("today"))
+    return trends.retained(j.crossJoin(F.broadcast(newest)), F.col("today"), PARAMS).select("event_id")
+
+
+@register("recent_digest", journal_sql(f"""
+SELECT strftime(hour, {ISO_Z}) || ': ' || total_events || ' events; ' || motion_summary_events || ' motion, ' ||
+       speech_events || ' speech' AS line FROM (SELECT * FROM hourly WHERE total_events > 0 ORDER BY hour DESC LIMIT 3)"""))
+def recent_digest(spark, sf):
+    """The newest hours hold no speech, so their lines have no words."""
+    j = tables.journal(spark, sf)
+    words = rollup.top_k(rollup.word_counts(rollup.token_grain(j)), ["hour"], 3)
+    return trends.digest(rollup.hourly(rollup.grain(j)), words).select("line")
+
+
+@register("dwell")
+def dwell(spark, sf):
+    """Dwell per hour and class; rests on tracks, which have no SQL."""
+    from eventide.queries.perception import _tracks
+
+    return trends.dwell(_tracks(spark, sf)).select("camera", iso_z(F.col("hour")).alias("hour"), "cls", "tracks", "dwell_s")
+
+
+@register("sessions", f"""WITH {EVENTS},
+g AS (SELECT camera, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS brk FROM ev
+      WINDOW w AS (PARTITION BY camera ORDER BY ts)),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY camera ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT camera, strftime(min(ts), {ISO_Z}) AS session_start, count(*) AS events FROM s GROUP BY camera, n""")
+def sessions(spark, sf):
+    """Session windows: the streaming approximation of bursts, in batch."""
+    w = F.session_window("ts", "20 minutes").alias("w")
+    return tables.events(spark, sf).groupBy("camera", w).agg(F.count(F.lit(1)).alias("events")).select(
+        "camera", iso_z(F.col("w.start")).alias("session_start"), "events")

@@ -9,6 +9,7 @@ from eventide.functions.times import add_seconds
 from eventide.operators import blocks
 from eventide.operators.blocks import BLOCK
 from eventide.params import PerceptionParams
+from eventide.session import stage
 
 KEYS = ["camera"]
 ORDER = ["ts", "frame_idx"]
@@ -77,6 +78,7 @@ def bursts(frames: DataFrame, p: PerceptionParams) -> DataFrame:
         F.min(F.when(F.col("closes"), F.col("ts"))).alias("_close"),
         F.count_if(live).alias("_n_live"),
     )
+    pieces = stage(pieces)  # far fewer than frames, and read twice below
     # a block's leading piece belongs to the last burst started in an earlier block
     begun = F.col("_seq") > 0
     opened = blocks.carry(pieces, KEYS, {"_open": F.max(F.when(begun, F.col("_head")))}, F.max)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventide.operators import blocks
+from eventide.operators.batches import whole_groups
 from eventide.operators.blocks import BLOCK
 
 
@@ -35,8 +36,8 @@ def entry_map(us: np.ndarray, c: int, block_start: int) -> tuple[np.ndarray, np.
             last[i] = last[nxt[i]]
     # rows inside the first c, one per distinct time, and the first row after
     n = min(int(np.searchsorted(us, block_start + c, side="left")) + 1, len(us))
-    first = np.concatenate([[True], us[1:n] != us[: n - 1]])
-    return us[:n][first], last[:n][first]
+    rows = np.flatnonzero(np.concatenate([[True], us[1:n] != us[: n - 1]]))
+    return rows, last[rows]
 
 
 def accept(us: np.ndarray, c: int, enter: int) -> np.ndarray:
@@ -65,21 +66,28 @@ def cooldown(
     key_fields = [b.schema[k] for k in keys]
     group = [*keys, BLOCK]
 
-    maps_schema = T.StructType(
-        key_fields + [T.StructField(n, T.LongType()) for n in (BLOCK, "_in", "_out")]
-    )
+    def long(*names: str) -> list[T.StructField]:
+        return [T.StructField(n, T.LongType()) for n in names]
 
-    def to_map(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(pdf["_us"].to_numpy())
-        entry, last = entry_map(us, c, int(key[-1]) * size)
-        out = pd.DataFrame({"_in": entry, "_out": last})
-        for name, value in zip(group, key):
-            out[name] = value
-        return out[[f.name for f in maps_schema.fields]]
+    def sorted_by_group(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.repartition(*group).sortWithinPartitions(*group, *more)
 
-    maps = b.select(*group, "_us").groupBy(*group).applyInPandas(to_map, maps_schema)
+    maps_schema = T.StructType(key_fields + long(BLOCK, "_in", "_out"))
 
-    enter_schema = T.StructType(key_fields + [T.StructField(n, T.LongType()) for n in (BLOCK, "_enter")])
+    def to_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, begins in whole_groups(batches, group):
+            us, block = pdf["_us"].to_numpy(), pdf[BLOCK].to_numpy()
+            rows, last = [], []
+            for i, j in zip(begins, [*begins[1:], len(pdf)]):
+                at, out = entry_map(us[i:j], c, int(block[i]) * size)
+                rows.append(i + at)
+                last.append(out)
+            out = pdf.iloc[np.concatenate(rows)].rename(columns={"_us": "_in"})
+            yield out.assign(_out=np.concatenate(last))
+
+    maps = sorted_by_group(b.select(*group, "_us"), "_us").mapInPandas(to_maps, maps_schema)
+
+    enter_schema = T.StructType(key_fields + long(BLOCK, "_enter"))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # sorted by key, block, entry; carries one accepted time per key
@@ -95,21 +103,19 @@ def cooldown(
                 if not taken and (ready is None or enter >= ready):
                     taken, ready = True, last + c
                     out.append((*k, bl, enter))
-            if out:
-                yield pd.DataFrame(out, columns=[f.name for f in enter_schema.fields])
-
-    ordered = maps.repartition(*keys).sortWithinPartitions(*group, "_in")
-    entries = ordered.mapInPandas(chain, enter_schema)
+            yield pd.DataFrame(out, columns=[f.name for f in enter_schema.fields])
 
-    joined = b.join(entries, group, "left")
+    entries = maps.repartition(*keys).sortWithinPartitions(*group, "_in").mapInPandas(chain, enter_schema)
     out_schema = T.StructType(df.schema.fields + [T.StructField("accepted", T.BooleanType())])
-    ties = list(order)
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", *ties], kind="stable")
-        enter = pdf["_enter"].iat[0]
-        us = pdf["_us"].to_numpy()
-        pdf["accepted"] = False if pd.isna(enter) else accept(us, c, int(enter))
-        return pdf[[f.name for f in out_schema.fields]]
-
-    return joined.groupBy(*group).applyInPandas(mark, out_schema)
+    names = [f.name for f in out_schema.fields]
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, begins in whole_groups(batches, group):
+            us, enter = pdf["_us"].to_numpy(), pdf["_enter"].to_numpy()
+            ok = np.zeros(len(pdf), dtype=bool)
+            for i, j in zip(begins, [*begins[1:], len(pdf)]):
+                if not pd.isna(enter[i]):
+                    ok[i:j] = accept(us[i:j], c, int(enter[i]))
+            yield pdf.assign(accepted=ok)[names]
+
+    return sorted_by_group(b.join(entries, group, "left"), "_us", *order).mapInPandas(mark, out_schema)

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from eventide.functions import geometry as G
 from eventide.operators import asof, blocks
+from eventide.operators.batches import starts, whole_groups
 from eventide.operators.blocks import BLOCK
 from eventide.params import PerceptionParams
+from eventide.session import stage
 
 SCOPE = ["camera", "cls"]
 SEGMENT = "_segment"
@@ -94,48 +96,27 @@ class FrameMatcher:
 
 def _matcher(iou_threshold: float, ttl_us: int):
     """Task function: sorted batches in, the same rows with their track out."""
-
-    def rows_out(frame: pd.DataFrame, m: FrameMatcher) -> tuple[list, list]:
-        boxes = list(zip(frame["x1"], frame["y1"], frame["x2"], frame["y2"]))
-        births = list(zip(frame["ts"], frame["frame_idx"], frame["det_idx"]))
-        tracks = m.frame(int(frame["_us"].iat[0]), boxes, births)
-        return [t["birth"] for t in tracks], [t["n"] for t in tracks]
+    scope_key = ["camera", "cls", SEGMENT]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scope, matcher, rest = None, None, None
-        frame_key = ["camera", "cls", SEGMENT, "_us", "frame_idx"]
-
-        def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            nonlocal scope, matcher
-            births: list = []
-            counts: list = []
-            for key, frame in pdf.groupby(frame_key, sort=False, dropna=False):
-                here = tuple(None if pd.isna(k) else k for k in key[:3])
-                if here != scope:
-                    scope, matcher = here, FrameMatcher(iou_threshold, ttl_us)
-                b, n = rows_out(frame, matcher)
-                births += b
-                counts += n
-            out = pdf.drop(columns=[SEGMENT, "_us"])
-            out["birth_ts"] = pd.Series([b[0] for b in births], index=out.index, dtype=pdf["ts"].dtype)
-            out["birth_frame"] = [b[1] for b in births]
-            out["birth_det"] = [b[2] for b in births]
-            out["match_no"] = counts
-            return out
-
-        for pdf in batches:
-            if rest is not None and len(rest):
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            # a frame may go on in the next batch: hold back the last one
-            last = pdf.iloc[-1]
-            tail = pd.Series(True, index=pdf.index)
-            for c in frame_key:
-                tail &= (pdf[c] == last[c]) | (pdf[c].isna() & pd.isna(last[c]))
-            rest, done = pdf[tail], pdf[~tail]
-            if len(done):
-                yield flush(done)
-        if rest is not None and len(rest):
-            yield flush(rest)
+        scope, matcher = None, None
+        for pdf, frames in whole_groups(batches, [*scope_key, "_us", "frame_idx"]):
+            boxes = list(zip(*(pdf[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))))
+            births = list(zip(pdf["ts"], pdf["frame_idx"], pdf["det_idx"]))
+            us, scope_at = pdf["_us"].to_numpy(), set(starts(pdf, scope_key).tolist())
+            found: list[tuple] = []
+            for i, j in zip(frames, [*frames[1:], len(pdf)]):
+                if i in scope_at:
+                    here = tuple(None if pd.isna(v) else v for v in pdf.loc[i, scope_key])
+                    if here != scope:
+                        scope, matcher = here, FrameMatcher(iou_threshold, ttl_us)
+                found += [(t["birth"], t["n"]) for t in matcher.frame(int(us[i]), boxes[i:j], births[i:j])]
+            yield pdf.drop(columns=[SEGMENT, "_us"]).assign(
+                birth_ts=pd.Series([b[0] for b, _ in found], index=pdf.index, dtype=pdf["ts"].dtype),
+                birth_frame=[b[1] for b, _ in found],
+                birth_det=[b[2] for b, _ in found],
+                match_no=[n for _, n in found],
+            )
 
     return run
 
@@ -183,7 +164,9 @@ def tracks(dets: DataFrame, frames: DataFrame, p: PerceptionParams) -> DataFrame
         .withColumn("exit_side", G.exit_side(F.col("first_side"), F.col("last_side")))
         .withColumn("exit_reason", G.exit_reason(F.col("first_side"), F.col("last_side")))
     )
+    t = stage(t)  # read several times below; tracking must run once
     t = blocks.number(t, ["camera"], [*BIRTH, "cls"], "tid", p.block_s, "birth_ts")
+    t = stage(t)
     gone = F.timestamp_micros(F.unix_micros("last_ts") + blocks.micros(p.track_ttl_s))
     out = asof.next_frame_after(t.withColumn("_gone", gone), frames, "_gone", "exit_ts", p.block_s)
     return out.withColumn(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results or plans.  Cluster size is left to the caller.
 REQUIRED = {
@@ -52,3 +53,14 @@ def shared_dir(spark: SparkSession) -> str:
     folder = os.path.join(tempfile.gettempdir(), f"eventide-{spark.sparkContext.applicationId}")
     os.makedirs(folder, exist_ok=True)
     return folder
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Runs the plan so far once, cuts its lineage, and gives the planner true
+    sizes.  For small tables that several later steps read.
+    """
+    path = os.path.join(shared_dir(df.sparkSession), "stage", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -68,11 +68,16 @@ def join_carry(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, block_s: float, ts: str = "ts"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, block_s: float, ts: str = "ts",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """``row_number`` per key in time order (``order`` must start with ``ts``)."""
+    """``row_number`` per key in time order (``order`` must start with ``ts``).
+
+    ``counted`` is a cheaper table with the same rows to count blocks from.
+    """
     b = with_block(df, block_s, ts)
-    before = carry(b, keys, {"_before": F.count(F.lit(1))}, F.sum)
+    c = b if counted is None else with_block(counted, block_s, ts)
+    before = carry(c, keys, {"_before": F.count(F.lit(1))}, F.sum)
     rn = F.row_number().over(within(keys, *order))
     return (
         join_carry(b.withColumn("_rn", rn), before, keys)

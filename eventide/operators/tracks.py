@@ -165,17 +165,11 @@ def tracks(dets: DataFrame, frames: DataFrame, p: PerceptionParams) -> DataFrame
         .withColumn("exit_reason", G.exit_reason(F.col("first_side"), F.col("last_side")))
     )
     t = stage(t)  # read several times below; tracking must run once
-    t = blocks.number(t, ["camera"], [*BIRTH, "cls"], "tid", p.block_s, "birth_ts")
-    t = stage(t)
     gone = F.timestamp_micros(F.unix_micros("last_ts") + blocks.micros(p.track_ttl_s))
     out = asof.next_frame_after(t.withColumn("_gone", gone), frames, "_gone", "exit_ts", p.block_s)
-    return out.withColumn(
-        "duration_s",
-        F.when(
-            F.col("enter_ts").isNotNull(),
-            (F.unix_micros("exit_ts") - F.unix_micros("enter_ts")) / F.lit(1e6),
-        ),
-    ).drop("_gone", "birth_frame", "birth_det")
+    out = blocks.number(out, ["camera"], [*BIRTH, "cls"], "tid", p.block_s, "birth_ts", counted=t)
+    stayed = (F.unix_micros("exit_ts") - F.unix_micros("enter_ts")) / F.lit(1e6)
+    return out.withColumn("duration_s", stayed).drop("_gone", "birth_frame", "birth_det")
 
 
 def mark_presence(frames: DataFrame, track_table: DataFrame, p: PerceptionParams) -> DataFrame:

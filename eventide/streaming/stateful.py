@@ -109,7 +109,7 @@ class Bursts(InOrder):
 
 
 class Tracks(InOrder):
-    keys = ["camera", "cls"]
+    keys = ["camera", "label"]  # a key named cls breaks Row(**fields)
     columns = ["us", "frame_idx", "det_idx", "x1", "y1", "x2", "y2"]
     row_schema = "us long, frame_idx long, det_idx long, x1 double, y1 double, x2 double, y2 double"
     rule_schema = "x1 double, y1 double, x2 double, y2 double, us long, n long, b_us long, b_frame long, b_det long"
@@ -182,10 +182,10 @@ def track_stream(dets: DataFrame, p: PerceptionParams, delay: str = "10 seconds"
     """Detections of a stream with the birth of their track and match number."""
     c = [F.col("det_idx").cast("long").alias("det_idx"), "x1", "y1", "x2", "y2"]
     out = _run(
-        dets.select("camera", "cls", "ts", "frame_idx", *c), Tracks(p),
-        "camera string, cls string, us long, frame_idx long, det_idx long, birth_us long, birth_frame long, "
+        dets.select("camera", F.col("cls").alias("label"), "ts", "frame_idx", *c), Tracks(p),
+        "camera string, label string, us long, frame_idx long, det_idx long, birth_us long, birth_frame long, "
         "birth_det long, match_no long", delay)
-    return _times(out, "us", "birth_us")
+    return _times(out.withColumnRenamed("label", "cls"), "us", "birth_us")
 
 
 def novelty_stream(frames: DataFrame, p: PerceptionParams, delay: str = "10 seconds") -> DataFrame:

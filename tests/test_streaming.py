@@ -57,7 +57,7 @@ def test_novelty(spark, tmp_path):
 
 def test_tracks(spark, tmp_path):
     rng = random.Random(3)
-    rows = [("a", rng.choice(["cat", "dog"]), float(i // 2), i // 2, i % 2, 1000, 0.9, x := rng.randrange(60) * 1.0, 0.0, x + 50, 50.0)
+    rows = [("a", rng.choice(["cat", "dog"]), float(i // 2 + 1), i // 2, i % 2, 1000, 0.9, x := rng.randrange(60) * 1.0, 0.0, x + 50, 50.0)
             for i in range(80)]
     rows += [("a", c, float(END), 10**6, i, 1000, 0.9, 0.0, 0.0, 1.0, 1.0) for i, c in enumerate(["cat", "dog"])]
     df = spark.createDataFrame(

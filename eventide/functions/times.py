@@ -37,10 +37,8 @@ def iso_local(ts: Column, tz: str = "UTC") -> Column:
     minutes = ((F.unix_seconds(wall) - F.unix_seconds(ts)) / 60).cast("int")
     sign = F.when(minutes < 0, "-").otherwise("+")
     mag = F.abs(minutes)
-    return F.format_string(
-        "%s%s%02d%02d", F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), sign,
-        F.floor(mag / 60).cast("int"), (mag % 60).cast("int"),
-    )
+    offset = F.format_string("%s%02d%02d", sign, F.floor(mag / 60).cast("int"), (mag % 60).cast("int"))
+    return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), offset)  # NULL stays NULL
 
 
 def iso_utc_micros(ts: Column, suffix: str = "+00:00") -> Column:

@@ -95,8 +95,10 @@ def daily_documents(
         merged = counts_.groupBy(one, item).agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
         return rollup.top_k(merged, ["_w"], 1).select("_w", item, F.col("n").alias(f"{item}_n"))
 
-    hour_list = F.transform(F.array_sort(F.collect_list(F.struct("hour", F.struct(*[
-        c for c in docs.columns if c != "hour"]).alias("doc")))), lambda r: r["doc"])
+    rows = F.collect_list(F.struct("hour", F.struct(*[c for c in docs.columns if c != "hour"]).alias("doc")))
+    # documents hold maps, which have no order: compare the hours only
+    by_hour = lambda x, y: F.when(x["hour"] < y["hour"], -1).when(x["hour"] > y["hour"], 1).otherwise(0)
+    hour_list = F.transform(F.array_sort(rows, by_hour), lambda r: r["doc"])
     c = F.col
     joined = whole(bounds)
     for part in (
@@ -182,12 +184,12 @@ def summarize(
         "overwrite").partitionBy("date").parquet(f"{out_root}/hour_ids")
     docs = hourly_documents(hours, g, tokens, ids if with_event_ids else None)
     # a window has few hours; one sorted file, replaced as a whole
-    docs.orderBy("hour").drop("hour").coalesce(1).write.mode("overwrite").json(f"{out_root}/hourly")
+    docs.orderBy("hour").drop("hour").coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out_root}/hourly")
 
     # the check reads back what was written: the ids table against the journal
-    written = spark.read.parquet(f"{out_root}/hour_ids")
+    written = spark.read.schema(ids.schema).parquet(f"{out_root}/hour_ids")
     checked = verification_row(written, journal, lo, hi)
     day = daily_documents(hours, docs, g, tokens, bounds, checked)
-    day.withColumn("date", F.col("date_utc")).write.mode("overwrite").option(
+    day.withColumn("date", F.col("date_utc")).write.mode("overwrite").option("ignoreNullFields", "false").option(
         "partitionOverwriteMode", "dynamic").partitionBy("date").json(f"{out_root}/daily")
     return window

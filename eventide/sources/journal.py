@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,4 +73,16 @@ def append_new(
         fresh.write.mode("append").partitionBy(partition).parquet(path)
     else:
         fresh.write.mode("append").parquet(path)
-    return int(seen.get["n"])
+    return _observed(seen)
+
+
+def _observed(seen: Observation) -> int:
+    """Rows counted while writing.
+
+    When Spark finds at run time that nothing is to be written, it drops the
+    counter from the plan and the observation stays without a row.
+    """
+    try:
+        return int(seen.get["n"])
+    except Py4JJavaError:
+        return 0

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as str.strip() sees it; valid in Java and in RE2.
+# White space as a Python string sees it, as a pattern (Java and RE2) and as characters.
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 _ISO = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.]\d{1,9})?)?)?"
@@ -16,7 +20,7 @@ _ISO = (
 
 def strip(c: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def parse_ts(c: Column) -> Column:

@@ -15,18 +15,21 @@ KEYS = ["camera"]
 ORDER = ["ts", "frame_idx"]
 
 
-def _closes(live: Column, ts: Column, last_live: Column, last_presence: Column, p: PerceptionParams) -> Column:
+def _closes(ts: Column, last_live: Column, last_presence: Column, p: PerceptionParams) -> Column:
     us = F.unix_micros(ts)
     idle = us - F.unix_micros(last_live) >= blocks.micros(p.merge_grace_s)
     away = last_presence.isNull() | (us - F.unix_micros(last_presence) >= blocks.micros(p.presence_hold_s))
-    return ~live & idle & away
+    return idle & away
 
 
 def burst_flags(frames: DataFrame, p: PerceptionParams) -> DataFrame:
     """Adds ``last_live``, ``last_presence``, ``closes`` and ``starts`` per frame, and the block column.
 
-    ``frames`` needs camera, ts, frame_idx, live and presence.
+    ``frames`` needs camera, ts, frame_idx, live and presence.  The grace must
+    be positive: then a live frame is never idle long enough to close.
     """
+    if p.merge_grace_s <= 0:
+        raise ValueError("merge_grace_s must be positive")
     b = blocks.with_block(frames, p.block_s)
     before = blocks.carry(
         b,
@@ -34,7 +37,7 @@ def burst_flags(frames: DataFrame, p: PerceptionParams) -> DataFrame:
         {
             "_live0": F.max(F.when(F.col("live"), F.col("ts"))),
             "_pres0": F.max(F.when(F.col("presence"), F.col("ts"))),
-            "_row0": F.max(F.struct("ts", "frame_idx", "live")),
+            "_row0": F.max("ts"),
         },
         F.max,
     )
@@ -45,9 +48,9 @@ def burst_flags(frames: DataFrame, p: PerceptionParams) -> DataFrame:
         .withColumn("last_live", F.greatest(F.max(F.when(F.col("live"), F.col("ts"))).over(upto), "_live0"))
         .withColumn("last_presence", F.greatest(F.max(F.when(F.col("presence"), F.col("ts"))).over(upto), "_pres0"))
         .withColumn("closes", F.coalesce(
-            _closes(F.col("live"), F.col("ts"), F.col("last_live"), F.col("last_presence"), p), F.lit(False)))
+            _closes(F.col("ts"), F.col("last_live"), F.col("last_presence"), p), F.lit(False)))
     )
-    closed0 = _closes(F.col("_row0.live"), F.col("_row0.ts"), F.col("_live0"), F.col("_pres0"), p)
+    closed0 = _closes(F.col("_row0"), F.col("_live0"), F.col("_pres0"), p)
     was_closed = F.coalesce(F.lag("closes").over(w), closed0, F.lit(False))
     no_live_yet = F.coalesce(F.lag("last_live").over(w), F.col("_live0")).isNull()
     return flagged.withColumn("starts", F.col("live") & (no_live_yet | was_closed)).drop("_live0", "_pres0", "_row0")

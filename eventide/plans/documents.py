@@ -92,7 +92,7 @@ def daily_documents(
         return _as_map(flat, "_w", column, out)
 
     def top(counts_: DataFrame, item: str) -> DataFrame:
-        merged = counts_.groupBy(one, item).agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
+        merged = counts_.groupBy(one, item).agg(F.sum("n").alias("n"), F.min(F.struct("hour", "first_seen")).alias("first_seen"))
         return rollup.top_k(merged, ["_w"], 1).select("_w", item, F.col("n").alias(f"{item}_n"))
 
     rows = F.collect_list(F.struct("hour", F.struct(*[c for c in docs.columns if c != "hour"]).alias("doc")))
@@ -129,9 +129,9 @@ def verification_row(ids: DataFrame, journal: DataFrame, start: Column, end: Col
     found = verify.verification(ids, journal)
     sample = verify.missing_sample(ids, journal).agg(F.array_sort(F.collect_list("event_id")).alias("missing_ids_sample"))
     in_window = verify.count_in_window(journal, start, end)
-    return found.crossJoin(F.broadcast(sample)).crossJoin(F.broadcast(in_window)).select(
-        "checked_event_ids", "missing_event_ids", "missing_ids_sample",
-        F.when(F.col("checked_event_ids") == 0, F.col("db_count_in_window")).alias("db_count_in_window"),
+    return found.select(
+        "checked_event_ids", "missing_event_ids", sample.scalar().alias("missing_ids_sample"),
+        F.when(F.col("checked_event_ids") == 0, in_window.scalar()).alias("db_count_in_window"),
     )
 
 

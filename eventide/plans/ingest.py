@@ -12,7 +12,7 @@ from eventide.functions import payload as P
 from eventide.functions.times import iso_z, parse_ts, strip
 from eventide.operators.dedupe import drop_windowed_duplicates
 from eventide.params import IngestParams
-from eventide.session import require_utc
+from eventide.session import require_utc, stage
 from eventide.sources import journal, jsonl
 from eventide.sources.segments import list_segments, with_bounds
 
@@ -61,22 +61,26 @@ def untimed(parsed: DataFrame) -> DataFrame:
     return rows.drop("obj").withColumn("line", F.left("line", F.lit(jsonl.QUARANTINE_CHARS)))
 
 
-def caption_rows(rows: DataFrame) -> DataFrame:
+CAPTION = "text string, wav string, model string, lang string, sr int, start_utc string, end_utc string, created_utc string"
+
+
+def caption_rows(events: DataFrame) -> DataFrame:
     """Captions of speech events; missing times fall back to the creation time."""
-    v, created = F.col("obj"), F.col("created_utc")
-    made_ts = F.coalesce(parse_ts(v["created_utc"]), created)
+    body, created = F.col("_b"), F.col("created_utc")
     second = lambda t: F.date_trunc("second", t)
-    return rows.where(P.is_speech(F.col("kind"))).select(
+    made = F.coalesce(parse_ts(body["created_utc"]), created)
+    speech = events.where(P.is_speech(F.col("kind"))).withColumn("_b", F.from_json("payload", CAPTION))
+    return speech.select(
         "event_id",
-        F.coalesce(v["text"], F.lit("")).alias("text"),
-        v["model"].alias("model"),
+        F.coalesce(body["text"], F.lit("")).alias("text"),
+        body["model"].alias("model"),
         F.lit(None).cast("int").alias("tokens"),
-        F.coalesce(v["wav"], F.lit("")).alias("wav"),
-        second(F.coalesce(parse_ts(v["start_utc"]), made_ts)).alias("start_utc"),
-        second(F.coalesce(parse_ts(v["end_utc"]), made_ts)).alias("end_utc"),
-        v["sr"].alias("sr"),
-        v["lang"].alias("lang"),
-        second(made_ts).alias("created_utc"),
+        F.coalesce(body["wav"], F.lit("")).alias("wav"),
+        second(F.coalesce(parse_ts(body["start_utc"]), made)).alias("start_utc"),
+        second(F.coalesce(parse_ts(body["end_utc"]), made)).alias("end_utc"),
+        body["sr"].alias("sr"),
+        body["lang"].alias("lang"),
+        second(made).alias("created_utc"),
     )
 
 
@@ -107,20 +111,25 @@ class IngestReport:
         return self.candidates - self.events
 
 
-def append(spark: SparkSession, rows: DataFrame, segments: DataFrame, root: str, p: IngestParams) -> IngestReport:
-    """Append normalised rows to the three tables.
+def merge(spark: SparkSession, batch: DataFrame, segments: DataFrame, root: str, p: IngestParams) -> IngestReport:
+    """Add a landed batch of event rows (:func:`event_rows`) to the three tables.
 
     Captions and clips go first: an interrupted run leaves no event without
     them, and running it again adds only what is missing.
     """
+    candidates = batch.count()
     if p.dedupe_seconds is not None and p.dedupe_seconds >= 0:
-        rows = drop_windowed_duplicates(rows, journal.events(spark, root), p.dedupe_seconds)
-    caps = caption_rows(rows).withColumn(journal.DATE, F.to_date("created_utc"))
+        batch = drop_windowed_duplicates(batch, journal.events(spark, root), p.dedupe_seconds)
+    caps = caption_rows(batch).withColumn(journal.DATE, F.to_date("created_utc"))
     n_caps = journal.append_new(caps, journal.captions(spark, root), f"{root}/captions", "event_id", journal.DATE)
-    n_clips = journal.append_new(clip_rows(rows, segments), journal.clips(spark, root), f"{root}/clips", "clip_id")
-    evs = event_rows(rows)
-    n_events = journal.append_new(evs, journal.events(spark, root), f"{root}/events", "event_id", journal.DATE)
-    return IngestReport(n_events, n_caps, n_clips, evs.count())
+    n_clips = journal.append_new(clip_rows(batch, segments), journal.clips(spark, root), f"{root}/clips", "clip_id")
+    n_events = journal.append_new(batch, journal.events(spark, root), f"{root}/events", "event_id", journal.DATE)
+    return IngestReport(n_events, n_caps, n_clips, candidates)
+
+
+def append(spark: SparkSession, rows: DataFrame, segments: DataFrame, root: str, p: IngestParams) -> IngestReport:
+    """Land normalised rows once, then merge them: lines are parsed a single time."""
+    return merge(spark, stage(event_rows(rows)), segments, root, p)
 
 
 def ingest(

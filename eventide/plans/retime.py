@@ -72,9 +72,9 @@ def align_transcript(
     ``anchor`` is a one-row table with ``anchor``.  Adds ``loc_ts`` to every
     timed line; ``created_utc`` is left alone.
     """
-    clocks = file_clocks(parsed, order, CLOCK_FIELDS).crossJoin(F.broadcast(anchor.select("anchor").limit(1)))
-    usable = F.col("first_ts").isNotNull() & F.col("all_json") & F.col("anchor").isNotNull()
-    delta = F.unix_micros("anchor") - F.unix_micros("first_ts")
+    clocks = file_clocks(parsed, order, CLOCK_FIELDS)
+    usable = F.col("first_ts").isNotNull() & F.col("all_json")
+    delta = F.unix_micros(anchor.select("anchor").scalar()) - F.unix_micros("first_ts")
     out = parsed.join(clocks.select("file", F.when(usable, delta).alias("delta_us")), "file", "left")
     moved = {f: _shifted(_field_ts(f), F.col("delta_us")) for f in fields}
     line = F.col("line")

@@ -40,8 +40,10 @@ def measured(journal: DataFrame) -> DataFrame:
     body = F.from_json(
         "payload", "type string, start_utc string, end_utc string, text string, motion_score string"
     )
-    df = complete(journal).where(F.col("created_utc").isNotNull()).withColumn("_b", body)
     c = F.col
+    # most payloads hold nothing measured here: a text search is far cheaper than a parse
+    relevant = P.is_speech(c("kind")) | (c("kind") == P.MOTION_KIND) | c("payload").contains(P.MOTION_KIND)
+    df = complete(journal).where(c("created_utc").isNotNull()).withColumn("_b", F.when(relevant, body))
     t0, t1 = c("t0_ms"), c("t1_ms")
     spoken = P.speech_seconds(parse_ts(c("_b.start_utc")), parse_ts(c("_b.end_utc")), t0, t1)
     score = F.coalesce(c("_b.motion_score").try_cast("double"), F.lit(0.0))
@@ -143,15 +145,32 @@ def counts_by(g: DataFrame, column: str, per: str = "hour") -> DataFrame:
 # -- words ---------------------------------------------------------------------
 
 
+def first_seen_key(created: Column, event_id: Column, pos: Column) -> Column:
+    """Order of sight within an hour as one number: time, then event id, then position.
+
+    A number, unlike a struct, can be kept in the hash table of an aggregation,
+    so the widest step of the rollup needs no sort.  Digits: 10 for the
+    microsecond of the hour, 20 for the first eight bytes of the id, 8 for the
+    position.
+    """
+    us = F.pmod(F.unix_micros(created), F.lit(3_600_000_000)).cast("decimal(10,0)")
+    head = F.rpad(F.left(event_id, F.lit(8)), 8, "\0")
+    id_part = F.conv(F.hex(head), 16, 10).cast("decimal(20,0)")
+    ten_to = lambda n: F.lit("1" + "0" * n).cast(f"decimal({n + 1},0)")
+    high = (us * ten_to(20) + id_part).cast("decimal(30,0)")
+    return (high * ten_to(8) + pos).cast("decimal(38,0)")
+
+
 def token_grain(journal: DataFrame) -> DataFrame:
     """Count and first sight of every non-stop token per hour, case kept."""
     spoken = measured(journal.where(F.col("kind") == "speech"))
+    base = first_seen_key(F.col("created_utc"), F.col("event_id"), F.lit(0)).alias("_at")
     # the outer form: no inferred filter that would split the text twice; stop-word test drops its NULLs
     each = F.posexplode_outer(X.tokens(F.col("text"))).alias("pos", "token")
-    words = spoken.select("hour", "created_utc", "event_id", each)
+    words = spoken.select("hour", base, "text").select("hour", "_at", each)
     return words.where(~X.is_stop(F.col("token"))).groupBy("hour", "token").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(F.struct("created_utc", "event_id", "pos")).alias("first_seen"),
+        F.min((F.col("_at") + F.col("pos")).cast("decimal(38,0)")).alias("first_seen"),
     )
 
 
@@ -166,8 +185,11 @@ def name_counts(tokens: DataFrame, per: str = "hour") -> DataFrame:
 
 
 def _regroup(tokens: DataFrame, per: str, out: str) -> DataFrame:
-    key = F.to_date("hour").alias("date") if per == "date" else F.col("hour")
-    return tokens.groupBy(key, out).agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
+    n = F.sum("n").alias("n")
+    if per == "hour":
+        return tokens.groupBy("hour", out).agg(n, F.min("first_seen").alias("first_seen"))
+    seen = F.min(F.struct("hour", "first_seen")).alias("first_seen")
+    return tokens.groupBy(F.to_date("hour").alias("date"), out).agg(n, seen)
 
 
 def top_k(counts: DataFrame, group: list[str], k: int) -> DataFrame:
@@ -175,7 +197,7 @@ def top_k(counts: DataFrame, group: list[str], k: int) -> DataFrame:
 
     Spark keeps only the best k per group before the shuffle.
     """
-    w = Window.partitionBy(*group).orderBy(F.col("n").desc(), "first_seen")
+    w = Window.partitionBy(*group).orderBy(F.col("n").desc(), "first_seen")  # sight is unique per item
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -142,8 +142,8 @@ SELECT event_id FROM j WHERE CAST(created AS DATE) > (SELECT max(CAST(created AS
 def retention(spark, sf):
     """The last seven days, seen from the newest event."""
     j = tables.journal(spark, sf).withColumn("created_date", F.to_date("created_utc"))
-    newest = j.agg(F.max("created_date").alias("today"))
-    return trends.retained(j.crossJoin(F.broadcast(newest)), F.col("today"), PARAMS).select("event_id")
+    today = j.agg(F.max("created_date")).scalar()
+    return trends.retained(j, today, PARAMS).select("event_id")
 
 
 @register("recent_digest", journal_sql(f"""

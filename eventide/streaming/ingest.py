@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventide.params import IngestParams
 from eventide.plans import ingest
-from eventide.session import require_utc
+from eventide.session import require_utc, stage
 from eventide.sources import journal as J
 from eventide.sources import jsonl
 
@@ -60,14 +60,13 @@ def ingest_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         nonlocal newest
-        batch = batch.persist()
-        late = late_rows(batch, newest, late_after_s).select("event_id", "source", "kind", "created_utc")
+        landed = stage(ingest.event_rows(batch))
+        late = late_rows(landed, newest, late_after_s).select("event_id", "source", "kind", "created_utc")
         # one folder per batch, replaced if the batch is repeated
         late.write.mode("overwrite").parquet(f"{journal_root}/late/batch={batch_id}")
-        ingest.append(spark, batch, segments, journal_root, p)
-        top = batch.agg(F.max("created_utc")).first()[0]
-        newest = top if newest is None else max(newest, top or newest)
-        batch.unpersist()
+        ingest.merge(spark, landed, segments, journal_root, p)
+        top = landed.agg(F.max("created_utc")).first()[0]
+        newest = max(filter(None, (newest, top)), default=None)
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()

@@ -115,3 +115,17 @@ def halo(df: DataFrame, block_s: float, back_s: float, ts: str = "ts") -> DataFr
         .withColumn(CORE, F.col(BLOCK) == F.col("_home"))
         .drop("_home")
     )
+
+
+def stitch(pieces: DataFrame, keys: Sequence[str], out: str = "_island") -> DataFrame:
+    """Name the island every piece belongs to, by the head of its first piece.
+
+    ``pieces`` has one row per (key, block, ``_seq``) with ``_head``, the order
+    of its first row; ``_seq`` counts island starts within the block.  A block's
+    leading piece (``_seq`` 0) goes to the last island begun in an earlier
+    block; before the first island it is dropped.
+    """
+    begun = F.col("_seq") > 0
+    opened = carry(pieces, keys, {"_open": F.max(F.when(begun, F.col("_head")))}, F.max)
+    named = F.when(begun, F.col("_head")).otherwise(F.col("_open"))
+    return join_carry(pieces, opened, keys).withColumn(out, named).drop("_open").where(F.col(out).isNotNull())

@@ -82,12 +82,8 @@ def bursts(frames: DataFrame, p: PerceptionParams) -> DataFrame:
         F.count_if(live).alias("_n_live"),
     )
     pieces = stage(pieces)  # far fewer than frames, and read twice below
-    # a block's leading piece belongs to the last burst started in an earlier block
     begun = F.col("_seq") > 0
-    opened = blocks.carry(pieces, KEYS, {"_open": F.max(F.when(begun, F.col("_head")))}, F.max)
-    owned = blocks.join_carry(pieces, opened, KEYS).withColumn(
-        "_burst", F.when(begun, F.col("_head")).otherwise(F.col("_open"))
-    ).where(F.col("_burst").isNotNull())
+    owned = blocks.stitch(pieces, KEYS, "_burst")
     first = lambda c: F.max(F.when(begun, F.col(c)))  # noqa: E731  one begun piece per burst
     whole = owned.groupBy(*KEYS, "_burst").agg(
         F.max("_last_live").alias("last_live_ts"),

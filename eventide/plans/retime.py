@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.times import iso_local, iso_utc_micros, local_hour_start, parse_ts
+from eventide.sources.jsonl import parse_lines
 
 SHARD_FIELDS = ("ts", "start_ts", "end_ts")
 TRANSCRIPT_FIELDS = ("ts", "start_ts", "end_ts", "start_utc", "end_utc")
@@ -104,3 +105,29 @@ def companion_targets(spark, files: dict[str, int], run_start: Column) -> DataFr
     """Target hours of companion shards: run hour plus an offset in hours per file."""
     base = spark.createDataFrame(list(files.items()), "file string, _h int")
     return base.select("file", (F.date_trunc("hour", run_start) + F.make_dt_interval(hours=F.col("_h"))).alias("target"))
+
+
+def companions(
+    before: DataFrame, after: DataFrame, transcript: DataFrame | None, order: list[str], run_start: Column, tz: str = "UTC"
+) -> DataFrame:
+    """Shards placed around a run: before and after in the hours next to it, a transcript at the first event.
+
+    Inputs are parsed lines.  Returns ``file, ts, line, retimed``, ready for
+    ``jsonl.write_shards``; a line without a time goes to the hour of its shard.
+    """
+    base = F.date_trunc("hour", run_start)
+    parts = []
+    for parsed, hours in ((before, -1), (after, 1)):
+        at = base + F.make_dt_interval(hours=F.lit(hours))
+        targets = parsed.select("file").distinct().withColumn("target", at)
+        parts.append(retime(parsed, targets, order, tz).withColumn("_at", at))
+    if transcript is not None:
+        shifted = parse_lines(parts[0].select("file", "line", *order))
+        anchor = anchor_or_previous_hour(first_event_time(shifted, order), run_start)
+        at = base - F.expr("INTERVAL '1' HOUR")
+        parts.append(align_transcript(transcript, anchor, order, tz).withColumn("_at", at))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    own = F.coalesce(*(parse_ts(F.get_json_object("line", f"$.{k}")) for k in ("ts", "loc_ts")))
+    return out.select("file", F.coalesce(own, "_at").alias("ts"), "line", "retimed")

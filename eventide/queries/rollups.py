@@ -152,10 +152,10 @@ def day_top_name(spark, sf):
 
 
 @register("hourly_score", journal_sql(
-    f"SELECT {H}, round(raw_score, 6) AS score, basis AS excitement_basis FROM scored"))
+    f"SELECT {H}, raw_score AS score, basis AS excitement_basis FROM scored"))
 def hourly_score(spark, sf):
-    raw = F.col("avg_motion_score") * 100.0 + F.col("speech_seconds")
-    return _hours(spark, sf).select(_hour(), F.round(raw, 6).alias("score"), "excitement_basis")
+    raw = F.col("avg_motion_score") * 100.0 + F.col("speech_seconds")  # before rounding
+    return _hours(spark, sf).select(_hour(), raw.alias("score"), "excitement_basis")
 
 
 @register("hour_spine", journal_sql(

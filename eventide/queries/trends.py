@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventide.functions.times import iso_z
+from eventide.operators import sessions as session
 from eventide.params import TrendParams
 from eventide.plans import rollup, trends
 from eventide.queries import tables
@@ -148,9 +149,13 @@ def retention(spark, sf):
 
 @register("recent_digest", journal_sql(f"""
 SELECT strftime(hour, {ISO_Z}) || ': ' || total_events || ' events; ' || motion_summary_events || ' motion, ' ||
-       speech_events || ' speech' AS line FROM (SELECT * FROM hourly WHERE total_events > 0 ORDER BY hour DESC LIMIT 3)"""))
+       speech_events || ' speech' || coalesce('; words ' || w, '') AS line
+FROM (SELECT * FROM hourly WHERE total_events > 0 ORDER BY hour DESC LIMIT 3) LEFT JOIN (
+  SELECT hour, string_agg(word, ', ' ORDER BY r) AS w FROM (
+    SELECT hour, word, row_number() OVER (PARTITION BY hour ORDER BY n DESC, seen) AS r FROM (
+      SELECT hour, lower(token) AS word, count(*) AS n, min((created, event_id, pos)) AS seen FROM tok GROUP BY 1, 2))
+  WHERE r <= 3 GROUP BY hour) USING (hour)"""))
 def recent_digest(spark, sf):
-    """The newest hours hold no speech, so their lines have no words."""
     j = tables.journal(spark, sf)
     words = rollup.top_k(rollup.word_counts(rollup.token_grain(j)), ["hour"], 3)
     return trends.digest(rollup.hourly(rollup.grain(j)), words).select("line")
@@ -170,7 +175,7 @@ g AS (SELECT camera, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 20 MINUTE THE
 s AS (SELECT *, sum(brk) OVER (PARTITION BY camera ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT camera, strftime(min(ts), {ISO_Z}) AS session_start, count(*) AS events FROM s GROUP BY camera, n""")
 def sessions(spark, sf):
-    """Session windows: the streaming approximation of bursts, in batch."""
-    w = F.session_window("ts", "20 minutes").alias("w")
-    return tables.events(spark, sf).groupBy("camera", w).agg(F.count(F.lit(1)).alias("events")).select(
-        "camera", iso_z(F.col("w.start")).alias("session_start"), "events")
+    """Sessions with a gap of 20 minutes: the usual approximation of bursts."""
+    e = tables.events(spark, sf).select("camera", "ts", "event_id")
+    out = session.sessions(e, ["camera"], ["ts", "event_id"], 1200.0, 86400.0)
+    return out.select("camera", iso_z(F.col("session_start")).alias("session_start"), "events")

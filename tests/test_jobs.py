@@ -237,6 +237,22 @@ def test_transcript(spark):
     assert str(late) == "2025-11-18 13:00:00"
 
 
+def test_companions(spark, tmp_path):
+    mk = lambda rows: jsonl.parse_lines(spark.createDataFrame(rows, "file string, line_no long, line string"))
+    before = mk([("b", 1, '{"ts": "2025-01-01T05:10:00Z"}'), ("b", 2, '{"ts": "2025-01-01T05:20:00Z"}')])
+    after = mk([("a", 1, '{"ts": "2025-01-01T05:50:00Z"}'), ("a", 2, '{"ts": "2025-01-01T06:05:00Z"}')])
+    said = mk([("t", 1, '{"start_utc": "2020-01-01T00:00:00Z", "text": "x"}'), ("t", 2, '{"text": "y"}')])
+    out = retime.companions(before, after, said, ["line_no"], F.lit("2026-01-02 10:30:00").cast("timestamp"))
+    got = sorted((r.file, str(r.ts)[11:16], r.retimed) for r in out.collect())
+    # the last line of the after shard spills into the hour after its target
+    assert got == [("a", "11:50", True), ("a", "12:05", True), ("b", "09:10", True), ("b", "09:20", True),
+                   ("t", "09:00", True), ("t", "09:10", True)]
+    jsonl.write_shards(out, f"{tmp_path}/events")
+    assert sorted(os.listdir(f"{tmp_path}/events/date=2026-01-02")) == ["hour=09", "hour=11", "hour=12"]
+    jsonl.write_shards(out, f"{tmp_path}/days", roll="file")
+    assert [d for d in os.listdir(f"{tmp_path}/days") if d.startswith("date")] == ["date=2026-01-02"]
+
+
 def test_perceive_writes_events_that_ingest_reads(spark, tmp_path):
     t0 = 1763474400
     frames = [("cam", i, 200, 0.9 if i < 5 else 0.0, i) for i in range(60)]

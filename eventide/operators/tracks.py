@@ -5,7 +5,8 @@ matched it for the time to live.  So time can be cut wherever a (camera, class)
 pauses for longer than that: no track crosses such a cut.  Each time block is
 cut at its first pause; rows between two cuts form one segment.  Segments are
 spread over tasks and streamed in time order, with memory for the live tracks
-only.
+only.  A segment over many blocks, a scene that never rests, is matched block
+by block: see :mod:`eventide.operators.long_segments`.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from eventide.session import stage
 
 SCOPE = ["camera", "cls"]
 SEGMENT = "_segment"
+FIRST = -(1 << 62)  # segment before a scope's first pause
 BIRTH = ["birth_ts", "birth_frame", "birth_det"]
 
 _IN = ["camera", "cls", SEGMENT, "frame_idx", "ts", "_us", "det_idx", "conf", "x1", "y1", "x2", "y2", "img_w"]
@@ -35,10 +37,9 @@ _OUT = (
 )
 
 
-def with_segments(dets: DataFrame, p: PerceptionParams) -> DataFrame:
-    """Adds the segment a detection belongs to."""
+def _cuts(b: DataFrame, p: PerceptionParams) -> DataFrame:
+    """Per (scope, block): its first pause, and the segment open when the block begins."""
     ttl = blocks.micros(p.track_ttl_s)
-    b = blocks.with_block(dets, p.block_s)
     pause = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(blocks.within(SCOPE, "ts")))
     cuts = (
         b.select(*SCOPE, BLOCK, "ts")
@@ -47,14 +48,22 @@ def with_segments(dets: DataFrame, p: PerceptionParams) -> DataFrame:
         .agg(F.min("_cut").alias("_cut"))
     )
     earlier = Window.partitionBy(*SCOPE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = cuts.withColumn(
-        "_open", F.last(F.when(F.col("_cut").isNotNull(), F.col(BLOCK)), ignorenulls=True).over(earlier)
-    )
-    return (
-        blocks.join_carry(b, cuts, SCOPE)
-        .withColumn(SEGMENT, F.when(F.col("ts") >= F.col("_cut"), F.col(BLOCK)).otherwise(F.col("_open")))
-        .drop("_cut", "_open", BLOCK)
-    )
+    begun = F.last(F.when(F.col("_cut").isNotNull(), F.col(BLOCK)), ignorenulls=True).over(earlier)
+    return cuts.withColumn("_open", F.coalesce(begun, F.lit(FIRST)))
+
+
+def _long_segments(cuts: DataFrame, most: int) -> DataFrame:
+    """Segments that reach over more than ``most`` blocks."""
+    own = F.when(F.col("_cut").isNotNull(), F.col(BLOCK))
+    touched = cuts.select(*SCOPE, BLOCK, F.explode(F.array_compact(F.array("_open", own))).alias(SEGMENT))
+    span = F.max(BLOCK) - F.min(BLOCK) + 1
+    return touched.groupBy(*SCOPE, SEGMENT).agg(span.alias("_span")).where(F.col("_span") > most).drop("_span")
+
+
+def with_segments(b: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds the segment a (blocked) detection belongs to."""
+    seg = F.when(F.col("ts") >= F.col("_cut"), F.col(BLOCK)).otherwise(F.col("_open"))
+    return blocks.join_carry(b, cuts, SCOPE).withColumn(SEGMENT, seg).drop("_cut", "_open")
 
 
 class FrameMatcher:
@@ -64,6 +73,7 @@ class FrameMatcher:
         self.iou_threshold = iou_threshold
         self.ttl_us = ttl_us
         self.live: list[dict] = []
+        self.tied = False  # whether the order of tracks ever decided a match
 
     def overlap(self, a: tuple, b: tuple) -> float:
         w = min(a[2], b[2]) - max(a[0], b[0])
@@ -81,14 +91,15 @@ class FrameMatcher:
             scored = [(self.overlap(t["box"], box), -i) for i, t in enumerate(free)]
             score, at = max(scored, default=(0.0, 0))
             if score > 0.0 and score >= self.iou_threshold:
+                self.tied |= sum(s == score for s, _ in scored) > 1
                 track = free.pop(-at)
-                track.update(box=box, us=us, n=track["n"] + 1)
+                track.update(box=box, us=us, n=track["n"] + 1, last=births[len(found)])
                 found.append(track)
             else:
                 found.append(None)
         for i, track in enumerate(found):
             if track is None:
-                track = {"box": boxes[i], "us": us, "n": 1, "birth": births[i]}
+                track = {"box": boxes[i], "us": us, "n": 1, "birth": births[i], "last": births[i]}
                 self.live.append(track)
                 found[i] = track
         return found
@@ -123,9 +134,23 @@ def _matcher(iou_threshold: float, ttl_us: int):
 
 def match_detections(dets: DataFrame, p: PerceptionParams) -> DataFrame:
     """Every (filtered) detection with the birth detection of its track and its match number."""
-    rows = with_segments(dets, p).withColumn("_us", F.unix_micros("ts")).select(*_IN)
-    ordered = rows.repartition("camera", "cls", SEGMENT).sortWithinPartitions(
-        "camera", "cls", SEGMENT, "_us", "frame_idx", "det_idx"
+    from eventide.operators import long_segments
+
+    b = blocks.with_block(dets.withColumn("_us", F.unix_micros("ts")), p.block_s)
+    cuts = stage(_cuts(b, p))
+    rows = with_segments(b, cuts)
+    busy = _long_segments(cuts, p.max_segment_blocks)
+    if busy.isEmpty():
+        return _match_whole(rows, p)
+    key = [*SCOPE, SEGMENT]
+    rest = _match_whole(rows.join(busy, key, "left_anti"), p)
+    return rest.unionByName(long_segments.match(rows.join(busy, key, "left_semi"), p).select(*rest.columns))
+
+
+def _match_whole(rows: DataFrame, p: PerceptionParams) -> DataFrame:
+    """Segments matched in one go each."""
+    ordered = rows.select(*_IN).repartition(*SCOPE, SEGMENT).sortWithinPartitions(
+        *SCOPE, SEGMENT, "_us", "frame_idx", "det_idx"
     )
     return ordered.mapInPandas(_matcher(p.iou_threshold, blocks.micros(p.track_ttl_s)), _OUT)
 

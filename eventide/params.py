@@ -53,6 +53,8 @@ class PerceptionParams:
     local_tz: str = "UTC"
     # length of the time blocks one camera's history is split into
     block_s: float = 3600.0
+    # blocks a stretch without a pause may reach over before it is matched block by block
+    max_segment_blocks: int = 12
 
     def sensitive(self) -> "PerceptionParams":
         """The sensitive profile: lower motion threshold, denser detector passes."""

@@ -136,10 +136,13 @@ def verification_row(ids: DataFrame, journal: DataFrame, start: Column, end: Col
 
 
 def resolve_window(
-    journal: DataFrame, date: str | None = None, start: str | None = None, end: str | None = None, tz: str = "UTC"
+    spark: SparkSession, newest: DataFrame, date: str | None = None, start: str | None = None, end: str | None = None,
+    tz: str = "UTC",
 ) -> tuple[dt.datetime, dt.datetime] | None:
-    """UTC bounds: a given day, given start and end, or the newest day; None for an empty journal."""
-    spark = journal.sparkSession
+    """UTC bounds: a given day, given start and end, or the day of the newest event; None without events.
+
+    ``newest`` is any part of the journal that holds its newest event.
+    """
     if date:
         s, e = day_bounds(F.lit(date).cast("timestamp"), "UTC")
     elif start and end:
@@ -147,7 +150,7 @@ def resolve_window(
 
         s, e = parse_ts(F.lit(start)), parse_ts(F.lit(end))
     else:
-        row = rollup.latest_day(journal, tz).select(F.unix_seconds("start"), F.unix_seconds("end")).first()
+        row = rollup.latest_day(newest, tz).select(F.unix_seconds("start"), F.unix_seconds("end")).first()
         return None if row is None else tuple(dt.datetime.fromtimestamp(v, dt.timezone.utc) for v in row)
     row = spark.range(1).select(F.unix_seconds(s), F.unix_seconds(e)).first()
     return tuple(dt.datetime.fromtimestamp(v, dt.timezone.utc) for v in row)
@@ -164,7 +167,7 @@ def summarize(
     """
     require_utc(spark)
     journal = J.events(spark, journal_root)
-    window = resolve_window(journal, date, start, end, tz)
+    window = resolve_window(spark, J.newest_part(spark, journal_root), date, start, end, tz)
     if window is None:
         return None
     lo, hi = (F.lit(w) for w in window)

@@ -119,7 +119,9 @@ def merge(spark: SparkSession, batch: DataFrame, segments: DataFrame, root: str,
     """
     candidates = batch.count()
     if p.dedupe_seconds is not None and p.dedupe_seconds >= 0:
-        batch = drop_windowed_duplicates(batch, journal.events(spark, root), p.dedupe_seconds)
+        # equal payloads have equal times, so only the batch's dates can hold a duplicate
+        known = journal.on_dates_of(journal.events(spark, root), batch)
+        batch = drop_windowed_duplicates(batch, known, p.dedupe_seconds)
     caps = caption_rows(batch).withColumn(journal.DATE, F.to_date("created_utc"))
     n_caps = journal.append_new(caps, journal.captions(spark, root), f"{root}/captions", "event_id", journal.DATE)
     n_clips = journal.append_new(clip_rows(batch, segments), journal.clips(spark, root), f"{root}/clips", "clip_id")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from eventide import schema
 
 DATE = "created_date"
+MAX_DATES = 5000  # longest list of date literals in a filter
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -46,6 +47,29 @@ def scan_window(journal: DataFrame, start: Column, end: Column) -> DataFrame:
     return df.where(F.col("created_utc").between(start, end)).select(*cols)
 
 
+def newest_part(spark: SparkSession, root: str) -> DataFrame:
+    """Events of the newest date folder: found by listing folders, without reading older data."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/events")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    dates = sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{DATE}=") and "__" not in n)
+    found = events(spark, root)
+    return found.where(F.col(DATE) == F.lit(dates[-1]).cast("date")) if dates else found.limit(0)
+
+
+def on_dates_of(existing: DataFrame, batch: DataFrame, partition: str = DATE) -> DataFrame:
+    """``existing`` reduced to the dates of ``batch``, as a filter that prunes folders.
+
+    The dates are literals: a semi join would not prune, since nothing filters
+    the batch.  Beyond ``MAX_DATES`` dates their range is used.
+    """
+    dates = [r[0] for r in batch.select(partition).distinct().limit(MAX_DATES + 1).collect()]
+    if len(dates) <= MAX_DATES:
+        return existing.where(F.col(partition).isin(dates))
+    lo, hi = batch.agg(F.min(partition), F.max(partition)).first()
+    return existing.where(F.col(partition).between(lo, hi))
+
+
 def new_rows(batch: DataFrame, existing: DataFrame, key: str, partition: str | None = None) -> DataFrame:
     """Rows of ``batch`` whose key is new, one per key.
 
@@ -53,12 +77,8 @@ def new_rows(batch: DataFrame, existing: DataFrame, key: str, partition: str | N
     only the batch's own dates of the existing table are read.  The copies of a
     repeated key are merged map-side before the shuffle.
     """
-    unique = batch.dropDuplicates([key])
-    if partition is None:
-        return unique.join(existing.select(key), key, "left_anti")
-    dates = batch.select(partition).distinct()  # at most one row per calendar day
-    known = existing.select(key, partition).join(F.broadcast(dates), partition, "left_semi").select(key)
-    return unique.join(known, key, "left_anti")
+    known = existing if partition is None else on_dates_of(existing, batch, partition)
+    return batch.dropDuplicates([key]).join(known.select(key), key, "left_anti")
 
 
 def append_new(

@@ -56,7 +56,7 @@ def ingest_stream(
     require_utc(spark)
     segments = ingest.empty_segments(spark) if segments is None else segments
     rows = ingest.normalise(read_stream(spark, events_root, p, files_per_trigger), p, segments)
-    newest = J.events(spark, journal_root).agg(F.max("created_utc")).first()[0]
+    newest = J.newest_part(spark, journal_root).agg(F.max("created_utc")).first()[0]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         nonlocal newest

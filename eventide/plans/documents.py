@@ -14,6 +14,7 @@ from eventide.sources import journal as J
 
 # An hour's ids go into its document only up to this many; see hour_event_ids
 MAX_IDS_IN_DOCUMENT = 1_000_000
+IDS = "hour timestamp, created_utc timestamp, event_id string"
 
 
 def _as_map(counts: DataFrame, group: str, key: str, out: str) -> DataFrame:
@@ -184,13 +185,14 @@ def summarize(
         if top > MAX_IDS_IN_DOCUMENT:
             raise ValueError(f"an hour has {top} ids; use the hour_ids table instead of lists in documents")
     ids.withColumn("date", F.to_date("hour")).repartition("hour", F.pmod(F.xxhash64("event_id"), F.lit(16))).write.mode(
-        "overwrite").partitionBy("date").parquet(f"{out_root}/hour_ids")
+        "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{out_root}/hour_ids")
     docs = hourly_documents(hours, g, tokens, ids if with_event_ids else None)
     # a window has few hours; one sorted file, replaced as a whole
     docs.orderBy("hour").drop("hour").coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out_root}/hourly")
 
     # the check reads back what was written: the ids table against the journal
-    written = spark.read.schema(ids.schema).parquet(f"{out_root}/hour_ids")
+    written = spark.read.schema(f"{IDS}, date date").parquet(f"{out_root}/hour_ids").where(
+        F.col("date").between(F.to_date(lo), F.to_date(hi)) & F.col("created_utc").between(lo, hi))
     checked = verification_row(written, journal, lo, hi)
     day = daily_documents(hours, docs, g, tokens, bounds, checked)
     day.withColumn("date", F.col("date_utc")).write.mode("overwrite").option("ignoreNullFields", "false").option(

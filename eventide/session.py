@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     A machine-local folder is only made for a local master (tests); on a
     cluster the setting has to be there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):

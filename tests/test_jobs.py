@@ -136,6 +136,7 @@ def test_summaries(spark, shard):
 
 def test_empty_window_reports_the_row_count(spark, shard):
     ingest.ingest(spark, f"{shard}/events", f"{shard}/journal", IngestParams(clips_dir=f"{shard}/record"))
+    documents.summarize(spark, f"{shard}/journal", f"{shard}/out")  # ids of another day stay on disk
     documents.summarize(spark, f"{shard}/journal", f"{shard}/out", start="2025-11-19T00:00:00Z", end="2025-11-19T01:30:00Z")
     d = f"{shard}/out/daily/date=2025-11-19"
     day = json.load(open(os.path.join(d, [f for f in os.listdir(d) if f.endswith(".json")][0])))

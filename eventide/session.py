@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 # Settings that change results or plans.  Cluster size is left to the caller.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,7 +34,26 @@ def build(master: str | None = None, app: str = "eventide", **conf: str) -> Spar
         b = b.config(k, v)
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each application.
+
+    Functions given to ``mapInPandas`` and the like are pickled by reference, so workers must be able to import them.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="eventide-")) / f"eventide-{sc.applicationId}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
 
 
 def require_utc(spark: SparkSession) -> None:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import chat, langid, simhash, urls
+from eventide.llm import bpe, chat, langid, simhash, urls
 from eventide.llm.common import fold, read
 
 QUERIES: dict = {}
@@ -145,3 +146,12 @@ def op8_urls(spark: SparkSession, sf: str) -> DataFrame:
     labels = read(spark, sf, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     return urls.judge(read(spark, sf, "pages"), labels.select(F.col("doc_id").alias("id"), bad.alias("bad")), URL_RULES)
+
+
+@query()
+def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    out = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )

@@ -51,8 +51,11 @@ class Automaton:
                 self.bytes_of[i] = b
         for k, (a, b) in enumerate(merges, 1):  # one gadget for each merge, in order
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            self.joined.setdefault(u * size + v, k)
-            if not self.made[w] and self.left[w] < 0 and len(a + b) > 1:
+            # Where v cannot follow u at this step, there is no path to shorten and no arc comes of the merge.
+            if u * size + v in self.joined or not self.bytes_of[u] or not self.bytes_of[v] or not self._free(u, v, k):
+                continue
+            self.joined[u * size + v] = k
+            if not self.bytes_of[w]:
                 self.left[w], self.right[w], self.made[w] = u, v, k
                 self.bytes_of[w] = self.bytes_of[u] + self.bytes_of[v]
         self.special = special or {}
@@ -61,7 +64,7 @@ class Automaton:
         self.step: list[dict[int, int]] = [{}]
         self.label: list[int] = [-1]
         for i, b in enumerate(self.bytes_of):
-            if not b or i in self.special.values() or (len(b) > 1 and self.left[i] < 0):
+            if not b or i in self.special.values():
                 continue
             at = 0
             for x in b:
@@ -83,32 +86,30 @@ class Automaton:
         return cls(j["model"]["vocab"], merges, {t["content"]: t["id"] for t in j.get("added_tokens", [])})
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether no gadget has taken arc ``b`` away after arc ``a``.
-
-        Walks down the facing edges of both tokens, newest part first: the two edges would have been joined by a merge
-        older than the part that hides them.
-        """
+        """Whether no gadget has taken arc ``b`` away after arc ``a``."""
         key = a * self.size + b
         known = self.pairs.get(key)
-        if known is not None:
-            return known
-        limit, x, y = len(self.joined) + 1, a, b
+        if known is None:
+            if len(self.pairs) > 1 << 21:
+                self.pairs.clear()
+            known = self.pairs[key] = self._free(a, b, len(self.joined) + len(self.made) + 1)
+        return known
+
+    def _free(self, x: int, y: int, limit: int) -> bool:
+        """Walks down the facing edges of two tokens, newest part first: no merge made before ``limit`` joins them.
+
+        A merge that joins what stood on both sides of the border counts if it is older than the part that hides them.
+        """
         while True:
             k = self.joined.get(x * self.size + y)
             if k is not None and k < limit:
-                free = False
-                break
+                return False
             if self.made[x] > self.made[y]:  # before the left token was complete, its right part stood here
                 limit, x = self.made[x], self.right[x]
             elif self.made[y]:  # equal merges go from left to right, so one in the same step comes first
                 limit, y = self.made[y] + 1, self.left[y]
             else:
-                free = True
-                break
-        if len(self.pairs) > 1 << 21:
-            self.pairs.clear()
-        self.pairs[key] = free
-        return free
+                return True
 
     def _word(self, word: bytes) -> tuple[int, ...]:
         """Labels of the one accepted path that spells ``word``.

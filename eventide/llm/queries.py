@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, chat, langid, simhash, urls
+from eventide.llm import bpe, chat, html_text, langid, simhash, urls
 from eventide.llm.common import fold, read
 
 QUERIES: dict = {}
@@ -155,3 +155,8 @@ def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query()
+def op7_html(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(read(spark, sf, "pages").select("page_id", "url", "html"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, chat, html_text, langid, simhash, urls
+from eventide.llm import bpe, chat, html_text, langid, quality, simhash, urls
 from eventide.llm.common import fold, read
 
 QUERIES: dict = {}
@@ -160,3 +160,8 @@ def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op7_html(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(read(spark, sf, "pages").select("page_id", "url", "html"))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(read(spark, sf, "documents"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, chat, html_text, langid, quality, simhash, urls
+from eventide.llm import bpe, chat, decontaminate, html_text, langid, quality, simhash, urls
 from eventide.llm.common import fold, read
 
 QUERIES: dict = {}
@@ -165,3 +165,8 @@ def op7_html(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(read(spark, sf, "documents"))
+
+
+@query()
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))

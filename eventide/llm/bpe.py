@@ -21,7 +21,8 @@ from eventide.llm.common import annotate
 
 # The pre-splitting pattern of byte-level tokenizer files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 1 << 18  # words whose tokens a worker remembers
+CACHE = 1 << 17  # words whose tokens a worker remembers
+PAIRS = 1 << 18  # answers about neighbours that it remembers
 
 
 def byte_letters() -> dict[str, int]:
@@ -90,7 +91,7 @@ class Automaton:
         key = a * self.size + b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 1 << 21:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self._free(a, b, len(self.joined) + len(self.made) + 1)
         return known

@@ -127,7 +127,7 @@ def judge(
     post = reputation(seen, p.select("site").distinct())
     a, b = c("a"), c("b")
     bound = a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    blocked = post.select("site", (bound > threshold).alias("blocked"))
+    blocked = stage(post.select("site", (bound > threshold).alias("blocked")))  # a plain table: a hot site's join can be split
     rule = rule_of(c("host"), c("path"), rules)
     return p.join(blocked, "site").withColumn("r", rule).select(
         "page_id", "host", "path", c("r.text").alias("rule"),

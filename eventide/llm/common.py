@@ -6,8 +6,10 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from eventide.session import shared_dir, stage
 
-__all__ = ["annotate", "blocked", "fold", "read", "shared_dir", "stage", "words"]
+__all__ = ["annotate", "blocked", "fold", "pack", "read", "shared_dir", "stage", "unpack", "words"]
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,18 +38,24 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0).cast("bigint"))
 
 
-def blocked(df: DataFrame, id_col: str, text_col: str, block_bytes: int, rows: int = 4096) -> DataFrame:
-    """``df`` (id and text only) as a table bucketed by ``block``, ready for repeated look-ups by block.
+def blocked(
+    df: DataFrame, id_col: str, text_col: str, block_bytes: int, rows: int = 4096, others: tuple[str, ...] = ()
+) -> DataFrame:
+    """``df`` as a table bucketed by ``block``, ready for repeated look-ups by block.
 
     A block is a run of neighbouring rows of one input partition with about ``block_bytes`` bytes of text, or one
     longer text.  The table lies in the shared folder; bucketing lets every later exchange of answers meet the
     blocks where they are, so texts are never shuffled.  Columns: block long, row int (place in the block), id,
-    text (empty for null).
+    text (empty for null), rest (struct of the columns ``others``; null without any).
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "stage", uuid.uuid4().hex)
     name = "llm_blocks_" + os.path.basename(path)
-    source = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rest = F.struct(*others) if others else F.lit(None).cast("string")
+    source = df.select(
+        F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest")
+    )
+    schema = StructType.fromDDL("block long, row int").fields + source.schema.fields
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, row = TaskContext.get().partitionId() << 32, 0, 0
@@ -60,11 +68,10 @@ def blocked(df: DataFrame, id_col: str, text_col: str, block_bytes: int, rows: i
                 places.append(row)
                 size, row = size + n, row + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int64()), pa.array(places, pa.int32()), b.column(0), b.column(1)],
-                ["block", "row", "id", "text"],
+                [pa.array(blocks, pa.int64()), pa.array(places, pa.int32()), *b.columns], ["block", "row", "id", "text", "rest"]
             )
 
-    numbered = source.mapInArrow(number, "block long, row int, id long, text string")
+    numbered = source.mapInArrow(number, StructType(schema))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     numbered.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     return spark.table(name)
@@ -91,3 +98,22 @@ def annotate(df: DataFrame, text_col: str, schema: str, fn, slice_rows: int = 25
                 yield pa.RecordBatch.from_arrays(arrays, [*kept, *new.names])
 
     return df.mapInArrow(run, out)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Some one-dimensional arrays as one compressed value."""
+    head = ",".join(f"{a.dtype.str}{len(a)}" for a in arrays).encode()
+    body = b"".join([len(head).to_bytes(4, "little"), head, *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack(value: bytes) -> list[np.ndarray]:
+    body = zstandard.ZstdDecompressor().decompress(value)
+    at = 4 + int.from_bytes(body[:4], "little")
+    out = []
+    for part in body[4:at].decode().split(","):
+        kind = np.dtype(part[:3])
+        n = int(part[3:])
+        out.append(np.frombuffer(body, kind, n, at))
+        at += n * kind.itemsize
+    return out

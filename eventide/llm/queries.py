@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, chat, decontaminate, html_text, langid, quality, simhash, urls
+from eventide.llm import bpe, chat, decontaminate, factors, html_text, langid, quality, simhash, urls
 from eventide.llm.common import fold, read
 
 QUERIES: dict = {}
@@ -170,3 +170,12 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query()
+def op2_factors(spark: SparkSession, sf: str) -> DataFrame:
+    out = factors.without_repeats(read(spark, sf, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

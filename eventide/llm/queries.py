@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, chat, decontaminate, factors, html_text, langid, quality, simhash, urls
+from eventide.llm import bpe, chat, decontaminate, factors, html_text, langid, lm, quality, simhash, urls
 from eventide.llm.common import fold, read
 
 QUERIES: dict = {}
@@ -179,3 +179,9 @@ def op2_factors(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op1_lm(spark: SparkSession, sf: str) -> DataFrame:
+    out = lm.score(read(spark, sf, "documents"), fold(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

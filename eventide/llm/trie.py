@@ -71,9 +71,11 @@ class EliasFano:
         end[inside] = self.bucket[b + 1]
         low = x & np.uint64((1 << self.low_bits) - 1)
         todo = np.flatnonzero(at < end)
-        while len(todo):  # as often as the fullest bucket has elements
-            todo = todo[self._low(at[todo]) < low[todo]]
-            at[todo] += 1
+        while len(todo):  # bisection inside the buckets
+            middle = (at[todo] + end[todo]) >> 1
+            less = self._low(middle) < low[todo]
+            at[todo[less]] = middle[less] + 1
+            end[todo[~less]] = middle[~less]
             todo = todo[at[todo] < end[todo]]
         return at
 

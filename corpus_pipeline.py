@@ -1,9 +1,92 @@
-"""Cleans the documents table: one operator after the other, each stage written before the next reads it."""
+"""Cleans the documents table, one operator after the other; each stage is written before the next one reads it.
+
+    language ID      rows whose language isn't recognised go (null and letterless texts, scores under the calibrated floor)
+    near-dedup       of each group of near copies the row with the smallest id stays
+    exact dedup      passages that stand in a document with a smaller id are cut out; rows left without text go
+    decontamination  rows that give a test item away go
+    BPE              ids of each text
+
+All stages but the last return the columns of ``documents``; every stage takes a table without rows, null ids, repeated rows
+and columns that documents doesn't have, which pass through.
+"""
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventide.llm import bpe, decontaminate, factors, langid, simhash
+from eventide.llm.common import read, shared_dir, stage
+
 ORACLE_SQL = None
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the rows that have a language; looks at the text alone to decide."""
+    told = langid.identify(docs, docs.select("doc_id", "text", "lang"))
+    return told.where("lang_ok").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: that with the smallest id, and of its repeated rows one.
+
+    Rows that share an id are one document, which goes if any of them is a later copy of another document.  A group holds what fingerprints link, and what 0.8 or more of the five-word shingles link.  Documents without an id
+    stay: nothing says which of them is first.
+    """
+    found = simhash.near_duplicates(docs.select("doc_id", "text"), similarity=0.8)
+    later = stage(found.where("doc_id != component_id").select("doc_id").distinct())
+    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    twice = stage(ids.where("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages of 50 bytes and more are cut out of all documents but the first; half characters are dropped."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = factors.without_repeats(docs, others=others, as_text=True)
+    out = cut.where("n_removed = 0 OR length(kept) > 0").select(
+        F.col("id").alias("doc_id"), F.col("kept").alias("text"), *[F.col(f"rest.{c}").alias(c) for c in others]
+    )
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that give a test item away go."""
+    return decontaminate.marked(docs, read(spark, sf_dir, "benchmark")).where("size(leaks) = 0").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of ids, the ids (little-endian unsigned 32-bit integers), and whether they decode to the text."""
+    pairs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("input"), "text")
+    out = bpe.round_trip(pairs, public_tokenizers.path(TOKENIZER))
+    return out.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.col("input")).alias("round_trip"))
+
+
+STAGES = [
+    ("language", language),
+    ("near", near),
+    ("exact", exact),
+    ("benchmark", benchmark),
+    ("tokens", tokens),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; what each keeps is written to the shared folder and read by the next."""
+    docs = read(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        path = os.path.join(shared_dir(spark), "pipeline", f"{name}-{uuid.uuid4().hex}")
+        step(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

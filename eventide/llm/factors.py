@@ -262,14 +262,15 @@ def _answers(told: pa.Table, kind: int, shard: np.ndarray, dtype: str) -> np.nda
 
 def without_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = (), length: int = LENGTH,
-    gram: int = GRAM, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = HOT,
+    gram: int = GRAM, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = HOT, as_text: bool = False,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, kept (binary), n_bytes, n_removed, spans, rest (struct of ``others``).
 
     Every byte of a text in UTF-8 goes that is covered by a string of ``length`` bytes which also starts in a document
     with a smaller id, judged on the input; ``spans`` are the removed runs (start, length).  Null texts are empty; shorter
     texts lose nothing.  Rows that share an id are one document: none is earlier than another.  A null id is in no order:
-    its row loses nothing and takes nothing from others.  No rows give no rows.
+    its row loses nothing and takes nothing from others.  No rows give no rows.  With ``as_text`` kept is a string,
+    without the bytes of characters that a cut has split.
 
     Texts lie still in blocks.  Per shard of anchors one task learns which anchors are in two documents, then sorts the
     suffixes of the passages around those, each distinct passage of a block once.  An anchor seen over ``hot`` times sends
@@ -329,7 +330,7 @@ def without_repeats(
         return _rows(_TOLD, [(r["block"], 1, r["shard"], pack(mask[a:z])) for r, a, z in zip(rows, edge, edge[1:], strict=False)])
 
     result = StructType.fromDDL(
-        "id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:bigint,length:bigint>>"
+        f"id long, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, spans array<struct<start:bigint,length:bigint>>"
     ).add("rest", blocks.schema["rest"].dataType)
 
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
@@ -341,7 +342,8 @@ def without_repeats(
             g = gone[a:z]
             edges = np.flatnonzero(np.diff(np.concatenate(([False], g, [False])).astype(np.int8))).tolist()
             spans = [{"start": s, "length": e - s} for s, e in zip(edges[::2], edges[1::2], strict=True)]
-            rows.append((i, b.bytes[a:z][~g].tobytes(), z - a, int(g.sum()), spans, x))
+            kept = b.bytes[a:z][~g].tobytes()
+            rows.append((i, kept.decode("utf-8", "ignore") if as_text else kept, z - a, int(g.sum()), spans, x))
         return _rows(result, rows)
 
     by_block, told = blocks.groupBy("block"), None

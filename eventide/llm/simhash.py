@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from eventide.llm.common import annotate, stage, words
 from eventide.llm.graph import components
+from eventide.llm.similar import similar_pairs
 
 BITS = 64
 SEED = 42
@@ -124,7 +125,8 @@ def links(fps: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, group: int = GROUP
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, group: int = GROUP,
+    similarity: float | None = None, size: int = 5,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id.
 
@@ -133,6 +135,9 @@ def near_duplicates(
     ``shingle`` words hash the whole sequence.  Repeated rows and ids are kept as they are; a null id keeps its row and
     never becomes a component_id unless all of the component are null.  Other columns are ignored.  Equal fingerprints
     are folded into one row before any search, so copies cost nothing there.  Runs jobs when called.
+
+    With ``similarity``, documents are also linked whose sets of ``size``-word shingles are as similar (Jaccard): edits
+    that a fingerprint of the whole text moves further than the radius (:mod:`similar`).
     """
     def run(texts: list[str | None]) -> list[np.ndarray]:
         return [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
@@ -140,7 +145,14 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     marked = stage(annotate(rows, "text", "fp long", run))
     unique = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(unique.select("fp"), radius, group))
+    edges = links(unique.select("fp"), radius, group)
+    if similarity is not None:
+        fp_of = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("fp"))
+        pairs = similar_pairs(rows, "doc_id", "text", size, similarity)
+        pairs = pairs.join(fp_of.select(F.col("doc_id").alias("a"), F.col("fp").alias("x")), "a")
+        pairs = pairs.join(fp_of.select(F.col("doc_id").alias("b"), F.col("fp").alias("y")), "b")
+        edges = edges.unionByName(pairs.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    roots = components(edges)
     rooted = unique.join(roots.withColumnsRenamed({"a": "fp", "b": "root"}), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least"
     )

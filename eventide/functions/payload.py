@@ -146,11 +146,6 @@ def is_motion(kind: Column, payload_type: Column) -> Column:
     return F.coalesce(kind == MOTION_KIND, F.lit(False)) | F.coalesce(payload_type == MOTION_KIND, F.lit(False))
 
 
-def motion_score(payload: Column) -> Column:
-    """Score as DOUBLE; missing or unusable counts as 0."""
-    return F.coalesce(F.get_json_object(payload, "$.motion_score").try_cast("double"), F.lit(0.0))
-
-
 def speech_seconds(start: Column, end: Column, t0_ms: Column, t1_ms: Column) -> Column:
     """Utterance length; offsets stand in for missing times, but not when either is 0."""
     spoken = (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)

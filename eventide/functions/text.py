@@ -23,10 +23,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, TOKEN_SEPARATOR), lambda t: t != "")
 
 
-def char_count(text: Column) -> Column:
-    return F.char_length(strip(text))
-
-
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, f"{WS}+"), lambda w: w != ""))
 

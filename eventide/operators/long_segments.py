@@ -13,8 +13,8 @@ entered.  So:
 3. with the settled entries every detection gets its track within the block,
    and a pass over one row per (block, track) links tracks across blocks.
 
-Entries are compared in order only if the order of tracks decided some match in
-the block (a tie); else as sets.
+Entries are compared in order: which of two equally near tracks came first
+decides a match, in this block or in a later one that the order is handed to.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ CHUNK = [*SCOPE, SEGMENT, BLOCK]
 BOX = ["x1", "y1", "x2", "y2"]
 DET = ["_us", "frame_idx", "det_idx"]
 _CHUNK_DDL = f"camera string, cls string, {SEGMENT} long, {BLOCK} long"
-_ENDS = f"{_CHUNK_DDL}, _us long, frame_idx long, det_idx int, x1 double, y1 double, x2 double, y2 double, pos int, tied boolean"
+_ENDS = f"{_CHUNK_DDL}, _us long, frame_idx long, det_idx int, x1 double, y1 double, x2 double, y2 double, pos int"
 _ROOTED = f"{_CHUNK_DDL}, _us long, frame_idx long, det_idx int, r_us long, r_frame long, r_det int, seeded boolean, n int"
 _LINKED = f"{_CHUNK_DDL}, r_frame long, r_det int, birth_us long, birth_frame long, birth_det int, before int"
 
@@ -49,8 +49,7 @@ def _walk(p: PerceptionParams, final: bool):
         chunk, m = None, None
 
         def ends() -> list[tuple]:
-            here = [(*chunk, None, None, None, None, None, None, None, -1, m.tied)]
-            return here + [(*chunk, *t["last"], *t["box"], i, m.tied) for i, t in enumerate(m.live)]
+            return [(*chunk, *t["last"], *t["box"], i) for i, t in enumerate(m.live)]
 
         for pdf, groups in whole_groups(batches, [*CHUNK, "_row", "_us", "frame_idx"]):
             keys = list(zip(*(pdf[c] for c in CHUNK)))
@@ -92,7 +91,7 @@ def _run(rows: DataFrame, seeds: DataFrame | None, p: PerceptionParams, final: b
 
 def _entries(chunks: DataFrame, ends: DataFrame) -> DataFrame:
     """Tracks live at the end of each chunk's predecessor, as the chunk's entry."""
-    prev = ends.where(F.col("pos") >= 0).withColumnRenamed(BLOCK, "_prev").drop("tied")
+    prev = ends.withColumnRenamed(BLOCK, "_prev")
     return chunks.where(F.col("_prev").isNotNull()).join(prev, [*SCOPE, SEGMENT, "_prev"]).drop("_prev")
 
 
@@ -109,13 +108,10 @@ def _settle(rows: DataFrame, chunks: DataFrame, p: PerceptionParams) -> DataFram
     while True:
         seeds = stage(_entries(chunks, ends))
         now = stage(_signature(seeds))
-        ties = ends.where(F.col("pos") == -1).select(*CHUNK, "tied")
-        both = now.join(used.withColumnRenamed("_sig", "_old"), CHUNK, "full_outer").join(ties, CHUNK)
+        both = now.join(used.withColumnRenamed("_sig", "_old"), CHUNK, "full_outer")
         none = F.array().cast(now.schema["_sig"].dataType)
         a, b = F.coalesce("_sig", none), F.coalesce("_old", none)
-        bare = lambda s: F.array_sort(F.transform(s, lambda e: F.struct(e["frame_idx"], e["det_idx"])))
-        differs = (bare(a) != bare(b)) | (F.col("tied") & (a != b))
-        changed = stage(both.where(differs).select(*CHUNK))
+        changed = stage(both.where(a != b).select(*CHUNK))
         if changed.isEmpty():
             return seeds
         again = _run(rows.join(changed, CHUNK, "left_semi"), seeds.join(changed, CHUNK, "left_semi"), p, final=False)

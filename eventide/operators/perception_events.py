@@ -14,6 +14,7 @@ from eventide.functions.geometry import side_phrase
 from eventide.functions.times import iso_local, iso_utc_micros
 from eventide.params import PerceptionParams
 
+# The message texts below follow the event format that readers of these lines know.
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -104,9 +105,9 @@ def burst_events(burst_table: DataFrame, p: PerceptionParams) -> DataFrame:
     dur = c("duration_s")
     flushed = lambda text: F.when(c("flushed"), text).otherwise("")
     # stable id: derived from what identifies the burst, not from a clock
-    short = F.left(F.sha1(F.concat_ws("|", c("camera"), begin)), F.lit(9))
+    ident = F.sha1(F.concat_ws("|", c("camera"), begin))
     summary = F.when(c("kept"), _event(at, F.lit("motion.summary"), _line(
-        type=F.lit("motion.summary"), event_id=F.concat(F.lit("ev_"), short), ts=local(at), source=source,
+        type=F.lit("motion.summary"), event_id=F.concat(F.lit("ev_"), ident), ts=local(at), source=source,
         motion_score=F.round("peak_motion", 3), novelty=F.lit(None).cast("string"), objects=c("objects"),
         frames=F.create_map().cast("map<string,string>"), clip=F.lit(""),
         notes=F.format_string(

@@ -73,7 +73,6 @@ class FrameMatcher:
         self.iou_threshold = iou_threshold
         self.ttl_us = ttl_us
         self.live: list[dict] = []
-        self.tied = False  # whether the order of tracks ever decided a match
 
     def overlap(self, a: tuple, b: tuple) -> float:
         w = min(a[2], b[2]) - max(a[0], b[0])
@@ -91,7 +90,6 @@ class FrameMatcher:
             scored = [(self.overlap(t["box"], box), -i) for i, t in enumerate(free)]
             score, at = max(scored, default=(0.0, 0))
             if score > 0.0 and score >= self.iou_threshold:
-                self.tied |= sum(s == score for s, _ in scored) > 1
                 track = free.pop(-at)
                 track.update(box=box, us=us, n=track["n"] + 1, last=births[len(found)])
                 found.append(track)

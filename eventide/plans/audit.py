@@ -1,4 +1,4 @@
-"""Audit jobs: journal health, clip mapping, peek, schema check."""
+"""Audit jobs: journal health, clip mapping, and peek."""
 
 from __future__ import annotations
 
@@ -8,15 +8,11 @@ from pyspark.sql import functions as F
 from eventide.functions import payload as P
 from eventide.functions.times import strip
 from eventide.params import IngestParams
-from eventide.schema import ROLLUP_COLUMNS
+from eventide.plans import ingest
 
 PEEK_KEYS = 8  # fixed value: keys shown per line
 
 
-def missing_columns(df: DataFrame, needed: tuple[str, ...] = ROLLUP_COLUMNS) -> list[str]:
-    return [c for c in needed if c not in df.columns]
-
-
 def journal_audit(events: DataFrame, clips: DataFrame, captions: DataFrame) -> DataFrame:
     """Rows, distinct keys and missing times per table; keys repeat when the first two differ."""
 
@@ -46,7 +42,8 @@ def clip_audit(parsed: DataFrame, segments: DataFrame, p: IngestParams, sample:
     if sample:
         lines = lines.orderBy("file", "line_no").limit(sample)
     clip = P.media_path(strip(P.text_of(F.col("obj.clip"))), F.regexp_replace("file", "^file:/+", "/"), p.clips_dir)
-    known = segments.select(F.col("path").alias("clip_path"), F.lit(1).alias("_known")).distinct()
+    elsewhere = ingest.named_files(parsed.sparkSession, lines, p)
+    known = segments.select("path").unionByName(elsewhere).select(F.col("path").alias("clip_path"), F.lit(1).alias("_known")).distinct()
     return (
         lines.withColumn("clip_path", clip)
         .drop("line", "obj")

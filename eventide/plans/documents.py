@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from eventide.functions.times import day_bounds, iso_z
 from eventide.plans import rollup, verify
-from eventide.session import require_utc
+from eventide.session import require_utc, stage
 from eventide.sources import journal as J
 
-# An hour's ids go into its document only up to this many; see hour_event_ids
-MAX_IDS_IN_DOCUMENT = 1_000_000
 IDS = "hour timestamp, created_utc timestamp, event_id string"
+IDS_TABLE = "hour_ids"
 
 
 def _as_map(counts: DataFrame, group: str, key: str, out: str) -> DataFrame:
@@ -31,12 +30,11 @@ def _as_list(top: DataFrame, group: str, item: str, out: str) -> DataFrame:
     )
 
 
-def hourly_documents(hours: DataFrame, g: DataFrame, tokens: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def hourly_documents(hours: DataFrame, g: DataFrame, tokens: DataFrame) -> DataFrame:
     """One row per hour with the fields of an hourly JSON document.
 
-    ``ids`` (from :func:`rollup.hour_event_ids`) adds the id list.  It is for
-    windows of modest size: an hour with more than ``MAX_IDS_IN_DOCUMENT`` ids
-    is an error, not a shortened list.
+    ``event_ids`` says how many ids the hour has and where they are: as rows of
+    the table ``hour_ids`` beside the documents, whatever their number.
     """
     docs = (
         hours.join(_as_map(rollup.counts_by(g, "kind"), "hour", "kind", "counts_by_kind"), "hour", "left")
@@ -50,12 +48,11 @@ def hourly_documents(hours: DataFrame, g: DataFrame, tokens: DataFrame, ids: Dat
         "unique_sources", "unique_clips", "sum_duration_ms",
         iso_z(F.col("first_created")).alias("first_event_created_utc"),
         iso_z(F.col("last_created")).alias("last_event_created_utc"),
+        F.struct(
+            F.col("total_events").alias("count"), F.lit(IDS_TABLE).alias("table"),
+            F.date_format("hour", "yyyy-MM-dd").alias("date"), F.date_format("hour", "HH").alias("hh"),
+        ).alias("event_ids"),
     ]
-    if ids is not None:
-        ordered = F.array_sort(F.collect_list(F.struct("created_utc", "event_id")))
-        lists = ids.groupBy("hour").agg(F.transform(ordered, lambda r: r["event_id"]).alias("event_ids"))
-        docs = docs.join(lists, "hour", "left")
-        fields.append(_or_empty("event_ids", "array<string>"))
     return docs.select(
         "hour", *fields,
         "speech_events", "speech_suppressed_events", "speech_seconds", "speech_words", "speech_chars",
@@ -126,12 +123,12 @@ def daily_documents(
 
 
 def verification_row(ids: DataFrame, journal: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Check result of a document; without ids the window's row count stands in."""
-    found = verify.verification(ids, journal)
-    sample = verify.missing_sample(ids, journal).agg(F.array_sort(F.collect_list("event_id")).alias("missing_ids_sample"))
+    """Check result of a document; without ids the window's row count stands in.  Only the window's dates are read."""
+    dates = F.col(J.DATE).between(F.to_date(start), F.to_date(end))
+    found = verify.verification(ids.withColumnRenamed("date", J.DATE), journal.where(dates))
     in_window = verify.count_in_window(journal, start, end)
     return found.select(
-        "checked_event_ids", "missing_event_ids", sample.scalar().alias("missing_ids_sample"),
+        "checked_event_ids", "missing_event_ids", "missing_ids_sample",
         F.when(F.col("checked_event_ids") == 0, in_window.scalar()).alias("db_count_in_window"),
     )
 
@@ -159,12 +156,14 @@ def resolve_window(
 
 def summarize(
     spark: SparkSession, journal_root: str, out_root: str, date: str | None = None, start: str | None = None,
-    end: str | None = None, tz: str = "UTC", with_event_ids: bool = False,
+    end: str | None = None, tz: str = "UTC",
 ) -> tuple[dt.datetime, dt.datetime] | None:
     """Write the hourly and daily documents of a window; re-running replaces them.
 
-    Writes ``grain/`` and ``tokens/`` (parquet, small) first and builds every
-    document from those, so the journal is scanned once for each.
+    The grain and the tokens (small) are written to the shared folder first and
+    every document is built from those, so the journal is scanned once for each.
+    ``hour_ids/`` is replaced hour by hour; an hour that the window only touches
+    keeps the ids it has outside the window.
     """
     require_utc(spark)
     journal = J.events(spark, journal_root)
@@ -173,25 +172,21 @@ def summarize(
         return None
     lo, hi = (F.lit(w) for w in window)
     events = J.scan_window(journal, lo, hi)
-    rollup.grain(events).write.mode("overwrite").parquet(f"{out_root}/work/grain")
-    rollup.token_grain(events).write.mode("overwrite").parquet(f"{out_root}/work/tokens")
-    g, tokens = spark.read.parquet(f"{out_root}/work/grain"), spark.read.parquet(f"{out_root}/work/tokens")
+    g, tokens = stage(rollup.grain(events)), stage(rollup.token_grain(events))
 
     bounds = rollup.one_row(spark, *window)
     hours = rollup.hourly_filled(g, bounds)
-    ids = rollup.hour_event_ids(events)
-    if with_event_ids:
-        top = g.groupBy("hour").agg(F.sum("events").alias("n")).agg(F.max("n")).first()[0] or 0
-        if top > MAX_IDS_IN_DOCUMENT:
-            raise ValueError(f"an hour has {top} ids; use the hour_ids table instead of lists in documents")
-    ids.withColumn("date", F.to_date("hour")).repartition("hour", F.pmod(F.xxhash64("event_id"), F.lit(16))).write.mode(
-        "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{out_root}/hour_ids")
-    docs = hourly_documents(hours, g, tokens, ids if with_event_ids else None)
+    # whole hours: those at the window's ends may reach over it
+    full = J.scan_window(journal, F.date_trunc("hour", lo), rollup.hour_end(F.date_trunc("hour", hi)))
+    ids = rollup.hour_event_ids(full).withColumns({"date": F.to_date("hour"), "hh": F.date_format("hour", "HH")})
+    ids.hint("rebalance", F.col("date"), F.col("hh")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("date", "hh").parquet(f"{out_root}/{IDS_TABLE}")
+    docs = hourly_documents(hours, g, tokens)
     # a window has few hours; one sorted file, replaced as a whole
     docs.orderBy("hour").drop("hour").coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out_root}/hourly")
 
     # the check reads back what was written: the ids table against the journal
-    written = spark.read.schema(f"{IDS}, date date").parquet(f"{out_root}/hour_ids").where(
+    written = spark.read.schema(f"{IDS}, date date, hh string").parquet(f"{out_root}/{IDS_TABLE}").where(
         F.col("date").between(F.to_date(lo), F.to_date(hi)) & F.col("created_utc").between(lo, hi))
     checked = verification_row(written, journal, lo, hi)
     day = daily_documents(hours, docs, g, tokens, bounds, checked)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators import bursts, detect, gate, perception_events, tracks, trailing
 from eventide.params import PerceptionParams
-from eventide.session import require_utc
+from eventide.session import require_utc, stage
 from eventide.sources import jsonl
 
 
@@ -23,18 +23,24 @@ def frame_labels(frames: DataFrame, p: PerceptionParams) -> DataFrame:
 
 
 def perceive(
-    spark: SparkSession, frames: DataFrame, dets: DataFrame, out_root: str, p: PerceptionParams, roll: str = "hour"
+    spark: SparkSession, frames: DataFrame, dets: DataFrame, out_root: str, p: PerceptionParams, roll: str = "hour",
+    fps: float | None = None,
 ) -> None:
-    """Write ``tracks/``, ``bursts/`` (parquet) and ``events/`` (JSON-lines shards).
+    """Write ``tracks/``, ``bursts/`` (parquet) and ``events/`` (JSON-lines shards), and ``frame_labels/`` of hashed frames.
 
     Each step reads the table the one before wrote, so nothing is computed twice
-    and a failed job resumes from stored data.
+    and a failed job resumes from stored data.  With the frames' rate ``fps``,
+    detections count on the frames of the detector's cadence only.
     """
     require_utc(spark)
-    kept = detect.filter_detections(dets, p)
+    if fps is not None:
+        dets = detect.sample_frames(dets, fps, p)
+    if "phash" in frames.columns:
+        frame_labels(frames, p).write.mode("overwrite").parquet(f"{out_root}/frame_labels")
+    kept = stage(detect.filter_detections(dets, p))
     tracks.tracks(kept, frames, p).write.mode("overwrite").parquet(f"{out_root}/tracks")
     track_table = spark.read.parquet(f"{out_root}/tracks")
-    seen = tracks.mark_presence(detect.attach_objects(frames, kept), track_table, p)
+    seen = stage(tracks.mark_presence(detect.attach_objects(frames, kept), track_table, p))
     bursts.bursts(gate.live_frames(seen, p), p).write.mode("overwrite").parquet(f"{out_root}/bursts")
     burst_table = spark.read.parquet(f"{out_root}/bursts")
     lines = perception_events.track_events(track_table, p).unionByName(

@@ -6,6 +6,9 @@ so key order and free text are those of the input.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,50 @@ def _set(line: Column, name: str, text: Column) -> Column:
     return F.coalesce(new, line)
 
 
+_PART = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]')
+_COLON = re.compile(r"\s*:")
+
+
+def set_top_level(line: str, new: dict[str, str | None]) -> str:
+    """A JSON object's text with the string values of some of its own fields replaced; inner objects stay as they are."""
+    out, at, depth, key = [], 0, 0, None
+    for m in _PART.finditer(line):
+        part = m[0]
+        if part in "{[":
+            depth, key = depth + 1, None
+        elif part in "}]":
+            depth, key = depth - 1, None
+        elif depth == 1:
+            if _COLON.match(line, m.end()):
+                key = part[1:-1]
+            else:
+                if new.get(key) is not None:
+                    out += [line[at : m.start()], '"', new[key], '"']
+                    at = m.end()
+                key = None
+    return "".join(out) + line[at:]
+
+
+def _set_all(line: Column, texts: dict[str, Column]) -> Column:
+    """Replace string values of top-level fields where their text is not NULL.
+
+    A line with one brace has no inner object and takes the pattern; the others go to the text scanner.
+    """
+    flat = F.regexp_count(line, F.lit(r"\{")) <= 1
+    plain = line
+    for name, text in texts.items():
+        plain = _set(plain, name, text)
+    names = list(texts)
+
+    @F.pandas_udf("string")
+    def nested(lines: pd.Series, *new: pd.Series) -> pd.Series:
+        rows = zip(lines, *new, strict=True)
+        return pd.Series([None if x is None else set_top_level(x, dict(zip(names, v, strict=True))) for x, *v in rows], dtype=object)
+
+    some = lambda c: F.when(~flat, c)
+    return F.when(flat, plain).otherwise(nested(some(line), *(some(t) for t in texts.values())))
+
+
 def _shifted(ts: Column, delta_us: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + delta_us)
 
@@ -59,10 +106,8 @@ def retime(
     usable = F.col("first_ts").isNotNull() & (F.lit(True) if per_line else F.col("all_json"))
     clocks = clocks.select("file", F.when(usable, delta).alias("delta_us"))
     out = parsed.join(clocks, "file", "left")
-    line = F.col("line")
-    for f in SHARD_FIELDS:
-        line = _set(line, f, iso_local(_shifted(_field_ts(f), F.col("delta_us")), tz))
-    return out.withColumn("line", line).withColumn("retimed", F.col("delta_us").isNotNull()).drop("obj")
+    texts = {f: iso_local(_shifted(_field_ts(f), F.col("delta_us")), tz) for f in SHARD_FIELDS}
+    return out.withColumn("line", _set_all(F.col("line"), texts)).withColumn("retimed", F.col("delta_us").isNotNull()).drop("obj")
 
 
 def align_transcript(
@@ -78,14 +123,11 @@ def align_transcript(
     delta = F.unix_micros(anchor.select("anchor").scalar()) - F.unix_micros("first_ts")
     out = parsed.join(clocks.select("file", F.when(usable, delta).alias("delta_us")), "file", "left")
     moved = {f: _shifted(_field_ts(f), F.col("delta_us")) for f in fields}
-    line = F.col("line")
-    for f, ts in moved.items():
-        line = _set(line, f, iso_utc_micros(ts, "Z") if f.endswith("_utc") else iso_local(ts, tz))
     local = iso_local(F.coalesce(*(moved[f] for f in LOCAL_FIELDS)), tz)
+    texts = {f: iso_utc_micros(ts, "Z") if f.endswith("_utc") else iso_local(ts, tz) for f, ts in moved.items()}
+    line = _set_all(F.col("line"), texts | {"loc_ts": local})
     appended = F.regexp_replace(line, F.lit(r"\s*\}\s*$"), F.concat(F.lit(', "loc_ts": "'), local, F.lit('"}')))
-    line = F.when(local.isNull(), line).when(F.col("obj.loc_ts").isNotNull(), _set(line, "loc_ts", local)).otherwise(
-        appended
-    )
+    line = F.when(local.isNull() | F.col("obj.loc_ts").isNotNull(), line).otherwise(appended)
     return out.withColumn("line", line).withColumn("retimed", F.col("delta_us").isNotNull()).drop("obj")
 
 

@@ -125,9 +125,20 @@ def hour_spine(bounds: DataFrame) -> DataFrame:
     return bounds.select(F.explode(hours).alias("hour"))
 
 
-def hourly_filled(g: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Hourly rows with the empty hours of the window as zeros; hours outside it stay."""
-    h = hour_spine(bounds).join(hourly(g), "hour", "full_outer")
+def day_bounds_of(hours: DataFrame) -> DataFrame:
+    """One row: first day start to last day end of hourly rows."""
+    ends = hours.agg(F.min("hour").alias("a"), F.max("hour").alias("z"))
+    day = F.expr("INTERVAL '23:59:59' HOUR TO SECOND")
+    return ends.select(F.date_trunc("day", "a").alias("start"), (F.date_trunc("day", "z") + day).alias("end"))
+
+
+def hourly_filled(g: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Hourly rows with the empty hours of the window as zeros; hours outside it stay.
+
+    Without ``bounds`` the window is the whole days from the first hour to the last.
+    """
+    h = hourly(g)
+    h = hour_spine(day_bounds_of(h) if bounds is None else bounds).join(h, "hour", "full_outer")
     zeros = {f.name: 0 for f in h.schema.fields if f.dataType.typeName() in ("long", "double", "integer")}
     return h.fillna(zeros).fillna({"excitement_basis": "none"}).withColumn("hour_end", hour_end(F.col("hour")))
 
@@ -145,32 +156,14 @@ def counts_by(g: DataFrame, column: str, per: str = "hour") -> DataFrame:
 # -- words ---------------------------------------------------------------------
 
 
-def first_seen_key(created: Column, event_id: Column, pos: Column) -> Column:
-    """Order of sight within an hour as one number: time, then event id, then position.
-
-    A number, unlike a struct, can be kept in the hash table of an aggregation,
-    so the widest step of the rollup needs no sort.  Digits: 10 for the
-    microsecond of the hour, 20 for the first eight bytes of the id, 8 for the
-    position.
-    """
-    us = F.pmod(F.unix_micros(created), F.lit(3_600_000_000)).cast("decimal(10,0)")
-    head = F.rpad(F.left(event_id, F.lit(8)), 8, "\0")
-    id_part = F.conv(F.hex(head), 16, 10).cast("decimal(20,0)")
-    ten_to = lambda n: F.lit("1" + "0" * n).cast(f"decimal({n + 1},0)")
-    high = (us * ten_to(20) + id_part).cast("decimal(30,0)")
-    return (high * ten_to(8) + pos).cast("decimal(38,0)")
-
-
 def token_grain(journal: DataFrame) -> DataFrame:
-    """Count and first sight of every non-stop token per hour, case kept."""
+    """Count and first sight (time, whole event id, position) of every non-stop token per hour, case kept."""
     spoken = measured(journal.where(F.col("kind") == "speech"))
-    base = first_seen_key(F.col("created_utc"), F.col("event_id"), F.lit(0)).alias("_at")
     # the outer form: no inferred filter that would split the text twice; stop-word test drops its NULLs
     each = F.posexplode_outer(X.tokens(F.col("text"))).alias("pos", "token")
-    words = spoken.select("hour", base, "text").select("hour", "_at", each)
+    words = spoken.select("hour", "created_utc", "event_id", each)
     return words.where(~X.is_stop(F.col("token"))).groupBy("hour", "token").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min((F.col("_at") + F.col("pos")).cast("decimal(38,0)")).alias("first_seen"),
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("created_utc", "event_id", "pos")).alias("first_seen"),
     )
 
 
@@ -193,11 +186,12 @@ def _regroup(tokens: DataFrame, per: str, out: str) -> DataFrame:
 
 
 def top_k(counts: DataFrame, group: list[str], k: int) -> DataFrame:
-    """Most frequent per group, ties by first sight; adds ``rank``.
+    """Most frequent per group, ties by first sight, then by the item itself; adds ``rank``.
 
     Spark keeps only the best k per group before the shuffle.
     """
-    w = Window.partitionBy(*group).orderBy(F.col("n").desc(), "first_seen")  # sight is unique per item
+    item = [c for c in counts.columns if c not in {*group, "n", "first_seen"}]
+    w = Window.partitionBy(*group).orderBy(F.col("n").desc(), "first_seen", *item)
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

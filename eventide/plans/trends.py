@@ -14,8 +14,6 @@ from eventide.functions.times import iso_z, quarter_start
 from eventide.operators import blocks
 from eventide.params import TrendParams
 
-METRICS = ("total_events", "motion_share", "object_share", "uptime", "duplicate_rate")
-
 
 def day_metrics(g: DataFrame) -> DataFrame:
     """Per day of the grain: events, motion and object share, up-time, duplicate rate.
@@ -150,7 +148,7 @@ def caption_repeats(captions: DataFrame, p: TrendParams, keys: list[str], order:
     ``order`` starts with a timestamp column; ``text`` holds the caption.
     """
     ts = order[0]
-    words = F.array_distinct(F.transform(tokens(F.lower("text")), lambda t: t))
+    words = F.array_distinct(tokens(F.lower("text")))
     df = blocks.previous(
         captions.withColumn("_words", words), keys, order, {"_prev": "_words"}, block_s, ts)
     return (

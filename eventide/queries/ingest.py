@@ -146,6 +146,24 @@ def quarantine(spark, sf):
     return jsonl.quarantine(jsonl.parse_lines(lines)).select("line_no", "line")
 
 
+@register("ingest_balance", lines_sql("""
+SELECT CASE WHEN event_type = 'error' THEN 'not one JSON object' WHEN event_type = 'signup' THEN 'no time' END AS reason,
+       count(*) AS lines, count(DISTINCT event_id) AS kept FROM rw GROUP BY 1"""))
+def ingest_balance(spark, sf):
+    """Every line is journalled or quarantined: errors' lines are torn, sign-ups have no time; each line comes twice."""
+    e, c = tables.events(spark, sf), F.col
+    body = F.concat(F.lit('{"id": '), c("event_id").cast("string"))
+    line = (
+        F.when(c("event_type") == "error", F.concat(body, F.lit(', "x"')))
+        .when(c("event_type") == "signup", F.concat(body, F.lit("}")))
+        .otherwise(F.concat(body, F.lit(', "ts": "'), iso_local(c("ts")), F.lit('"}')))
+    )
+    once = e.select(F.lit("/events/d/a.jsonl").alias("file"), line.alias("line"))
+    rows = ingest.classified(jsonl.parse_lines(once.unionAll(once)), PARAMS, ingest.empty_segments(spark))
+    kept = F.when(c("reason").isNull(), c("event_id")).otherwise(F.sha1("line"))
+    return rows.groupBy("reason").agg((F.count(F.lit(1)) / 2).cast("bigint").alias("lines"), F.count_distinct(kept).alias("kept"))
+
+
 @register("peek_keys", lines_sql("""
 SELECT event_id AS line_no, kind, CASE event_type WHEN 'view' THEN 'motion_score|' WHEN 'signup' THEN 'type|objects|'
          WHEN 'error' THEN '' ELSE 'type|' END || 'ts' || CASE WHEN event_type <> 'error' THEN '|source' ELSE '' END ||
@@ -218,7 +236,8 @@ def captions(spark, sf):
 
 @register("retime", events_sql("""
 SELECT event_id AS line_no,
-       strftime(date_trunc('second', ts) + (g.target - date_trunc('hour', g.first_ts)), '%Y-%m-%dT%H:%M:%S') || '+0000' AS ts
+       strftime(date_trunc('second', ts) + (g.target - date_trunc('hour', g.first_ts)), '%Y-%m-%dT%H:%M:%S') || '+0000' AS ts,
+       CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+0000' END AS inner_ts
 FROM ev JOIN (SELECT camera, arg_min(ts, event_id) AS first_ts,
                      TIMESTAMP '2024-02-01' + to_hours(max(user_id) % 24) AS target FROM ev GROUP BY camera) g
 USING (camera)"""))
@@ -226,31 +245,37 @@ def retime_query(spark, sf):
     """One shard per camera, each moved to an hour of its own on 1 February."""
     c = F.col
     e = tables.events(spark, sf)
-    line = F.concat(F.lit('{"id": '), c("event_id").cast("string"), F.lit(', "ts": "'), iso_local(c("ts")), F.lit('"}'))
+    inner = F.when(c("event_id") % 3 == 0, F.concat(F.lit(', "meta": {"ts": "'), iso_local(c("ts")), F.lit('"}'))).otherwise("")
+    line = F.concat(
+        F.lit('{"id": '), c("event_id").cast("string"), inner, F.lit(', "ts": "'), iso_local(c("ts")), F.lit('"}'))
     parsed = jsonl.parse_lines(e.select(c("camera").alias("file"), c("event_id").alias("line_no"), line.alias("line")))
     hours = F.make_dt_interval(hours=(F.max("user_id") % 24).cast("int"))
     targets = e.groupBy(c("camera").alias("file")).agg(
         (F.lit("2024-02-01").cast("timestamp") + hours).alias("target"))
-    return retime.retime(parsed, targets, ["line_no"]).select("line_no", F.get_json_object("line", "$.ts").alias("ts"))
+    return retime.retime(parsed, targets, ["line_no"]).select(
+        "line_no", F.get_json_object("line", "$.ts").alias("ts"), F.get_json_object("line", "$.meta.ts").alias("inner_ts"))
 
 
 @register("transcript_align", f"""WITH {EVENTS}, {TURNS},
 sh AS (SELECT *, (SELECT date_trunc('second', arg_min(ts, event_id)) FROM ev) - (SELECT min(ts) FROM tn) AS d FROM tn)
 SELECT conv_id, turn, strftime(ts + d, {ISO_Z}) AS start_utc,
        CASE WHEN spoken_s IS NOT NULL THEN strftime(ts + to_seconds(spoken_s) + d, {ISO_Z}) END AS end_utc,
-       strftime(ts + d, '%Y-%m-%dT%H:%M:%S') || '+0000' AS loc_ts FROM sh""")
+       strftime(ts + d, '%Y-%m-%dT%H:%M:%S') || '+0000' AS loc_ts,
+       strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS inner_utc FROM sh""")
 def transcript_align(spark, sf):
     """Turns moved so that the first one falls on the first event."""
     c = F.col
     obj = F.to_json(F.struct(
-        "conv_id", "turn", iso_z(c("ts")).alias("start_utc"), iso_z(c("end_ts")).alias("end_utc")))
+        "conv_id", "turn", F.struct(iso_z(c("ts")).alias("start_utc")).alias("was"), iso_z(c("ts")).alias("start_utc"),
+        iso_z(c("end_ts")).alias("end_utc")))
     parsed = jsonl.parse_lines(tables.turns(spark, sf).select(
         F.lit("t.jsonl").alias("file"), "conv_id", "turn", obj.alias("line")))
     shard = jsonl.parse_lines(tables.lines(spark, sf))
     anchor = retime.first_event_time(shard, ["line_no"])
     out = retime.align_transcript(parsed, anchor, ["conv_id", "turn"])
     get = lambda n: F.get_json_object("line", f"$.{n}").alias(n)
-    return out.select("conv_id", "turn", get("start_utc"), get("end_utc"), get("loc_ts"))
+    return out.select("conv_id", "turn", get("start_utc"), get("end_utc"), get("loc_ts"),
+                      F.get_json_object("line", "$.was.start_utc").alias("inner_utc"))
 
 
 @register("iso_formats", events_sql(f"""

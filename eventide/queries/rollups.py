@@ -31,8 +31,7 @@ H = f"strftime(hour, {ISO_Z}) AS hour_start_utc"
 
 
 def _hours(spark, sf):
-    j = tables.journal(spark, sf)
-    return rollup.hourly_filled(rollup.grain(j), tables.bounds(j))
+    return rollup.hourly_filled(rollup.grain(tables.journal(spark, sf)))
 
 
 @register("hourly_rollup", journal_sql(f"""
@@ -40,9 +39,10 @@ SELECT {H}, strftime(hour + INTERVAL 3599 SECOND, {ISO_Z}) AS hour_end_utc, tota
        sum_duration_ms, strftime(first_created, {ISO_Z}) AS first_event_created_utc,
        strftime(last_created, {ISO_Z}) AS last_event_created_utc, speech_events, speech_suppressed_events,
        speech_seconds, speech_words, speech_chars, motion_summary_events, motion_peak_score_sum,
-       motion_peak_score_max, m AS avg_motion_score, basis AS excitement_basis FROM scored"""))
+       motion_peak_score_max, m AS avg_motion_score, round(raw_score, 3) AS excitement_score,
+       basis AS excitement_basis FROM scored"""))
 def hourly_rollup(spark, sf):
-    return rollup.iso_hours(_hours(spark, sf)).drop("excitement_score")
+    return rollup.iso_hours(_hours(spark, sf))
 
 
 @register("hourly_counts", journal_sql(f"SELECT {H}, count(*) AS total_events FROM j GROUP BY hour"))
@@ -240,7 +240,7 @@ def verify_present(spark, sf):
 SELECT count(DISTINCT event_id) AS checked_event_ids,
        count(DISTINCT event_id) FILTER (WHERE NOT ({_KNOWN})) AS missing_event_ids FROM j"""))
 def verify_totals(spark, sf):
-    return verify.verification(*_ids_and_journal(spark, sf))
+    return verify.verification(*_ids_and_journal(spark, sf)).select("checked_event_ids", "missing_event_ids")
 
 
 @register("verify_sample", journal_sql(

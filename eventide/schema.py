@@ -25,6 +25,8 @@ CAPTIONS = _struct(
     sr=_I, lang=_S, created_utc=_TS,
 )
 
+QUARANTINE = _struct(quarantine_id=_S, file=_S, line_no=_L, reason=_S, copies=_L, line=_S)
+
 FRAMES = _struct(
     camera=_S, frame_idx=_L, ts=_TS, img_w=_I, motion=_D, phash=_L, objects=T.ArrayType(_S),
 )

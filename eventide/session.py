@@ -22,6 +22,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # a line may repeat a key: the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

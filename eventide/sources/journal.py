@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventide import schema
+from eventide.session import stage
 
 DATE = "created_date"
-MAX_DATES = 5000  # longest list of date literals in a filter
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -38,6 +38,10 @@ def captions(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, f"{root}/captions", schema.CAPTIONS, DATE)
 
 
+def quarantine(spark: SparkSession, root: str) -> DataFrame:
+    return read_table(spark, f"{root}/quarantine", schema.QUARANTINE)
+
+
 def scan_window(journal: DataFrame, start: Column, end: Column) -> DataFrame:
     """The rollup's columns of events created in [start, end]; prunes date partitions when there are any."""
     cols = [c for c in schema.ROLLUP_COLUMNS if c in journal.columns]
@@ -60,14 +64,16 @@ def newest_part(spark: SparkSession, root: str) -> DataFrame:
 def on_dates_of(existing: DataFrame, batch: DataFrame, partition: str = DATE) -> DataFrame:
     """``existing`` reduced to the dates of ``batch``, as a filter that prunes folders.
 
-    The dates are literals: a semi join would not prune, since nothing filters
-    the batch.  Beyond ``MAX_DATES`` dates their range is used.
+    The batch's range of dates is a filter on both sides, which prunes folders
+    when the plan is made; the join with the batch's own dates, a small table,
+    prunes the others when it runs.
     """
-    dates = [r[0] for r in batch.select(partition).distinct().limit(MAX_DATES + 1).collect()]
-    if len(dates) <= MAX_DATES:
-        return existing.where(F.col(partition).isin(dates))
-    lo, hi = batch.agg(F.min(partition), F.max(partition)).first()
-    return existing.where(F.col(partition).between(lo, hi))
+    dates = stage(batch.select(partition).distinct())
+    lo, hi = dates.agg(F.min(partition), F.max(partition)).first()
+    if lo is None:
+        return existing.where(F.lit(False))
+    inside = F.col(partition).between(lo, hi)
+    return existing.where(inside).join(dates.where(inside), partition, "left_semi").select(*existing.columns)
 
 
 def new_rows(batch: DataFrame, existing: DataFrame, key: str, partition: str | None = None) -> DataFrame:
@@ -88,8 +94,8 @@ def append_new(
     seen = Observation()
     fresh = new_rows(batch, existing, key, partition).observe(seen, F.count(F.lit(1)).alias("n"))
     if partition:
-        # a hot day is spread over several files and tasks
-        fresh = fresh.repartition(partition, F.pmod(F.xxhash64(key), F.lit(32)))
+        # files by measured size: a hot day gets several tasks, a small batch few files
+        fresh = fresh.hint("rebalance", F.col(partition))
         fresh.write.mode("append").partitionBy(partition).parquet(path)
     else:
         fresh.write.mode("append").parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,27 +93,48 @@ def quarantine(parsed: DataFrame) -> DataFrame:
     )
 
 
-def write_shards(events: DataFrame, root: str, roll: str = "hour", tz: str = "UTC", mode: str = "append") -> None:
-    """Event lines to ``date=/hour=`` (or ``date=``) folders by local time.
+def write_shards(events: DataFrame, root: str, roll: str = "hour", tz: str = "UTC", mode: str = "append") -> list[str]:
+    """Event lines to ``<date>/<hour>_<part>.jsonl`` (or ``<date>/<part>.jsonl``) by local time; returns the new files.
 
-    ``events`` needs ``ts`` and ``line``.  The shuffle is by folder and a
-    spread of 16, so one hot hour is written by several tasks.
+    ``events`` needs ``ts`` and ``line``.  Parts are sized by what they hold, so
+    one hot hour is written by several tasks.  They are written to a folder of
+    their own under ``root`` that no shard pattern meets, and take their names
+    when all are complete: a failed run leaves no half of a shard behind.  With
+    mode ``overwrite`` the shards found before then go.
     """
+    spark = events.sparkSession
     wall = F.from_utc_timestamp("ts", tz)
     df = events.withColumn("date", F.date_format(wall, "yyyy-MM-dd"))
     folders = ["date"]
     if roll == "hour":
         df = df.withColumn("hour", F.date_format(wall, "HH"))
         folders.append("hour")
-    spread = F.pmod(F.xxhash64("line"), F.lit(16))
+    parts = f"{root.rstrip('/')}/_parts/{uuid.uuid4().hex}"
     (
-        df.repartition(*folders, spread)
+        df.hint("rebalance", *(F.col(f) for f in folders))
         .sortWithinPartitions(*folders, "ts", *(["seq"] if "seq" in df.columns else []))
         .select(*folders, F.col("line").alias("value"))
-        .write.mode(mode)
-        .partitionBy(*folders)
-        .text(root)
+        .write.partitionBy(*folders)
+        .text(parts)
     )
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in (fs.globStatus(path(f"{root.rstrip('/')}/*/*.jsonl")) or [])] if mode == "overwrite" else []
+    made, each = [], fs.listFiles(path(parts), True)
+    while each.hasNext():
+        at = each.next().getPath()
+        found = dict(f.split("=", 1) for f in str(at.getParent()).split("/") if "=" in f)
+        name = at.getName()
+        if name.startswith("part-"):
+            stem = "_".join(filter(None, (found.get("hour"), name.split(".", 1)[0])))
+            to = path(f"{root.rstrip('/')}/{found['date']}/{stem}.jsonl")
+            fs.mkdirs(to.getParent())
+            if not fs.rename(at, to):
+                raise OSError(f"cannot name {to}")
+            made.append(str(to))
+    for at in [*old, path(parts)]:
+        fs.delete(at, True)
+    return sorted(made)
 
 
 def pick_existing(spark: SparkSession, candidates: list[str]) -> str | None:

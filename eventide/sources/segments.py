@@ -15,6 +15,12 @@ def list_segments(spark: SparkSession, clips_dir: str) -> DataFrame:
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
 
 
+def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """Paths of the files directly in some folders; contents are not read."""
+    files = spark.read.format("binaryFile").load([f"{f.rstrip('/')}/*" for f in folders])
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+
+
 def with_bounds(segments: DataFrame) -> DataFrame:
     """``path`` to ``clip_id, path, start_utc, end_utc``."""
     start, end = segment_bounds(F.col("path"))

@@ -14,19 +14,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventide.params import IngestParams
 from eventide.plans import ingest
-from eventide.session import require_utc, stage
+from eventide.session import require_utc
 from eventide.sources import journal as J
 from eventide.sources import jsonl
 
 
 def read_stream(spark: SparkSession, events_root: str, p: IngestParams, files_per_trigger: int | None = None) -> DataFrame:
-    """Parsed lines of new shard files."""
+    """Lines of new shard files."""
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     lines = reader.load(jsonl.shard_paths(events_root, p.glob)).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-    return jsonl.parse_lines(lines)
+    return lines
 
 
 def late_rows(rows: DataFrame, newest: dt.datetime | None, delay_s: float) -> DataFrame:
@@ -49,24 +49,28 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Journal new shard files as they land.
 
-    Each micro-batch goes through the same insert-or-ignore as a batch ingest,
-    so a repeated batch adds nothing.  Late rows are journalled like any other
+    Each micro-batch goes through the same steps as a batch ingest, with the
+    same rule for recordings and the same quarantine, so a repeated batch, or a
+    batch ingest of the same shards, adds nothing.  Late rows are journalled like any other
     and also listed in ``late/``.  ``trigger`` as for ``DataStreamWriter``.
     """
     require_utc(spark)
-    segments = ingest.empty_segments(spark) if segments is None else segments
-    rows = ingest.normalise(read_stream(spark, events_root, p, files_per_trigger), p, segments)
+    given = segments
     newest = J.newest_part(spark, journal_root).agg(F.max("created_utc")).first()[0]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         nonlocal newest
-        landed = stage(ingest.event_rows(batch))
+        session = batch.sparkSession
+        # recordings are listed anew for each batch, as a batch ingest does
+        known = ingest.known_segments(session, batch, p) if given is None else given
+        landed = ingest.land(ingest.classified(jsonl.parse_lines(batch), p, known))
         late = late_rows(landed, newest, late_after_s).select("event_id", "source", "kind", "created_utc")
         # one folder per batch, replaced if the batch is repeated
         late.write.mode("overwrite").parquet(f"{journal_root}/late/batch={batch_id}")
-        ingest.merge(spark, landed, segments, journal_root, p)
+        ingest.append(session, landed, known, journal_root, p)
         top = landed.agg(F.max("created_utc")).first()[0]
         newest = max(filter(None, (newest, top)), default=None)
 
+    rows = read_stream(spark, events_root, p, files_per_trigger)
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-    return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
+    return writer.trigger(**(trigger or {"processingTime": "30 seconds"})).start()

@@ -18,11 +18,11 @@ from eventide.streaming.ingest import ingest_stream
 
 DAY = "2025-11-18"
 LINES = [
-    '{"type": "burst.start", "ts": "2025-11-18T06:01:10-0800", "source": "cam_sim", "objects": ["dog"], "motion_score": 0.12}',
+    '{"type": "burst.start", "ts": "2025-11-18T06:03:20-0800", "source": "cam_east", "objects": ["dog"], "motion_score": 0.18}',
     "",
     "# a comment",
-    '{"type": "motion.summary", "ts": "2025-11-18T06:01:28-0800", "source": "cam_sim", "motion_score": 0.533, "objects": []}',
-    '{"type": "motion.summary", "ts": "2025-11-18T14:10:48Z", "source": "cam_sim", "motion_score": "0.25", "clip": ""}',
+    '{"type": "motion.summary", "ts": "2025-11-18T06:03:41-0800", "source": "cam_east", "motion_score": 0.612, "objects": []}',
+    '{"type": "motion.summary", "ts": "2025-11-18T14:12:35Z", "source": "cam_east", "motion_score": "0.25", "clip": ""}',
     '{"torn": 1',
     '[{"type": "list"}]',
     '{"type": "a"}{"type": "b"}',
@@ -34,7 +34,7 @@ LINES = [
     '"end_utc": "2025-11-18T15:30:02.500000Z", "text": " Anna\'s café IS open, Bob! Café café ", "lang": "en", "sr": 16000}',
     '{"type": "speech", "loc_ts": "2025-11-18T15:31:00+0000", "source": "mic", "text": "bob I"}',
     '{"type": "speech.suppressed", "ts": "2025-11-18T15:32:00Z", "source": "mic"}',
-    '{"type": "burst.start", "ts": "2025-11-18T06:01:10-0800", "source": "cam_sim", "objects": ["dog"], "motion_score": 0.12}',
+    '{"type": "burst.start", "ts": "2025-11-18T06:03:20-0800", "source": "cam_east", "objects": ["dog"], "motion_score": 0.18}',
 ]
 GOOD = 10  # journalled lines, one of them twice
 
@@ -51,8 +51,14 @@ def test_ingest_is_idempotent_and_complete(spark, shard):
     p = IngestParams(clips_dir=f"{shard}/record")
     first = ingest.ingest(spark, f"{shard}/events", f"{shard}/journal", p)
     assert (first.events, first.candidates, first.captions, first.clips) == (GOOD - 1, GOOD, 3, 0)
+    assert first.candidates + first.quarantined == sum(bool(x) and not x.startswith("#") for x in LINES)
+    bad = J.quarantine(spark, f"{shard}/journal").orderBy("line_no").collect()
+    assert [(r.line_no, r.line, r.reason, r.copies) for r in bad] == [
+        (i + 1, LINES[i], ingest.NO_TIME if i == 11 else ingest.NOT_JSON, 1) for i in (5, 6, 7, 11)]
     again = ingest.ingest(spark, f"{shard}/events", f"{shard}/journal", p)
-    assert (again.events, again.captions, again.clips) == (0, 0, 0)
+    assert (again.events, again.captions, again.clips, again.quarantined) == (0, 0, 0, 4)
+    assert J.quarantine(spark, f"{shard}/journal").count() == 4
+    assert ingest.dry_run(spark, f"{shard}/events", p).count() == GOOD
     # a shard that grew
     with open(f"{shard}/events/{DAY}/a.jsonl", "a") as f:
         f.write('{"type": "x", "ts": "2025-11-18T16:00:00Z"}\n')
@@ -72,7 +78,7 @@ def test_ingest_is_idempotent_and_complete(spark, shard):
         basis = f"{r.source}|{r.kind}|-|{r.t0_ms}|{short}"
         assert r.event_id == hashlib.sha1(basis.encode()).hexdigest()
     at = {r.kind + "/" + str(r.created_utc)[11:]: (r.source, r.t0_ms, r.t1_ms, r.offset_basis) for r in rows.values()}
-    assert at["burst.start/14:01:10"] == ("cam_sim", 68000, 73000, "hour")
+    assert at["burst.start/14:03:20"] == ("cam_east", 198000, 203000, "hour")
     assert at["motion/15:00:01"] == ("stage2", 0, 4000, "hour")
     assert at["objects/15:10:00"] == ("stage2", 7, 9, "explicit")
     assert at["event/15:20:00"] == ("stage2", 1198250, 1203250, "hour")
@@ -108,18 +114,20 @@ def test_line_numbers_across_splits(spark, tmp_path):
 
 def test_summaries(spark, shard):
     ingest.ingest(spark, f"{shard}/events", f"{shard}/journal", IngestParams(clips_dir=f"{shard}/record"))
-    window = documents.summarize(spark, f"{shard}/journal", f"{shard}/out", with_event_ids=True)
+    window = documents.summarize(spark, f"{shard}/journal", f"{shard}/out")
     assert [str(w)[:19] for w in window] == [f"{DAY} 00:00:00", f"{DAY} 23:59:59"]
     part = [f for f in os.listdir(f"{shard}/out/hourly") if f.endswith(".json")]
     assert len(part) == 1
     hours = [json.loads(line) for line in open(f"{shard}/out/hourly/{part[0]}", encoding="utf-8")]
     assert [h["hour_start_utc"][11:13] for h in hours] == [f"{i:02d}" for i in range(24)]
-    assert hours[0]["excitement_basis"] == "none" and hours[0]["event_ids"] == [] and hours[0]["top_words"] == []
+    assert hours[0]["excitement_basis"] == "none" and hours[0]["event_ids"]["count"] == 0 and hours[0]["top_words"] == []
     h14, h15 = hours[14], hours[15]
-    assert (h14["total_events"], h14["motion_summary_events"], h14["motion_peak_score_max"]) == (3, 2, 0.533)
-    assert h14["excitement_score"] == 39.15 and h14["excitement_basis"] == "motion"
+    assert (h14["total_events"], h14["motion_summary_events"], h14["motion_peak_score_max"]) == (3, 2, 0.612)
+    assert h14["excitement_score"] == 43.1 and h14["excitement_basis"] == "motion"
     assert h14["counts_by_kind"] == {"burst.start": 1, "motion.summary": 2}
-    assert len(h14["event_ids"]) == 3
+    assert h14["event_ids"] == {"count": 3, "table": "hour_ids", "date": DAY, "hh": "14"}
+    ids = spark.read.parquet(f"{shard}/out/hour_ids").where("hh = '14'").collect()
+    assert len(ids) == 3
     # 2.5 s spoken, 5 s by offsets of the suppressed one; t0 = 0 gives no fallback
     assert h15["speech_seconds"] == 7.5 and h15["speech_events"] == 2 and h15["speech_suppressed_events"] == 1
     assert h15["speech_words"] == 9 and h15["speech_chars"] == len("Anna's café IS open, Bob! Café café") + len("bob I")
@@ -137,6 +145,11 @@ def test_summaries(spark, shard):
 def test_empty_window_reports_the_row_count(spark, shard):
     ingest.ingest(spark, f"{shard}/events", f"{shard}/journal", IngestParams(clips_dir=f"{shard}/record"))
     documents.summarize(spark, f"{shard}/journal", f"{shard}/out")  # ids of another day stay on disk
+    ids = lambda: sorted(r.event_id for r in spark.read.parquet(f"{shard}/out/hour_ids").collect())
+    whole = ids()
+    # a window that ends inside an hour leaves that hour's ids, and those of other hours, as they are
+    documents.summarize(spark, f"{shard}/journal", f"{shard}/out", start=f"{DAY}T14:00:00Z", end=f"{DAY}T15:10:00Z")
+    assert ids() == whole and len(whole) == GOOD - 1
     documents.summarize(spark, f"{shard}/journal", f"{shard}/out", start="2025-11-19T00:00:00Z", end="2025-11-19T01:30:00Z")
     d = f"{shard}/out/daily/date=2025-11-19"
     day = json.load(open(os.path.join(d, [f for f in os.listdir(d) if f.endswith(".json")][0])))
@@ -165,25 +178,30 @@ def test_clip_join_and_audit(spark, tmp_path):
     e.mkdir(parents=True)
     (d / "cam_sim_14-00.mkv").write_text("x")
     (e / "media").mkdir()
+    (e / "media" / "x.mp4").write_text("x")
+    (tmp_path / "else").mkdir()
+    (tmp_path / "else" / "y.mp4").write_text("y")
     (e / "a.jsonl").write_text("\n".join([
         '{"type": "a", "ts": "%sT14:01:00Z"}' % DAY,
         '{"type": "b", "ts": "%sT14:20:00Z"}' % DAY,
         '{"type": "c", "ts": "%sT14:20:00Z", "clip": "record\\\\%s\\\\cam_sim_14-00.mkv"}' % (DAY, DAY),
         '{"type": "d", "ts": "%sT14:01:00Z", "clip": "media/x.mp4"}' % DAY,
+        '{"type": "e", "ts": "%sT14:01:00Z", "clip": "%s/else/y.mp4"}' % (DAY, tmp_path),
+        '{"type": "f", "ts": "%sT14:01:00Z", "clip": "media/none.mp4"}' % DAY,
     ]))
     p = IngestParams(clips_dir=f"{tmp_path}/record")
     rep = ingest.ingest(spark, f"{tmp_path}/events", f"{tmp_path}/journal", p)
-    assert (rep.events, rep.clips) == (4, 1)
+    assert (rep.events, rep.clips) == (6, 3)
     base = 1763474400000
     got = {r.kind: (r.clip_id != "", r.t0_ms, r.offset_basis) for r in J.events(spark, f"{tmp_path}/journal").collect()}
     assert got == {
         "a": (True, base + 58000, "epoch"), "b": (False, 1198000, "hour"), "c": (True, base + 1198000, "epoch"),
-        "d": (False, 58000, "hour")}
+        "d": (True, 58000, "hour"), "e": (True, 58000, "hour"), "f": (False, 58000, "hour")}
     scan = jsonl.scan_lines(spark, f"{tmp_path}/events/*/*.jsonl")
     parsed = jsonl.parse_lines(jsonl.number_lines(scan, scan))
     segs = list_segments(spark, f"{tmp_path}/record")
     tags = audit.clip_audit(parsed, segs, p, sample=20).orderBy("line_no").collect()
-    assert [r.tag for r in tags] == ["MISS", "MISS", "OK", "MISS"]
+    assert [r.tag for r in tags] == ["MISS", "MISS", "OK", "OK", "OK", "MISS"]
     assert tags[3].clip_path == f"{tmp_path}/events/{DAY}/media/x.mp4"
     first = audit.peek(parsed, p, 2).orderBy("line_no").collect()
     assert [r["keys"] for r in first] == [["type", "ts"]] * 2
@@ -238,6 +256,33 @@ def test_transcript(spark):
     assert str(late) == "2025-11-18 13:00:00"
 
 
+def test_retiming_leaves_inner_objects_alone(spark):
+    rows = [("a", 1, '{"meta": {"ts": "1999-01-01T00:00:00Z", "x": ["ts"]}, "ts": "2025-11-18T06:10:00Z", "msg": "{\\"ts\\": 1}"}')]
+    parsed = jsonl.parse_lines(spark.createDataFrame(rows, "file string, line_no long, line string"))
+    targets = retime.companion_targets(spark, {"a": 0}, F.lit("2026-01-02 10:30:00").cast("timestamp"))
+    got = retime.retime(parsed, targets, ["line_no"]).first().line
+    assert got == rows[0][2].replace("2025-11-18T06:10:00Z", "2026-01-02T10:10:00+0000")
+
+
+def test_top_words_break_ties_by_the_whole_id(spark):
+    at = "2025-11-18 14:00:01"
+    rows = [(f"abcdefgh{k}", at, f'{{"text": "{w}"}}') for k, w in enumerate(["mid", "zeta", "alpha"])]
+    df = spark.createDataFrame(rows, "event_id string, at string, payload string").select(
+        "event_id", F.lit("m").alias("source"), F.lit("speech").alias("kind"), F.lit(0).cast("long").alias("t0_ms"),
+        F.lit(0).cast("long").alias("t1_ms"), F.lit("").alias("clip_id"), F.col("at").cast("timestamp").alias("created_utc"), "payload")
+    top = rollup.top_k(rollup.word_counts(rollup.token_grain(df)), ["hour"], 3).orderBy("rank").collect()
+    assert [r.word for r in top] == ["mid", "zeta", "alpha"]
+
+
+def test_summaries_read_their_dates_only(spark, shard):
+    ingest.ingest(spark, f"{shard}/events", f"{shard}/journal", IngestParams(clips_dir=f"{shard}/record"))
+    journal = J.events(spark, f"{shard}/journal")
+    lo, hi = F.lit(f"{DAY} 00:00:00").cast("timestamp"), F.lit(f"{DAY} 23:59:59").cast("timestamp")
+    ids = rollup.hour_event_ids(J.scan_window(journal, lo, hi)).withColumn("date", F.to_date("hour"))
+    plan = documents.verification_row(ids, journal, lo, hi)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: []") == 0 and "created_date" in plan
+
+
 def test_companions(spark, tmp_path):
     mk = lambda rows: jsonl.parse_lines(spark.createDataFrame(rows, "file string, line_no long, line string"))
     before = mk([("b", 1, '{"ts": "2025-01-01T05:10:00Z"}'), ("b", 2, '{"ts": "2025-01-01T05:20:00Z"}')])
@@ -249,9 +294,13 @@ def test_companions(spark, tmp_path):
     assert got == [("a", "11:50", True), ("a", "12:05", True), ("b", "09:10", True), ("b", "09:20", True),
                    ("t", "09:00", True), ("t", "09:10", True)]
     jsonl.write_shards(out, f"{tmp_path}/events")
-    assert sorted(os.listdir(f"{tmp_path}/events/date=2026-01-02")) == ["hour=09", "hour=11", "hour=12"]
-    jsonl.write_shards(out, f"{tmp_path}/days", roll="file")
-    assert [d for d in os.listdir(f"{tmp_path}/days") if d.startswith("date")] == ["date=2026-01-02"]
+    hours = {f[:2] for f in os.listdir(f"{tmp_path}/events/2026-01-02") if f.endswith(".jsonl")}
+    assert hours == {"09", "11", "12"}
+    first = jsonl.write_shards(out, f"{tmp_path}/days", roll="file")
+    again = jsonl.write_shards(out, f"{tmp_path}/days", roll="file", mode="overwrite")
+    there = [f for f in os.listdir(f"{tmp_path}/days/2026-01-02") if f.endswith(".jsonl")]
+    assert len(there) == len(again) and not set(first) & set(again)
+    assert spark.read.text(jsonl.shard_paths(f"{tmp_path}/days")).count() == 6
 
 
 def test_perceive_writes_events_that_ingest_reads(spark, tmp_path):
@@ -264,7 +313,7 @@ def test_perceive_writes_events_that_ingest_reads(spark, tmp_path):
         dets, "camera string, frame_idx long, img_w int, det_idx int, cls string, conf double, x1 double, y1 double, "
         "x2 double, y2 double").withColumn("ts", at)
     perceive.perceive(spark, f, d, str(tmp_path), PerceptionParams())
-    lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/events").collect()]
+    lines = [json.loads(r.value) for r in spark.read.text(jsonl.shard_paths(f"{tmp_path}/events")).collect()]
     kinds = sorted(e["type"] for e in lines)
     assert kinds == ["burst.end", "burst.start", "motion.summary", "object.summary", "track.enter.center", "track.exit"]
     one = {e["type"]: e for e in lines}
@@ -276,12 +325,17 @@ def test_perceive_writes_events_that_ingest_reads(spark, tmp_path):
     assert one["burst.end"]["duration_s"] == 13.0
     assert one["burst.end"]["msg"] == (
         "burst ended for cat; duration 13.0s (2025-11-18T14:00:00+00:00 → 2025-11-18T14:00:07+00:00)")
-    rep = ingest.ingest(spark, f"{tmp_path}/events", f"{tmp_path}/journal", IngestParams(glob="*/*/*.txt"))
+    rep = ingest.ingest(spark, f"{tmp_path}/events", f"{tmp_path}/journal", IngestParams())
     assert rep.events == 6
+    assert documents.summarize(spark, f"{tmp_path}/journal", f"{tmp_path}/summaries", date=DAY) is not None
+    assert {r.novelty for r in spark.read.parquet(f"{tmp_path}/frame_labels").collect()} <= {"new", "duplicate"}
 
 
 def test_stream_equals_batch(spark, shard):
     p = IngestParams(clips_dir=f"{shard}/record")
+    os.makedirs(f"{shard}/record/{DAY}")
+    with open(f"{shard}/record/{DAY}/cam_sim_14-00.mkv", "w") as f:
+        f.write("x")
     with open(f"{shard}/events/{DAY}/b.jsonl", "w") as f:
         f.write('{"type": "late", "ts": "2025-11-17T00:00:00Z"}\n' + LINES[0] + "\n")
     os.utime(f"{shard}/events/{DAY}/a.jsonl", (1, 1))
@@ -290,6 +344,10 @@ def test_stream_equals_batch(spark, shard):
             spark, f"{shard}/events", f"{shard}/stream", f"{shard}/cp", p, files_per_trigger=1, availableNow=True)
         q.awaitTermination(300)
     ingest.ingest(spark, f"{shard}/events", f"{shard}/batch", p)
+    # the same shards again, by batch, into the stream's journal
+    assert ingest.ingest(spark, f"{shard}/events", f"{shard}/stream", p).events == 0
+    lost = [sorted(r.line for r in J.quarantine(spark, f"{shard}/{k}").collect()) for k in ("stream", "batch")]
+    assert lost[0] == lost[1] and len(lost[0]) == 4
     cols = ["event_id", "source", "kind", "t0_ms", "t1_ms", "payload", "created_utc"]
     a, b = (sorted(J.events(spark, f"{shard}/{k}").select(cols).collect()) for k in ("stream", "batch"))
     assert a == b and len(a) == GOOD

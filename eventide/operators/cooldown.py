@@ -23,27 +23,34 @@ from eventide.operators.batches import whole_groups
 from eventide.operators.blocks import BLOCK
 
 
+FIRST = -(1 << 62)  # entry of a key's first block: its first row
+
+
 def _jumps(us: np.ndarray, c: int) -> np.ndarray:
     """Index of the next row that may be accepted after each row."""
     return np.searchsorted(us, us + c, side="left")
 
 
 def entry_map(us: np.ndarray, c: int, block_start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Possible entry rows of a sorted block, and the last accepted time from each."""
-    nxt, last = _jumps(us, c), us.copy()
-    for i in range(len(us) - 1, -1, -1):
-        if nxt[i] < len(us):
-            last[i] = last[nxt[i]]
-    # rows inside the first c, one per distinct time, and the first row after
+    """Breakpoints of the block's map from entry to the last accepted time: latest entry row of each outcome, and outcome.
+
+    Different entries soon accept the same rows, so a block has few breakpoints however dense it is.
+    """
+    nxt, own = _jumps(us, c), np.arange(len(us))
+    to = np.where(nxt < len(us), nxt, own)
+    while not np.array_equal(to, further := to[to]):  # pointers double their reach
+        to = further
+    last = us[to]
+    # entries are the rows inside the first c and the first row after; of neighbours with one outcome the last will do
     n = min(int(np.searchsorted(us, block_start + c, side="left")) + 1, len(us))
-    rows = np.flatnonzero(np.concatenate([[True], us[1:n] != us[: n - 1]]))
+    rows = np.flatnonzero(np.append(last[1:n] != last[: n - 1], True))
     return rows, last[rows]
 
 
 def accept(us: np.ndarray, c: int, enter: int) -> np.ndarray:
     """Accepted rows of a sorted block entered at the first row with time >= ``enter``."""
     ok = np.zeros(len(us), dtype=bool)
-    nxt, i = _jumps(us, c), int(np.searchsorted(us, enter, side="left"))
+    nxt, i = _jumps(us, c).tolist(), int(np.searchsorted(us, enter, side="left"))
     while i < len(us):
         ok[i] = True
         i = nxt[i]
@@ -101,8 +108,9 @@ def cooldown(
                 if bl != block:
                     block, taken = bl, False
                 if not taken and (ready is None or enter >= ready):
-                    taken, ready = True, last + c
-                    out.append((*k, bl, enter))
+                    taken = True
+                    out.append((*k, bl, FIRST if ready is None else ready))
+                    ready = last + c
             yield pd.DataFrame(out, columns=[f.name for f in enter_schema.fields])
 
     entries = maps.repartition(*keys).sortWithinPartitions(*group, "_in").mapInPandas(chain, enter_schema)

@@ -12,7 +12,7 @@ from eventide.functions.times import iso_utc_micros, iso_z
 from eventide.operators import asof, blocks, bursts, cooldown, detect, gate, perception_events, tracks, trailing
 from eventide.params import PerceptionParams
 from eventide.queries import tables
-from eventide.queries.sql import DETECTIONS, EVENTS, FRAMES, ISO_US, ISO_Z, TURNS, events_sql
+from eventide.queries.sql import CLASS, DETECTIONS, EVENTS, FRAMES, ISO_US, ISO_Z, TURNS, events_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -258,36 +258,104 @@ def presence(spark, sf):
         "camera", "frame_idx", "covered")
 
 
+TRACK = replace(PARAMS, max_detections=100_000, conf_threshold=0.0)
+
+
 def _tracks(spark, sf):
-    d = detect.filter_detections(tables.detections(spark, sf), replace(PARAMS, max_detections=20, conf_threshold=0.0))
-    return tracks.tracks(d, tables.detection_frames(spark, sf), PARAMS)
+    d = detect.filter_detections(tables.lane_detections(spark, sf), TRACK)
+    return tracks.tracks(d, tables.detection_frames(spark, sf), TRACK)
+
+
+def _z(seconds):
+    return f"strftime(to_timestamp({seconds})::TIMESTAMP, {ISO_Z})"
+
+
+def _local(seconds):
+    return f"(strftime(to_timestamp({seconds})::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') || '+0000')"
+
 
+LANES_SQL = f"""
+ld AS (SELECT camera, us // 600000000 AS slot, {CLASS} AS cls, user_id % {tables.LANES} AS lane, min(event_id) AS det_idx
+       FROM ev WHERE {CLASS} IN ('person', 'dog', 'cat') GROUP BY 1, 2, 3, 4),
+lg AS (SELECT *, CASE WHEN (slot - lag(slot) OVER (PARTITION BY camera, cls, lane ORDER BY slot)) * 600 <= 1800
+                      THEN 0 ELSE 1 END AS brk FROM ld),
+li AS (SELECT *, sum(brk) OVER (PARTITION BY camera, cls, lane ORDER BY slot) AS g FROM lg),
+lk AS (SELECT *, row_number() OVER (PARTITION BY camera, cls, lane, g ORDER BY slot) AS k FROM li),
+lt AS (SELECT camera, cls, lane, min(slot) * 600 AS first_s, max(slot) * 600 AS last_s, count(*) AS matches,
+              max(CASE WHEN k = 2 THEN slot * 600 END) AS enter_s, arg_min(det_idx, slot) AS birth,
+              CASE WHEN lane * {tables.LANE_PX} + 150 <= 0.15 * {tables.LANES * tables.LANE_PX} THEN 'left'
+                   WHEN lane * {tables.LANE_PX} + 150 >= 0.85 * {tables.LANES * tables.LANE_PX} THEN 'right' ELSE 'center' END AS side
+       FROM lk GROUP BY camera, cls, lane, g),
+fs AS (SELECT DISTINCT camera, us // 600000000 * 600 AS s FROM ev),
+lx AS (SELECT lt.*, fs.s AS exit_s FROM lt ASOF LEFT JOIN fs ON lt.camera = fs.camera AND lt.last_s + 1800 < fs.s),
+tk AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY first_s, birth, cls) AS tid,
+              CASE WHEN side = 'center' THEN 'lost_in_center' ELSE 'edge_exit' END AS reason,
+              (exit_s - enter_s)::DOUBLE AS dur FROM lx),
+tw AS (SELECT *, cls || '[tid=' || tid || ']' AS who FROM tk)"""
 
-@register("tracks")
+
+def lanes_sql(select: str) -> str:
+    return events_sql(select, LANES_SQL)
+
+
+@register("tracks", lanes_sql(f"""
+SELECT camera, tid, cls, {_z('first_s')} AS first_ts, {_z('last_s')} AS last_ts, matches, side AS first_side, side AS last_side,
+       {_z('enter_s')} AS enter_ts, {_z('exit_s')} AS exit_ts, dur AS duration_s FROM tw"""))
 def tracks_query(spark, sf):
+    """Tracks of detections in lanes: births, matches, the second match, sides, exits, numbers."""
+    z = lambda n: iso_z(F.col(n)).alias(n)
     return _tracks(spark, sf).select(
+        "camera", F.col("tid").cast("bigint").alias("tid"), "cls", z("first_ts"), z("last_ts"), "matches", "first_side",
+        "last_side", z("enter_ts"), z("exit_ts"), "duration_s")
+
+
+@register("tracks_crowd")
+def tracks_crowd(spark, sf):
+    """Tracks of boxes that overlap in many ways, where greedy matching has to choose; tested against a plain restatement."""
+    d = detect.filter_detections(tables.detections(spark, sf), replace(PARAMS, max_detections=20, conf_threshold=0.0))
+    return tracks.tracks(d, tables.detection_frames(spark, sf), PARAMS).select(
         "camera", "tid", "cls", iso_z(F.col("first_ts")).alias("first_ts"), iso_z(F.col("last_ts")).alias("last_ts"),
         "matches", "first_side", "last_side", iso_z(F.col("exit_ts")).alias("exit_ts"))
 
 
-def _track_lines(spark, sf, type_prefix):
-    ev = perception_events.track_events(_tracks(spark, sf), PARAMS)
-    return ev.where(F.col("type").startswith(type_prefix)).select("camera", "type", iso_z(F.col("ts")).alias("ts"), "line")
+def _track_lines(spark, sf, type_prefix, schema):
+    ev = perception_events.track_events(_tracks(spark, sf), TRACK)
+    ev = ev.where(F.col("type").startswith(type_prefix)).withColumn("o", F.from_json("line", schema))
+    return ev.select("camera", iso_z(F.col("ts")).alias("at"), "o.*")
 
 
-@register("track_enter")
+@register("track_enter", lanes_sql(f"""
+SELECT camera, {_z('enter_s')} AS at, 'track.enter.' || side AS type, {_local('enter_s')} AS ts, tid, cls, 0.5 AS confidence,
+       who || ' entered via ' || side || ' side' AS msg FROM tw WHERE enter_s IS NOT NULL"""))
 def track_enter(spark, sf):
-    return _track_lines(spark, sf, "track.enter")
+    return _track_lines(
+        spark, sf, "track.enter", "type string, ts string, tid bigint, cls string, confidence double, msg string")
 
 
-@register("track_exit")
+@register("track_exit", lanes_sql(f"""
+SELECT camera, {_z('exit_s')} AS at, 'track.exit' AS type, {_local('exit_s')} AS ts, tid, cls, side AS last_side,
+       side AS exit_side, reason AS exit_reason,
+       CASE WHEN side = 'center'
+            THEN who || ' lost near center; exit_side=center, exit_reason=lost_in_center (not literally, the detector lost it)'
+            ELSE who || ' exited toward ' || side || ' side (exit_reason=edge_exit)' END AS msg
+FROM tw WHERE exit_s IS NOT NULL"""))
 def track_exit(spark, sf):
-    return _track_lines(spark, sf, "track.exit")
-
-
-@register("object_summary")
+    return _track_lines(
+        spark, sf, "track.exit", "type string, ts string, tid bigint, cls string, last_side string, exit_side string, "
+        "exit_reason string, msg string")
+
+
+@register("object_summary", lanes_sql(f"""
+SELECT camera, {_z('exit_s')} AS at, 'object.summary' AS type, {_local('enter_s')} AS start_ts, {_local('exit_s')} AS end_ts,
+       tid, cls, dur AS duration_s, side AS first_side, reason AS exit_reason,
+       who || ' seen near ' || side || CASE WHEN side = 'center' THEN ' side (lost_in_center)' ELSE ' side' END || ' for ' ||
+         printf('%.1f', dur) || 's (' || {_local('enter_s')} || ' → ' || {_local('exit_s')} || ')' ||
+         CASE WHEN side = 'center' THEN ' – track lost near center; not always exited' ELSE '' END AS msg
+FROM tw WHERE exit_s IS NOT NULL AND enter_s IS NOT NULL"""))
 def object_summary(spark, sf):
-    return _track_lines(spark, sf, "object.summary")
+    return _track_lines(
+        spark, sf, "object.summary", "type string, start_ts string, end_ts string, tid bigint, cls string, duration_s double, "
+        "first_side string, exit_reason string, msg string")
 
 
 @register("cooldown", f"""WITH RECURSIVE {EVENTS},

@@ -178,6 +178,25 @@ def detection_frames(spark: SparkSession, sf: str) -> DataFrame:
     return detections(spark, sf).groupBy("camera", "frame_idx", "ts").agg(F.max("conf").alias("motion"))
 
 
+LANES, LANE_PX = 64, 1500
+
+
+def lane_detections(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as detections in lanes by user: boxes of one lane are equal, those of two lanes never touch.
+
+    So a lane's tracks are its runs without a long gap, which SQL can say too.
+    """
+    e, c = events(spark, sf), F.col
+    slot = F.floor(F.unix_seconds("ts") / 600).cast("bigint")
+    d = e.groupBy("camera", slot.alias("frame_idx"), class_of(c("event_type")).alias("cls"), (c("user_id") % LANES).alias("lane"))
+    x = (c("lane") * LANE_PX).cast("double")
+    return d.agg(F.min("event_id").cast("int").alias("det_idx")).select(
+        "camera", "frame_idx", F.timestamp_seconds(c("frame_idx") * 600).alias("ts"), F.lit(LANES * LANE_PX).alias("img_w"),
+        "det_idx", "cls", F.lit(0.5).alias("conf"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 300).alias("x2"),
+        F.lit(300.0).alias("y2"),
+    )
+
+
 def hashed_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as frames one second apart, with the sign bits as a 64-bit hash."""
     bits = F.aggregate(

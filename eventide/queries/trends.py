@@ -9,6 +9,7 @@ from eventide.operators import sessions as session
 from eventide.params import TrendParams
 from eventide.plans import rollup, trends
 from eventide.queries import tables
+from eventide.queries.perception import _tracks, lanes_sql
 from eventide.queries.sql import EVENTS, ISO_Z, events_sql, journal_sql, turns_sql
 
 QUERIES: dict = {}
@@ -161,10 +162,11 @@ def recent_digest(spark, sf):
     return trends.digest(rollup.hourly(rollup.grain(j)), words).select("line")
 
 
-@register("dwell")
+@register("dwell", lanes_sql(f"""
+SELECT camera, strftime(date_trunc('hour', to_timestamp(enter_s)::TIMESTAMP), {ISO_Z}) AS hour, cls, count(*) AS tracks,
+       sum(dur) AS dwell_s FROM tw WHERE enter_s IS NOT NULL AND exit_s IS NOT NULL GROUP BY ALL"""))
 def dwell(spark, sf):
-    """Dwell per hour and class; rests on tracks, which have no SQL."""
-    from eventide.queries.perception import _tracks
+    """Dwell per hour and class of the tracks in lanes."""
 
     return trends.dwell(_tracks(spark, sf)).select("camera", iso_z(F.col("hour")).alias("hour"), "cls", "tracks", "dwell_s")
 

@@ -34,6 +34,23 @@ def with_block(df: DataFrame, block_s: float, ts: str = "ts") -> DataFrame:
     return df.withColumn(BLOCK, block_of(F.unix_micros(ts), block_s))
 
 
+def fitted(
+    df: DataFrame, keys: Sequence[str], block_s: float, ts: str = "ts", rows: int = 500_000, least_s: float = 1.0
+) -> float:
+    """The longest block length, ``block_s`` or a quarter, a sixteenth ... of it, at which no block of a key has over ``rows`` rows.
+
+    Density decides, not the calendar: a busier camera or a larger journal gets shorter blocks, and results don't depend
+    on them.  Never under ``least_s``, which must cover what an operator looks back over.  Counts are added up map-side;
+    one number comes to the driver for each length tried.
+    """
+    while block_s / 4 >= least_s:
+        per = df.groupBy(*keys, block_of(F.unix_micros(ts), block_s)).count()
+        if (per.agg(F.max("count")).first()[0] or 0) <= rows:
+            break
+        block_s /= 4
+    return block_s
+
+
 def within(keys: Sequence[str], *order: str | Column) -> WindowSpec:
     """Window over one block of one key."""
     return Window.partitionBy(*keys, BLOCK).orderBy(*order)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.operators import bursts, detect, gate, perception_events, tracks, trailing
+from eventide.operators import blocks, bursts, detect, gate, perception_events, tracks, trailing
 from eventide.params import PerceptionParams
 from eventide.session import require_utc, stage
 from eventide.sources import jsonl
@@ -24,7 +26,7 @@ def frame_labels(frames: DataFrame, p: PerceptionParams) -> DataFrame:
 
 def perceive(
     spark: SparkSession, frames: DataFrame, dets: DataFrame, out_root: str, p: PerceptionParams, roll: str = "hour",
-    fps: float | None = None,
+    fps: float | None = None, block_rows: int = 500_000,
 ) -> None:
     """Write ``tracks/``, ``bursts/`` (parquet) and ``events/`` (JSON-lines shards), and ``frame_labels/`` of hashed frames.
 
@@ -33,6 +35,9 @@ def perceive(
     detections count on the frames of the detector's cadence only.
     """
     require_utc(spark)
+    # blocks by what the busiest camera has, not shorter than what an operator looks back over
+    back = max(p.novelty_window_s, p.buffer_s, p.cooldown_s, p.presence_hold_s, p.merge_grace_s, p.track_ttl_s, 1.0)
+    p = replace(p, block_s=blocks.fitted(frames, ["camera"], p.block_s, rows=block_rows, least_s=back))
     if fps is not None:
         dets = detect.sample_frames(dets, fps, p)
     if "phash" in frames.columns:

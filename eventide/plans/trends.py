@@ -15,28 +15,28 @@ from eventide.operators import blocks
 from eventide.params import TrendParams
 
 
-def day_metrics(g: DataFrame) -> DataFrame:
+def day_metrics(g: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Per day of the grain: events, motion and object share, up-time, duplicate rate.
 
     Up-time is the share of the day's 24 hours with events.  The duplicate rate
-    is the share of ``duplicate`` among frames labelled by novelty, when the
-    grain has ``duplicates`` and ``labelled``.
+    is the share of ``duplicate`` among the day's frames in ``labels`` (ts,
+    novelty: the ``frame_labels`` of the perception job); NULL without frames.
     """
     n = F.sum("events")
     share = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("events"))), F.lit(0)) / n
     kind = F.col("kind")
-    dup = (
-        (F.sum("duplicates") / F.nullif(F.sum("labelled"), F.lit(0)))
-        if "duplicates" in g.columns
-        else F.lit(None).cast("double")
-    )
     per_day = g.groupBy(F.to_date("hour").alias("date")).agg(
         n.alias("total_events"),
         share(kind.startswith("motion")).alias("motion_share"),
         share(kind.startswith("track") | kind.startswith("object")).alias("object_share"),
         (F.count_distinct("hour") / F.lit(24.0)).alias("uptime"),
-        dup.alias("duplicate_rate"),
     )
+    if labels is None:
+        per_day = per_day.withColumn("duplicate_rate", F.lit(None).cast("double"))
+    else:
+        rates = labels.groupBy(F.to_date("ts").alias("date")).agg(
+            (F.count_if(F.col("novelty") == "duplicate") / F.count("novelty")).alias("duplicate_rate"))
+        per_day = per_day.join(rates, "date", "left")
     return per_day.withColumn("downtime", F.lit(1.0) - F.col("uptime"))
 
 

@@ -29,7 +29,8 @@ def register(name: str, sql: str | None = None):
 
 DAYS = """
 dm AS (SELECT CAST(hour AS DATE) AS date, count(*) AS total_events,
-         count(*) FILTER (WHERE kind LIKE 'motion%') / count(*) AS motion_share, count(DISTINCT hour) / 24.0::DOUBLE AS uptime
+         count(*) FILTER (WHERE kind LIKE 'motion%') / count(*) AS motion_share,
+         count(*) FILTER (WHERE kind LIKE 'track%' OR kind LIKE 'object%') / count(*) AS object_share, count(DISTINCT hour) / 24.0::DOUBLE AS uptime
        FROM j GROUP BY 1),
 dys AS (SELECT d.date, coalesce(total_events, 0) AS total_events, motion_share, uptime FROM (
          SELECT CAST(unnest(generate_series((SELECT min(date) FROM dm), (SELECT max(date) FROM dm), INTERVAL 1 DAY)) AS DATE) AS date) d
@@ -57,10 +58,16 @@ def _days(spark, sf):
 
 
 @register("day_metrics", trend_sql(f"""
-SELECT {_DATE}, total_events, round(motion_share, 9) AS motion_share, uptime FROM dm"""))
+SELECT {_DATE}, total_events, round(motion_share, 9) AS motion_share, round(object_share, 9) AS object_share, uptime,
+       1 - uptime AS downtime, round(dup, 9) AS duplicate_rate FROM dm LEFT JOIN (
+  SELECT CAST(ts AS DATE) AS date, count(*) FILTER (WHERE value < 25) / count(*) AS dup FROM ev GROUP BY 1) USING (date)"""))
 def day_metrics(spark, sf):
-    d = trends.day_metrics(rollup.grain(tables.journal(spark, sf)))
-    return d.select(_date(), "total_events", F.round("motion_share", 9).alias("motion_share"), "uptime")
+    """Small values stand for frames that novelty called duplicates."""
+    labels = tables.events(spark, sf).select(
+        "ts", F.when(F.col("value") < 25, "duplicate").otherwise("new").alias("novelty"))
+    d = trends.day_metrics(rollup.grain(tables.journal(spark, sf)), labels)
+    r = lambda c: F.round(c, 9).alias(c)
+    return d.select(_date(), "total_events", r("motion_share"), r("object_share"), "uptime", "downtime", r("duplicate_rate"))
 
 
 @register("rolling_baseline", trend_sql(f"""
@@ -72,10 +79,11 @@ def rolling_baseline(spark, sf):
 
 
 @register("anomaly_flags", trend_sql(f"""
-SELECT {_DATE}, CASE WHEN {_STATE} <> 'ready' THEN NULL WHEN (total_events - mean) / greatest(sd, 1e-9) >= 2 THEN 'spike'
+SELECT {_DATE}, round((total_events - mean) / greatest(sd, 1e-9), 4) AS z, CASE WHEN {_STATE} <> 'ready' THEN NULL WHEN (total_events - mean) / greatest(sd, 1e-9) >= 2 THEN 'spike'
        WHEN (total_events - mean) / greatest(sd, 1e-9) <= -2 THEN 'drop' END AS flag FROM bl"""))
 def anomaly_flags(spark, sf):
-    return trends.activity_flags(trends.baselines(_days(spark, sf), PARAMS), PARAMS).select(_date(), "flag")
+    return trends.activity_flags(trends.baselines(_days(spark, sf), PARAMS), PARAMS).select(
+        _date(), F.round("z", 4).alias("z"), "flag")
 
 
 @register("missing_motion", trend_sql(f"""
@@ -85,22 +93,25 @@ def missing_motion(spark, sf):
     return trends.missing_motion(_days(spark, sf)).select(_date(), "missing_motion")
 
 
-@register("mix_shift", trend_sql("""
-SELECT strftime(a.date, '%Y-%m-%d') AS date_utc, round(sum(abs(coalesce(x.s, 0) - coalesce(y.s, 0))) / 2, 9) AS mix_distance
+@register("mix_shift", trend_sql(f"""
+SELECT strftime(a.date, '%Y-%m-%d') AS date_utc, round(sum(abs(coalesce(x.s, 0) - coalesce(y.s, 0))) / 2, 9) AS mix_distance,
+       sum(abs(coalesce(x.s, 0) - coalesce(y.s, 0))) / 2 >= {PARAMS.mix_threshold} AS mix_shift
 FROM dm a JOIN dm b ON b.date = a.date - 1 CROSS JOIN (SELECT DISTINCT kind FROM j) k
 LEFT JOIN sh x ON x.date = a.date AND x.kind = k.kind LEFT JOIN sh y ON y.date = b.date AND y.kind = k.kind GROUP BY 1""",
     DAYS + """, sh AS (SELECT CAST(hour AS DATE) AS date, kind, count(*) / sum(count(*)) OVER (PARTITION BY CAST(hour AS DATE)) AS s
               FROM j GROUP BY 1, 2)"""))
 def mix_shift(spark, sf):
     kinds = rollup.counts_by(rollup.grain(tables.journal(spark, sf)), "kind", "date")
-    return trends.mix_shift(kinds, PARAMS).select(_date(), F.round("mix_distance", 9).alias("mix_distance"))
+    return trends.mix_shift(kinds, PARAMS).select(
+        _date(), F.round("mix_distance", 9).alias("mix_distance"), "mix_shift")
 
 
 @register("week_over_week", trend_sql(f"""
 SELECT strftime(a.date, '%Y-%m-%d') AS date_utc, a.total_events, b.total_events AS week_ago,
-       a.total_events - b.total_events AS change FROM dys a LEFT JOIN dys b ON b.date = a.date - 7"""))
+       a.total_events - b.total_events AS change, round(a.total_events / nullif(b.total_events, 0), 9) AS ratio FROM dys a LEFT JOIN dys b ON b.date = a.date - 7"""))
 def week_over_week(spark, sf):
-    return trends.week_over_week(_days(spark, sf)).select(_date(), "total_events", "week_ago", "change")
+    return trends.week_over_week(_days(spark, sf)).select(
+        _date(), "total_events", "week_ago", "change", F.round("ratio", 9).alias("ratio"))
 
 
 @register("quarter_counts", journal_sql(f"""
@@ -110,12 +121,12 @@ def quarter_counts(spark, sf):
 
 
 @register("still_bursts", events_sql(f"""
-SELECT camera, strftime(time_bucket(INTERVAL 10 MINUTE, ts), {ISO_Z}) AS burst_start,
+SELECT camera, strftime(date_trunc('second', ts), {ISO_Z}) AS burst_start,
        string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY ts, CAST(event_id AS VARCHAR)) AS paths FROM ev GROUP BY 1, 2"""))
 def still_bursts(spark, sf):
-    """Events as stills, in 10-minute bursts."""
+    """Events as stills, in bursts of a second."""
     e = tables.events(spark, sf).select("camera", "ts", F.col("event_id").cast("string").alias("path"))
-    b = trends.still_bursts(e, 600)
+    b = trends.still_bursts(e)
     return b.select("camera", iso_z(F.col("burst_start")).alias("burst_start"), F.array_join("paths", "|").alias("paths"))
 
 
@@ -124,13 +135,15 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}
 
 @register("near_dup_captions", turns_sql("""
 SELECT conv_id, turn, round(CASE WHEN b IS NULL THEN NULL WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0
-         ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 9) AS similarity
+         ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 9) AS similarity,
+       b IS NOT NULL AND CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN true
+         ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.8 END AS repeat
 FROM (SELECT conv_id, turn, a, lag(a) OVER (PARTITION BY source ORDER BY ts, turn) AS b FROM w)""",
     f"w AS (SELECT conv_id, turn, source, ts, {_WORDS} AS a FROM tn)"))
 def near_dup_captions(spark, sf):
     t = tables.turns(spark, sf).withColumn("source", F.concat(F.lit("mic_"), F.col("conv_id") % 4))
     out = trends.caption_repeats(t, PARAMS, ["source"], ["ts", "turn"], 86400.0)
-    return out.select("conv_id", "turn", F.round("similarity", 9).alias("similarity"))
+    return out.select("conv_id", "turn", F.round("similarity", 9).alias("similarity"), "repeat")
 
 
 @register("audible_speech", turns_sql("SELECT conv_id, turn FROM tn WHERE spoken_s >= 0.5"))
@@ -175,9 +188,10 @@ def dwell(spark, sf):
 g AS (SELECT camera, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS brk FROM ev
       WINDOW w AS (PARTITION BY camera ORDER BY ts)),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY camera ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
-SELECT camera, strftime(min(ts), {ISO_Z}) AS session_start, count(*) AS events FROM s GROUP BY camera, n""")
+SELECT camera, strftime(min(ts), {ISO_Z}) AS session_start, strftime(max(ts), {ISO_Z}) AS session_last, count(*) AS events FROM s GROUP BY camera, n""")
 def sessions(spark, sf):
     """Sessions with a gap of 20 minutes: the usual approximation of bursts."""
     e = tables.events(spark, sf).select("camera", "ts", "event_id")
     out = session.sessions(e, ["camera"], ["ts", "event_id"], 1200.0, 86400.0)
-    return out.select("camera", iso_z(F.col("session_start")).alias("session_start"), "events")
+    z = lambda n: iso_z(F.col(n)).alias(n)
+    return out.select("camera", z("session_start"), z("session_last"), "events")

@@ -133,11 +133,11 @@ def still_bursts(spark, sf):
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_'']+'), lambda w: w <> ''))"
 
 
-@register("near_dup_captions", turns_sql("""
+@register("near_dup_captions", turns_sql(f"""
 SELECT conv_id, turn, round(CASE WHEN b IS NULL THEN NULL WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0
          ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 9) AS similarity,
        b IS NOT NULL AND CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN true
-         ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.8 END AS repeat
+         ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= {PARAMS.caption_similarity} END AS repeat
 FROM (SELECT conv_id, turn, a, lag(a) OVER (PARTITION BY source ORDER BY ts, turn) AS b FROM w)""",
     f"w AS (SELECT conv_id, turn, source, ts, {_WORDS} AS a FROM tn)"))
 def near_dup_captions(spark, sf):

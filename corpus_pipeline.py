@@ -16,14 +16,17 @@ import os
 import uuid
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm import bpe, decontaminate, factors, langid, simhash
-from eventide.llm.common import read, shared_dir, stage
+from eventide.llm.common import answered, blocked, read, shared_dir, stage
 
 ORACLE_SQL = None
 TOKENIZER = "byte_bpe_50k.json"
+BLOCK_BYTES = 8 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +41,25 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id are one document, which goes if any of them is a later copy of another document.  A group holds what fingerprints link, and what 0.8 or more of the five-word shingles link.  Documents without an id
     stay: nothing says which of them is first.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), similarity=0.8)
-    later = stage(found.where("doc_id != component_id").select("doc_id").distinct())
-    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
-    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    twice = stage(ids.where("n > 1").select("doc_id"))
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    c = F.col
+    whole = docs.withColumns({"_llm_id": c("doc_id"), "_llm_null": c("text").isNull()})
+    others = tuple(n for n in whole.columns if n not in ("doc_id", "text"))
+    blocks = blocked(whole, "doc_id", "text", BLOCK_BYTES, others=others)
+    found = stage(simhash.near_duplicates(blocks, "id", "text", similarity=0.8, others=("block", "row"), in_blocks=True))
+    place = F.struct("block", "row")
+    said = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max(c("doc_id") != c("component_id")).alias("later"), F.min(place).alias("first"))
+    gone = found.join(said, "doc_id").where(c("later") | (place != c("first"))).select("block", "row")
+    schema = blocks.select("id", "text", "rest").schema
+
+    def keep(rows: pa.Table, told: pa.Table) -> pa.Table:
+        stays = pc.invert(pc.is_in(rows.column("row"), told.column("row").combine_chunks()))
+        return rows.select(["id", "text", "rest"]).filter(stays)
+
+    left = answered(blocks, gone, keep, schema)
+    text = F.when(~c("rest._llm_null"), c("text"))
+    named = {"doc_id": c("rest._llm_id"), "text": text}
+    return left.select(*[named.get(n, c("rest")[n]).alias(n) for n in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

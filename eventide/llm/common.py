@@ -13,12 +13,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import StructType
 
 from eventide.session import shared_dir, stage
 
-__all__ = ["annotate", "blocked", "fold", "pack", "read", "shared_dir", "stage", "unpack", "words"]
+__all__ = ["annotate", "answered", "blocked", "fold", "pack", "read", "shared_dir", "stage", "unpack", "words"]
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -74,7 +74,9 @@ def blocked(
     numbered = source.mapInArrow(number, StructType(schema))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     numbered.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry alone: the files are the folder's, and the plan knows them
+    return table
 
 
 def annotate(df: DataFrame, text_col: str, schema: str, fn, slice_rows: int = 256) -> DataFrame:
@@ -100,6 +102,23 @@ def annotate(df: DataFrame, text_col: str, schema: str, fn, slice_rows: int = 25
     return df.mapInArrow(run, out)
 
 
+def answered(blocks: DataFrame, answers: DataFrame, fn, schema: StructType) -> DataFrame:
+    """``fn(rows, answers)`` for every block of a :func:`blocked` table, rows in order; both are Arrow tables.
+
+    The blocks stay where they lie; only the answers are dealt.
+    """
+    empty = schema_table(schema)
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        return fn(rows.sort_by("row"), told) if rows.num_rows else empty
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def schema_table(schema: StructType) -> pa.Table:
+    return to_arrow_schema(schema).empty_table()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Some one-dimensional arrays as one compressed value."""
     head = ",".join(f"{a.dtype.str}{len(a)}" for a in arrays).encode()

@@ -126,7 +126,7 @@ def links(fps: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, group: int = GROUP,
-    similarity: float | None = None, size: int = 5,
+    similarity: float | None = None, size: int = 5, others: tuple[str, ...] = (), in_blocks: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id.
 
@@ -137,18 +137,19 @@ def near_duplicates(
     are folded into one row before any search, so copies cost nothing there.  Runs jobs when called.
 
     With ``similarity``, documents are also linked whose sets of ``size``-word shingles are as similar (Jaccard): edits
-    that a fingerprint of the whole text moves further than the radius (:mod:`similar`).
+    that a fingerprint of the whole text moves further than the radius (:mod:`similar`).  ``others`` are columns that the
+    result keeps; ``in_blocks`` says that docs is a :func:`common.blocked` table.
     """
     def run(texts: list[str | None]) -> list[np.ndarray]:
         return [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *others, F.col(text_col).alias("text"))
     marked = stage(annotate(rows, "text", "fp long", run))
     unique = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(unique.select("fp"), radius, group)
     if similarity is not None:
         fp_of = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("fp"))
-        pairs = similar_pairs(rows, "doc_id", "text", size, similarity)
+        pairs = similar_pairs(docs, id_col, text_col, size, similarity, in_blocks=in_blocks)
         pairs = pairs.join(fp_of.select(F.col("doc_id").alias("a"), F.col("fp").alias("x")), "a")
         pairs = pairs.join(fp_of.select(F.col("doc_id").alias("b"), F.col("fp").alias("y")), "b")
         edges = edges.unionByName(pairs.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -159,5 +160,5 @@ def near_duplicates(
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(found, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", *others, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

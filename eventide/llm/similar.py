@@ -11,12 +11,16 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from eventide.llm.common import annotate, stage, words
+from eventide.llm.common import annotate, answered, stage, words
 
 CLASSES, WIDTH = 64, 4
 GROUP = 64
@@ -50,15 +54,20 @@ def least_of_classes(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar_pairs(docs: DataFrame, id_col: str, text_col: str, size: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
+def similar_pairs(
+    docs: DataFrame, id_col: str, text_col: str, size: int = 5, similarity: float = 0.8, group: int = GROUP, in_blocks: bool = False
+) -> DataFrame:
     """Pairs (a, b) of ids whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Texts with equal sets are folded first and stand for each other by a pair with the least of their ids.  Groups that
     meet in a band are compared all with all up to ``group`` texts; larger ones are first told apart by the following
     bands, and what three bands cannot tell apart is compared with the least id alone.  Rows with a null id are left out.
+    With ``in_blocks``, docs is a :func:`common.blocked` table and the texts to compare are taken from their blocks, so that
+    no text is shuffled.
     """
     c = F.col
-    rows = docs.where(c(id_col).isNotNull()).select(c(id_col).cast("bigint").alias("id"), c(text_col).alias("text"))
+    place = [c("block")] if in_blocks else []
+    rows = docs.where(c(id_col).isNotNull()).select(c(id_col).cast("bigint").alias("id"), *place, c(text_col).alias("text"))
 
     def sketch(texts: list[str | None]) -> list[list]:
         sets = [shingle_set(t, size) for t in texts]
@@ -101,9 +110,19 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, size: int = 5, si
     close = few.select("ms").mapInPandas(compare, "a long, b long")
     asked = stage(close.unionByName(star).distinct())
     needed = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = rows.join(needed, "id", "left_semi")
     whole = lambda texts: [[shingle_set(t, size).view(np.int64).tolist() for t in texts]]
-    sets = stage(annotate(sets, "text", "s array<bigint>", whole).dropDuplicates(["id"]))
+    if in_blocks:
+        schema = StructType.fromDDL("id long, s array<bigint>")
+
+        def take(block: pa.Table, asked_: pa.Table) -> pa.Table:
+            block = block.filter(pc.is_in(block.column("id"), asked_.column("id").combine_chunks()))
+            s = whole(block.column("text").to_pylist())[0]
+            return pa.table([block.column("id"), pa.array(s, pa.list_(pa.int64()))], schema=to_arrow_schema(schema))
+
+        asked_of = told.select("id", "block").join(needed, "id", "left_semi").select("block", "id")
+        sets = stage(answered(docs, asked_of, take, schema).dropDuplicates(["id"]))
+    else:
+        sets = stage(annotate(rows.join(needed, "id", "left_semi"), "text", "s array<bigint>", whole).dropDuplicates(["id"]))
     both = asked.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     sure = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")

@@ -83,22 +83,24 @@ def track_events(track_table: DataFrame, p: PerceptionParams) -> DataFrame:
     return _emit(track_table, enter, left, summary)
 
 
-def burst_events(burst_table: DataFrame, p: PerceptionParams) -> DataFrame:
+def burst_events(burst_table: DataFrame, p: PerceptionParams, starts: Column | None = None) -> DataFrame:
     """burst.start for every burst; motion.summary and burst.end for those long enough.
 
     An open burst at the end of input is reported at its camera's last frame.
+    ``starts`` says which rows report a start; all do by default.
     """
     c = F.col
     local = lambda t: iso_local(t, p.local_tz)
     source = F.lit(p.source)
     name = lambda objs, none: F.when(F.size(objs) > 0, F.array_join(objs, "/")).otherwise(none)
 
-    start = _event(c("start_ts"), F.lit("burst.start"), _line(
+    begins = F.lit(True) if starts is None else starts
+    start = F.when(begins, _event(c("start_ts"), F.lit("burst.start"), _line(
         type=F.lit("burst.start"), ts=local(c("start_ts")), source=source, objects=c("first_objects"),
         motion_score=F.round("first_motion", 3),
         msg=F.format_string(
             "burst started when %s seen; motion_score=%.2f", name(c("first_objects"), "-"), c("first_motion")),
-    ))
+    )))
     at = F.coalesce("close_ts", "last_row_ts")
     begin, last = iso_utc_micros(c("start_ts")), iso_utc_micros(c("last_live_ts"))
     label = name(c("objects"), "motion")

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from eventide.operators import blocks
+from eventide.functions.times import add_seconds
+from eventide.operators import blocks, perception_events
 from eventide.operators.tracks import FrameMatcher
 from eventide.params import PerceptionParams
 
@@ -85,27 +86,31 @@ class Bursts(InOrder):
     columns = ["us", "frame_idx", "live", "presence", "motion", "objects"]
     row_schema = "us long, frame_idx long, live boolean, presence boolean, motion double, objects string"
     # one row: the open burst, if any, and the last presence
-    rule_schema = "open boolean, start long, last_live long, last_pres long, peak double, objects string, frames long"
-    output = ["start_us", "last_live_us", "close_us", "peak_motion", "objects", "live_frames"]
+    rule_schema = (
+        "open boolean, start long, last_live long, last_pres long, peak double, objects string, frames long, "
+        "motion0 double, objects0 string")
+    output = ["start_us", "last_live_us", "close_us", "peak_motion", "objects", "live_frames", "first_motion", "first_objects"]
 
     def __init__(self, p: PerceptionParams):
         self.grace, self.hold = blocks.micros(p.merge_grace_s), blocks.micros(p.presence_hold_s)
 
     def advance(self, rows, memory):
-        is_open, start, last, pres, peak, objects, n = memory[0] if memory else (False, 0, 0, None, 0.0, "", 0)
+        """A row when a burst starts, without ``close_us``, and one when it closes."""
+        is_open, start, last, pres, peak, objects, n, m0, o0 = memory[0] if memory else (False, 0, 0, None, 0.0, "", 0, 0.0, "")
         out = []
         for us, _, live, presence, motion, objs in rows:
             if presence:
                 pres = us
             if live:
                 if not is_open:
-                    is_open, start, peak, objects, n = True, us, motion, "", 0
+                    is_open, start, peak, objects, n, m0, o0 = True, us, motion, "", 0, motion, objs
+                    out.append((us, us, None, motion, objs, 1, m0, o0))
                 last, peak, n = us, max(peak, motion), n + 1
                 objects = "/".join(sorted({*objects.split("/"), *objs.split("/")} - {""}))
             elif is_open and us - last >= self.grace and (pres is None or us - pres >= self.hold):
-                out.append((start, last, us, peak, objects, n))
+                out.append((start, last, us, peak, objects, n, m0, o0))
                 is_open = False
-        return [(is_open, start, last, pres, peak, objects, n)], out
+        return [(is_open, start, last, pres, peak, objects, n, m0, o0)], out
 
 
 class Tracks(InOrder):
@@ -167,17 +172,36 @@ def _times(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def burst_stream(frames: DataFrame, p: PerceptionParams, delay: str = "10 seconds") -> DataFrame:
-    """Closed bursts of a stream of frames (camera, ts, frame_idx, live, presence, motion, objects)."""
+def burst_changes(frames: DataFrame, p: PerceptionParams, delay: str = "10 seconds") -> DataFrame:
+    """Starts (no ``close_ts``) and ends of bursts of a stream of frames (camera, ts, frame_idx, live, presence, motion, objects)."""
     flat = frames.withColumn("objects", F.array_join("objects", "/")).select(
         "camera", "ts", "frame_idx", "live", "presence", "motion", "objects")
     out = _run(
         flat, Bursts(p),
-        "camera string, start_us long, last_live_us long, close_us long, peak_motion double, objects string, live_frames long",
-        delay)
+        "camera string, start_us long, last_live_us long, close_us long, peak_motion double, objects string, live_frames long, "
+        "first_motion double, first_objects string", delay)
     return _times(out, "start_us", "last_live_us", "close_us")
 
 
+def burst_stream(frames: DataFrame, p: PerceptionParams, delay: str = "10 seconds") -> DataFrame:
+    """Closed bursts of a stream of frames."""
+    return burst_changes(frames, p, delay).where(F.col("close_ts").isNotNull()).drop("first_motion", "first_objects")
+
+
+def burst_line_stream(frames: DataFrame, p: PerceptionParams, delay: str = "10 seconds") -> DataFrame:
+    """Event lines of a stream's bursts: burst.start at once, motion.summary and burst.end when a long enough one closes."""
+    names = lambda c: F.array_sort(F.filter(F.split(c, "/"), lambda x: x != ""))
+    padded = F.unix_micros(add_seconds(F.col("last_live_ts"), p.clip_post_s)) - F.unix_micros(
+        add_seconds(F.col("start_ts"), -p.clip_pre_s))
+    b = burst_changes(frames, p, delay).withColumns({
+        "objects": names("objects"), "first_objects": names("first_objects"), "last_row_ts": F.col("close_ts"),
+        "duration_s": F.greatest(F.lit(0.0), padded / F.lit(1e6)), "flushed": F.lit(False),
+    })
+    ended = F.col("close_ts").isNotNull()
+    b = b.withColumn("kept", ended & (F.col("duration_s") >= p.min_event_sec))
+    return perception_events.burst_events(b, p, starts=~ended)
+
+
 def track_stream(dets: DataFrame, p: PerceptionParams, delay: str = "10 seconds") -> DataFrame:
     """Detections of a stream with the birth of their track and match number."""
     c = [F.col("det_idx").cast("long").alias("det_idx"), "x1", "y1", "x2", "y2"]

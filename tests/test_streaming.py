@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.operators import bursts, gate, tracks, trailing
+from eventide.operators import bursts, gate, perception_events, tracks, trailing
 from eventide.params import PerceptionParams
 from eventide.streaming import stateful, windows
 
@@ -46,6 +46,17 @@ def test_bursts(spark, tmp_path):
     assert sorted(a) == sorted(b) and len(a) > 3
 
 
+def test_burst_lines(spark, tmp_path):
+    """A stream reports starts, summaries and ends with the lines that the batch writes."""
+    df = gate.live_frames(frames(spark, 60, random.Random(7)), PerceptionParams(motion_threshold=0.8))
+    got = run(spark, tmp_path, df, lambda s: stateful.burst_line_stream(s, P), "burst_lines_out")
+    closed = bursts.bursts(df, P).where("not flushed and close_ts < timestamp_seconds(9999999)")
+    want = sorted(map(tuple, perception_events.burst_events(closed, P).select("camera", "type", "ts", "line").collect()))
+    rows = sorted(map(tuple, got.select("camera", "type", "ts", "line").where("ts < timestamp_seconds(9999999)").collect()))
+    assert [r for r in rows if r[1] != "burst.start"] == [r for r in want if r[1] != "burst.start"] and len(want) > 9
+    assert set(r for r in want if r[1] == "burst.start") <= set(rows)
+
+
 def test_novelty(spark, tmp_path):
     df = frames(spark, 50, random.Random(2))
     got = run(spark, tmp_path, df, lambda s: stateful.novelty_stream(s, P), "novelty_out")

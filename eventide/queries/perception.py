@@ -124,10 +124,25 @@ def burst_events(spark, sf):
         "camera", "type", _us("ts"), F.array_join("_o.objects", "/").alias("objects"), F.col("_o.start_ts").alias("start_text"))
 
 
-@register("burst_lines")
+_BEGIN = f"strftime(start_ts, {ISO_US}) || '+00:00'"
+_AT = "coalesce(close_ts, last_row_ts)"
+
+
+@register("burst_lines", frames_sql(f"""
+SELECT camera, type, strftime(seen_at, '%Y-%m-%dT%H:%M:%S') || '+0000' AS ts, source, objects, motion_score, event_id, start_ts, end_ts,
+       duration_s FROM (
+  SELECT camera, 'burst.start' AS type, start_ts AS seen_at, 'cam_sim' AS source, array_to_string(first_objects, '/') AS objects,
+         round(first_motion, 3) AS motion_score, NULL AS event_id, NULL AS start_ts, NULL AS end_ts, NULL::DOUBLE AS duration_s FROM bu
+  UNION ALL SELECT camera, 'motion.summary', {_AT}, 'cam_sim', array_to_string(objects, '/'), round(peak_motion, 3),
+         'ev_' || sha1(camera || '|' || {_BEGIN}), NULL, NULL, NULL FROM bu WHERE duration_s >= 1
+  UNION ALL SELECT camera, 'burst.end', {_AT}, 'cam_sim', array_to_string(objects, '/'), NULL, NULL, {_BEGIN},
+         strftime(last_live_ts, {ISO_US}) || '+00:00', round(duration_s, 3) FROM bu WHERE duration_s >= 1)""", *BURST_CTES))
 def burst_lines(spark, sf):
-    """The JSON lines themselves; number formats differ between engines, so there is no SQL."""
-    return perception_events.burst_events(_bursts(spark, sf), PARAMS).select("camera", "type", _us("ts"), "line")
+    """The fields of the JSON lines; free text aside, whose number formats differ between engines."""
+    lines = perception_events.burst_events(_bursts(spark, sf), PARAMS)
+    fields = "ts string, source string, objects array<string>, motion_score double, event_id string, start_ts string, end_ts string, duration_s double"
+    out = lines.select("camera", "type", F.from_json("line", fields).alias("o")).select("camera", "type", "o.*")
+    return out.withColumn("objects", F.array_join("objects", "/"))
 
 
 @register("novelty", """

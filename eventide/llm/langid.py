@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventide.llm.common import annotate, fold, stage
+from eventide.llm.common import annotate, fold, pack, stage, unpack
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -148,15 +148,14 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
     sample = rows.join(chosen, same, "left_semi")
 
     def run(texts: list[str]) -> list[list]:
-        p = [profile(t) for t in texts]
-        return [[ids.tolist() for ids, _ in p], [n.tolist() for _, n in p]]
+        return [[pack(ids, n.astype(np.int32)) for ids, n in map(profile, texts)]]
 
-    got = annotate(sample.select("lang", "key", "id", "text"), "text", "ids array<int>, counts array<int>", run, 64)
+    got = annotate(sample.select("lang", "key", "id", "text"), "text", "profile binary", run, 64)
     found = {(r.lang, r.key, str(r.id)): r for r in got.toLocalIterator()}  # repeated rows count once
     found = [found[k] for k in sorted(found)]
     if not found:
         return None
-    return train([(np.array(r.ids, np.int32), np.array(r.counts, np.int64)) for r in found], [r.lang for r in found])
+    return train([tuple(unpack(r.profile)) for r in found], [r.lang for r in found])
 
 
 def identify(

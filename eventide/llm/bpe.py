@@ -21,8 +21,8 @@ from eventide.llm.common import annotate
 
 # The pre-splitting pattern of byte-level tokenizer files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 1 << 17  # words whose tokens a worker remembers
-PAIRS = 1 << 18  # answers about neighbours that it remembers
+CACHE = 1 << 17  # words whose tokens a worker remembers, twice: the latest, and those before them
+PAIRS = 1 << 19  # answers about neighbours that it remembers
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,8 +76,11 @@ class Automaton:
                     self.label.append(-1)
                 at = nxt
             self.label[at] = i
+        self.longest = max((len(self.bytes_of[t]) for t in self.label if t >= 0), default=1)
         self.pairs: dict[int, bool] = {}
-        self.word = lru_cache(CACHE)(self._word)
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.size_of = [len(b) for b in self.bytes_of]
 
     @classmethod
     def load(cls, text: str) -> Automaton:
@@ -112,58 +115,68 @@ class Automaton:
             else:
                 return True
 
-    def _word(self, word: bytes) -> tuple[int, ...]:
+    def word(self, word: bytes) -> tuple[int, ...]:
         """Labels of the one accepted path that spells ``word``.
 
         Longest arcs first; an arc that cannot follow, or leads to a place known to be a dead end, gives way to a shorter.
         A place is left for good once all arcs from it have failed after the arc that led there, so steps are bounded by
         the word's length times the longest token.
         """
-        n, step, label, follows = len(word), self.step, self.label, self.follows
+        n, step, label, pairs, size_of, size = len(word), self.step, self.label, self.pairs, self.size_of, self.size
         arcs: list[list[int]] = []
         path: list[int] = []
         at, last, dead = 0, -1, set()
-        while True:
-            if at == n:
-                return tuple(path)
+        while at < n:
             options, state = [], 0
-            for i in range(at, n):
-                state = step[state].get(word[i], -1)
-                if state < 0:
+            for byte in word[at:] if n - at < 64 else word[at : at + self.longest]:
+                state = step[state].get(byte)
+                if state is None:
                     break
-                if label[state] >= 0:
-                    options.append(label[state])
+                if (t := label[state]) >= 0:
+                    options.append(t)
             arcs.append(options)
             while True:
-                options = arcs[-1]
                 token = -1
                 while options:
                     t = options.pop()
-                    end = at + len(self.bytes_of[t])
-                    if (end, t) not in dead and (last < 0 or follows(last, t)):
-                        token = t
-                        break
+                    if last >= 0:
+                        free = pairs.get(last * size + t)
+                        if not (self.follows(last, t) if free is None else free):
+                            continue
+                    if dead and (at + size_of[t], t) in dead:
+                        continue
+                    token = t
+                    break
                 if token >= 0:
                     path.append(token)
-                    at, last = end, token
+                    at, last = at + size_of[token], token
                     break
                 arcs.pop()
                 if not path:
                     raise ValueError("a byte has no token")
                 dead.add((at, last))
                 path.pop()
-                at -= len(self.bytes_of[last])
+                at -= size_of[last]
                 last = path[-1] if path else -1
+                options = arcs[-1]
+        return tuple(path)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; strings of added tokens are those tokens."""
         out: list[int] = []
+        known = self.words
         for piece in self._split(text):
             if piece in self.special:
                 out.append(self.special[piece])
                 continue
             for w in _pattern().findall(piece):
-                out += self.word(w.encode("utf-8", "surrogatepass"))
+                ids = known.get(w)
+                if ids is None:
+                    if len(known) >= CACHE:
+                        self.older, known = known, {}
+                        self.words = known
+                    ids = known[w] = self.older.get(w) or self.word(w.encode("utf-8", "surrogatepass"))
+                out += ids
         return out
 
     def _split(self, text: str) -> list[str]:

@@ -36,6 +36,7 @@ NOT_NAMES = frozenset(
     "sidebar sidebars aside rail widget widgets footer footers foot colophon masthead comment comments commentlist comentarios "
     "kommentare commentaires disqus replies reply respond discussion cookie cookies consent gdpr notice notices notification "
     "notifications alert alerts banner banners popup modal overlay newsletter subscribe subscription signup login signin search "
+    "toast snackbar disclaimer announcement announcements thread threads responses feedback "
     "share sharing social related recommended recommendations teaser teasers skip".split()
 )
 NEGATIONS = frozenset("has with without no not is".split())  # as in has-sidebar, no-ads

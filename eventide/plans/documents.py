@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.times import day_bounds, iso_z
 from eventide.plans import rollup, verify
-from eventide.session import require_utc, stage
+from eventide.session import require_utc, scratch, stage
 from eventide.sources import journal as J
 
 IDS = "hour timestamp, created_utc timestamp, event_id string"
@@ -170,6 +170,12 @@ def summarize(
     window = resolve_window(spark, J.newest_part(spark, journal_root), date, start, end, tz)
     if window is None:
         return None
+    with scratch(spark):
+        _summarize(spark, journal, window, out_root)
+    return window
+
+
+def _summarize(spark: SparkSession, journal: DataFrame, window: tuple[dt.datetime, dt.datetime], out_root: str) -> None:
     lo, hi = (F.lit(w) for w in window)
     events = J.scan_window(journal, lo, hi)
     g, tokens = stage(rollup.grain(events)), stage(rollup.token_grain(events))
@@ -192,4 +198,3 @@ def summarize(
     day = daily_documents(hours, docs, g, tokens, bounds, checked)
     day.withColumn("date", F.col("date_utc")).write.mode("overwrite").option("ignoreNullFields", "false").option(
         "partitionOverwriteMode", "dynamic").partitionBy("date").json(f"{out_root}/daily")
-    return window

@@ -12,7 +12,7 @@ from eventide.functions import payload as P
 from eventide.functions.times import parse_ts, strip
 from eventide.operators.dedupe import drop_windowed_duplicates
 from eventide.params import IngestParams
-from eventide.session import require_utc, stage
+from eventide.session import require_utc, scratch, stage
 from eventide.sources import journal, jsonl
 from eventide.sources.segments import list_files, list_segments, with_bounds
 
@@ -212,6 +212,13 @@ def ingest(
 ) -> IngestReport:
     """One-shot ingest of all shards under a root; safe to repeat, also over growing shards."""
     require_utc(spark)
+    with scratch(spark):
+        return _ingest(spark, events_root, journal_root, p, segments)
+
+
+def _ingest(
+    spark: SparkSession, events_root: str, journal_root: str, p: IngestParams, segments: DataFrame | None
+) -> IngestReport:
     scan = lines = jsonl.scan_lines(spark, jsonl.shard_paths(events_root, p.glob))
     if p.limit:
         lines = jsonl.first_lines(jsonl.number_lines(lines, lines), p.limit)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators import blocks, bursts, detect, gate, perception_events, tracks, trailing
 from eventide.params import PerceptionParams
-from eventide.session import require_utc, stage
+from eventide.session import require_utc, scratch, stage
 from eventide.sources import jsonl
 
 
@@ -35,6 +35,14 @@ def perceive(
     detections count on the frames of the detector's cadence only.
     """
     require_utc(spark)
+    with scratch(spark):
+        _perceive(spark, frames, dets, out_root, p, roll, fps, block_rows)
+
+
+def _perceive(
+    spark: SparkSession, frames: DataFrame, dets: DataFrame, out_root: str, p: PerceptionParams, roll: str, fps: float | None,
+    block_rows: int,
+) -> None:
     # blocks by what the busiest camera has, not shorter than what an operator looks back over
     back = max(p.novelty_window_s, p.buffer_s, p.cooldown_s, p.presence_hold_s, p.merge_grace_s, p.track_ttl_s, 1.0)
     p = replace(p, block_s=blocks.fitted(frames, ["camera"], p.block_s, rows=block_rows, least_s=back))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_scope = threading.local()
 
 # Settings that change results or plans.  Cluster size is left to the caller.
 REQUIRED = {
@@ -80,6 +84,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside, by this thread, are removed at its end: for jobs whose results are written elsewhere."""
+    outer = getattr(_scope, "paths", None)
+    _scope.paths = paths = []
+    try:
+        yield
+    finally:
+        _scope.paths = outer
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for p in map(jvm.org.apache.hadoop.fs.Path, paths):
+            p.getFileSystem(conf).delete(p, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -87,5 +105,7 @@ def stage(df: DataFrame) -> DataFrame:
     sizes.  For small tables that several later steps read.
     """
     path = os.path.join(shared_dir(df.sparkSession), "stage", uuid.uuid4().hex)
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

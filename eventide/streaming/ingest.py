@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventide.params import IngestParams
 from eventide.plans import ingest
-from eventide.session import require_utc
+from eventide.session import require_utc, scratch
 from eventide.sources import journal as J
 from eventide.sources import jsonl
 
@@ -59,6 +59,10 @@ def ingest_stream(
     newest = J.newest_part(spark, journal_root).agg(F.max("created_utc")).first()[0]
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):  # a batch's own tables go with it
+            write_batch(batch, batch_id)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
         nonlocal newest
         session = batch.sparkSession
         # recordings are listed anew for each batch, as a batch ingest does

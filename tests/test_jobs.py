@@ -86,6 +86,16 @@ def test_ingest_is_idempotent_and_complete(spark, shard):
     assert at["speech/15:31:00"] == ("mic", 0, 5000, "none")
 
 
+def test_jobs_leave_no_staged_tables(spark, shard):
+    from eventide.session import shared_dir
+
+    folder = os.path.join(shared_dir(spark), "stage")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    ingest.ingest(spark, f"{shard}/events", f"{shard}/journal", IngestParams(clips_dir=f"{shard}/record"))
+    documents.summarize(spark, f"{shard}/journal", f"{shard}/out")
+    assert set(os.listdir(folder)) == before
+
+
 def test_quarantine_and_numbers(spark, shard):
     scan = jsonl.scan_lines(spark, f"{shard}/events/*/*.jsonl")
     parsed = jsonl.parse_lines(scan)

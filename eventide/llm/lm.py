@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from eventide.llm.common import blocked, pack, stage, unpack, words
 from eventide.llm.trie import CHILD_BITS, Trie, opened, quantised
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20  # of text, whose bigrams make one shard
 HOT = 1 << 19  # occurrences of a word above which its context is split
 BUCKETS = 1 << 16  # of words, whose shares of the unigram mass are known to all

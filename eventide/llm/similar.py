@@ -21,9 +21,11 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from eventide.llm.common import annotate, answered, stage, words
+from eventide.llm.graph import components
 
 CLASSES, WIDTH = 64, 4
 GROUP = 64
+CELL_ROWS, CELL_SHINGLES = 1024, 1 << 21  # texts and shingles that a part of a larger group has, about
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,14 +56,84 @@ def least_of_classes(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def cell_links(
+    ids: np.ndarray, roots: np.ndarray, parts: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, similarity: float
+) -> list[tuple[int, int]]:
+    """Pairs that join what of ``roots`` belongs together by whole sets; ``shingles`` has the sets one after the other.
+
+    With two parts only texts of different parts are compared.  The text with the most common shingles goes first, as the
+    original of many copies has them; then every text outside the largest component meets all that it isn't joined with.
+    """
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    kinds, flat = np.unique(shingles, return_inverse=True)
+    comp = np.unique(roots, return_inverse=True)[1]
+    common = np.add.reduceat(np.bincount(flat)[flat], starts) / sizes
+    mark, out, two = np.zeros(len(kinds), bool), [], len(np.unique(parts)) > 1
+
+    def meet(p: int) -> None:
+        far = comp != comp[p]
+        if two:
+            far &= parts != parts[p]
+        if not far.any():
+            return
+        mark[flat[starts[p] : ends[p]]] = True
+        shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+        mark[flat[starts[p] : ends[p]]] = False
+        for q in np.flatnonzero(far & (shared >= similarity * (sizes + sizes[p] - shared))).tolist():
+            if comp[q] != comp[p]:
+                out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+                comp[comp == comp[q]] = comp[p]
+
+    meet(int(common.argmax()))
+    for p in np.flatnonzero(comp != np.bincount(comp).argmax()).tolist():
+        meet(p)
+    return out
+
+
+def _joined(large: DataFrame, sets: DataFrame, sure: DataFrame, similarity: float) -> DataFrame:
+    """``sure`` and the pairs that join what it leaves apart in groups ``large`` (band, k1, id, n) of any size.
+
+    Groups that are one component are done.  Of the others those of the fullest band go first, as their links may settle
+    the rest, which go together: each round costs the driver some memory, so there are two at most.  A group is dealt into parts of bounded size, each two of which meet in one task, so no task holds an unbounded group
+    and no pair of texts in different components goes uncompared; a task gives a forest, not its pairs.
+    """
+    c = F.col
+    group, schema = ["band", "k1"], StructType.fromDDL("a long, b long")
+    for turn in range(2):
+        roots = components(sure).withColumnsRenamed({"a": "id", "b": "root"})
+        rooted = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        parts = F.greatest(F.ceil(F.count("*") / F.lit(CELL_ROWS)), F.ceil(F.sum("n") / F.lit(CELL_SHINGLES))).cast("int")
+        apart = rooted.groupBy(*group).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), parts.alias("parts"))
+        rooted = stage(rooted.join(apart.where("lo != hi").drop("lo", "hi"), group))
+        first = rooted.groupBy("band").count().orderBy(F.desc("count"), "band").first()  # one row of 16
+        if first is None:
+            return sure
+        here = (rooted if turn else rooted.where(c("band") == first.band)).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+        here = here.withColumn("other", F.explode(F.sequence(F.lit(0), c("parts") - 1)))
+        here = here.select(*group, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "root", "id")
+
+        def run(t: pa.Table) -> pa.Table:
+            s = t.column("s").combine_chunks()
+            one = lambda x: t.column(x).to_numpy()
+            pairs = cell_links(one("id"), one("root"), one("part"), s.flatten().to_numpy(), s.value_lengths().to_numpy().astype(np.int64), similarity)
+            a = np.array(pairs, np.int64).reshape(-1, 2)
+            return pa.table([a[:, 0], a[:, 1]], schema=to_arrow_schema(schema))
+
+        sure = stage(sure.unionByName(here.join(sets, "id").groupBy(*group, "i", "j").applyInArrow(run, schema)))
+        large = rooted.where(c("band") != first.band).select(*group, "id", "n")
+    return sure
+
+
 def similar_pairs(
     docs: DataFrame, id_col: str, text_col: str, size: int = 5, similarity: float = 0.8, group: int = GROUP, in_blocks: bool = False
 ) -> DataFrame:
     """Pairs (a, b) of ids whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Texts with equal sets are folded first and stand for each other by a pair with the least of their ids.  Groups that
-    meet in a band are compared all with all up to ``group`` texts; larger ones are first told apart by the following
-    bands, and what three bands cannot tell apart is compared with the least id alone.  Rows with a null id are left out.
+    meet in a band are compared all with all up to ``group`` texts.  In larger ones all are compared with the least id, then
+    what is still apart is joined by whole sets (:func:`_joined`): pairs that connect the group as all its pairs would.  Rows
+    with a null id are left out.
     With ``in_blocks``, docs is a :func:`common.blocked` table and the texts to compare are taken from their blocks, so that
     no text is shuffled.
     """
@@ -76,24 +148,18 @@ def similar_pairs(
                 [(x.view(np.int64) if len(s) else np.empty(0, np.int64)).tolist() for x, s in zip(least, sets, strict=True)]]
 
     told = stage(annotate(rows, "text", "whole long, n long, least array<bigint>", sketch))
-    first = told.where("n > 0").groupBy("whole").agg(F.min("id").alias("id"), F.any_value("least").alias("least"))
+    first = told.where("n > 0").groupBy("whole").agg(F.min("id").alias("id"), F.any_value("least").alias("least"), F.any_value("n").alias("n"))
     first = stage(first)
     copies = told.where("n > 0").select("whole", c("id").alias("b")).join(first.select("whole", c("id").alias("a")), "whole")
     copies = copies.where("a != b").select("a", "b")
     bands = CLASSES // WIDTH
-    band = lambda k: F.xxhash64(F.slice("least", k % bands * WIDTH + 1, WIDTH))
-    met = first.select("id", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("band"), band(k).alias("k1"), band(k + 1).alias("k2"), band(k + 2).alias("k3")) for k in range(bands)
-    ])).alias("x")).select("id", "x.*")
-    size_of = lambda *keys: F.count("*").over(Window.partitionBy("band", *keys))
-    met = met.withColumn("n1", size_of("k1")).where("n1 > 1").withColumn("n2", size_of("k1", "k2"))
-    met = met.withColumn("n3", size_of("k1", "k2", "k3"))
-    met = stage(met.withColumn("key", F.when(c("n1") <= group, F.struct("k1", F.lit(0).alias("l2"), F.lit(0).alias("l3")))
-                               .when(c("n2") <= group, F.struct("k1", c("k2").alias("l2"), F.lit(0).alias("l3")))
-                               .otherwise(F.struct("k1", c("k2").alias("l2"), c("k3").alias("l3"))))
-                .withColumn("many", (c("n1") > group) & (c("n2") > group) & (c("n3") > group)).select("id", "band", "key", "many"))
-    alone = Window.partitionBy("band", "key")
-    star = met.where("many").withColumn("a", F.min("id").over(alone)).where("a != id").select("a", c("id").alias("b"))
+    met = first.select("id", "n", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("band"), F.xxhash64(F.slice("least", k * WIDTH + 1, WIDTH)).alias("k1")) for k in range(bands)
+    ])).alias("x")).select("id", "n", "x.*")
+    alone = Window.partitionBy("band", "k1")
+    met = stage(met.withColumn("n1", F.count("*").over(alone)).withColumn("a", F.min("id").over(alone)).where("n1 > 1"))
+    large = met.where(c("n1") > group)
+    star = large.where("a != id").select("a", c("id").alias("b"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -105,7 +171,7 @@ def similar_pairs(
                         if (sig[i] == sig[j]).mean() >= similarity - 0.25]
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    few = met.where("NOT many").join(first.select("id", "least"), "id").groupBy("band", "key").agg(
+    few = met.where(c("n1") <= group).join(first.select("id", "least"), "id").groupBy("band", "k1").agg(
         F.collect_list(F.struct("id", "least")).alias("ms")).where("size(ms) > 1")
     close = few.select("ms").mapInPandas(compare, "a long, b long")
     asked = stage(close.unionByName(star).distinct())
@@ -126,4 +192,6 @@ def similar_pairs(
     both = asked.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     sure = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    if not large.isEmpty():
+        sure = _joined(large.select("band", "k1", "id", "n"), sets, stage(sure), similarity)
     return sure.unionByName(copies)

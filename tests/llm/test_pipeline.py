@@ -45,6 +45,43 @@ def test_similar_pairs_against_all_pairs(spark, group):
     assert len(missed) <= (0 if group == 64 else 2), missed
 
 
+@pytest.mark.parametrize("group,cell", [(64, 1024), (3, 1024), (3, 20)])
+def test_large_groups_are_joined_whatever_the_least_id(spark, monkeypatch, group, cell):
+    """Copies that are each close to an original with a later id, and not to one another; a chain; with small cells too."""
+    monkeypatch.setattr(similar, "CELL_ROWS", cell)
+    r = random.Random(9)
+    vocab = [f"v{k}" for k in range(5000)]
+    original = r.choices(vocab, k=400)
+    rows = [(900, " ".join(original))]
+    for k in range(100):
+        b = list(original)
+        for at in r.sample(range(0, 400, 9), 8):
+            b[at] = r.choice(vocab)
+        rows.append((k, " ".join(b)))
+    chain = r.choices(vocab, k=330)
+    for k in range(90):
+        chain = list(chain)
+        chain[(k * 3) % 30] = r.choice(vocab)
+        if k % 3 == 0:
+            chain[30 + k % 300] = r.choice(vocab)
+        rows.append((1000 + k * 37 % 90, " ".join(chain)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.a, x.b) for x in similar.similar_pairs(df, "doc_id", "text", group=group).collect()}
+    sets = {d: shingles(t) for d, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    assert all(like(a, b) for a, b in got)
+
+    def parts(pairs):
+        at = {d: d for d in sets}
+        for a, b in pairs:
+            lo, hi = sorted((at[a], at[b]))
+            at = {d: lo if x == hi else x for d, x in at.items()}
+        return at
+
+    want = parts((a, b) for a in sets for b in sets if a < b and like(a, b))
+    assert parts(got) == want and len({want[d] for d in range(100)} | {want[900]}) == 1
+
+
 def documents(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 

@@ -17,6 +17,7 @@ BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)  # bytes in a subword
 DIM = 16
 PER_LANG = 600  # labelled rows of one language that are learnt from, at most
+PRIOR = 0.1 * BUCKETS  # subwords spread over all buckets that each language has besides its own
 CHUNK = 1 << 19  # bytes of text hashed at a time
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -52,30 +53,42 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
-    """``table`` holds each bucket's embedding times the softmax weights, so that a text needs one gather and a mean."""
+    """``table`` holds each bucket's embedding times the softmax weights, so that a text needs one gather and a mean.
+
+    The softmax knows no language but the learnt ones.  So the table also has each bucket's evidence: the logarithm of how
+    much more frequent it is in a language than if all buckets were alike.
+    """
 
     langs: list[str]
-    table: np.ndarray  # (BUCKETS, languages)
+    table: np.ndarray  # (BUCKETS, 2 x languages): weights, then evidence
     bias: np.ndarray
     temperature: float
     floor: float  # scores below it are rejected
+    least: float  # so are texts whose mean evidence is below it for every language
 
-    def probabilities(self, text: str) -> np.ndarray:
+    def means(self, text: str) -> np.ndarray:
         b = lowered(text)
-        total, n = np.zeros(len(self.langs)), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         for i in range(0, len(b), CHUNK):  # pieces overlap by what the longest subword needs
             ids = subwords(b[i : i + CHUNK + max(ORDERS) - 1])
             total += self.table[ids].sum(axis=0, dtype=np.float64)
             n += len(ids)
-        return softmax((total / max(n, 1) + self.bias) / self.temperature)
+        return total / max(n, 1)
+
+    def _softmax(self, means: np.ndarray) -> np.ndarray:
+        return softmax((means[: len(self.langs)] + self.bias) / self.temperature)
+
+    def probabilities(self, text: str) -> np.ndarray:
+        return self._softmax(self.means(text))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score in [0, 1], and whether the score passes the calibrated floor."""
+        """Language, score in [0, 1], and whether score and evidence pass their calibrated floors."""
         if not has_letter(text):
             return UNKNOWN, 0.0, False
-        p = self.probabilities(text)
+        means = self.means(text)
+        p = self._softmax(means)
         k = int(p.argmax())
-        return self.langs[k], float(p[k]), bool(p[k] >= self.floor)
+        return self.langs[k], float(p[k]), bool(p[k] >= self.floor and means[len(self.langs) :].max() >= self.least)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -83,14 +96,43 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def evidence(
+    profiles: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: int, keep: float
+) -> tuple[np.ndarray, float]:
+    """Evidence of each bucket for each language, and the least mean evidence of a text in a learnt language.
+
+    Each text is measured without its own counts, as a text that is to be kept (best of all languages), and without its
+    language, as one that is to be rejected (best of the others).  The floor lies half-way between what ``keep`` of the
+    first reach and what 99 % of the second, or no evidence at all, stay under; if these overlap, at the former.
+    """
+    counts = np.zeros((BUCKETS, langs))
+    for (ids, c), k in zip(profiles, y, strict=True):
+        counts[ids, k] += c
+    sums = counts.sum(axis=0)
+    table = np.log((counts + PRIOR / BUCKETS) * BUCKETS / (sums + PRIOR))
+    own, foreign = [], [0.0]
+    for (ids, c), k in zip(profiles, y, strict=True):
+        n = c.sum()
+        if n:
+            e = c @ table[ids] / n
+            rest = np.log((counts[ids, k] - c + PRIOR / BUCKETS) * BUCKETS / (sums[k] - n + PRIOR))
+            others = np.delete(e, k)
+            own.append(max([c @ rest / n, *others]))
+            foreign += [others.max()] if langs > 1 else []
+    if not own:
+        return table, 0.0
+    low = float(np.quantile(own, 1 - keep))
+    return table, min(low, (low + max(0.0, float(np.quantile(foreign, 0.99)))) / 2)
+
+
 def train(
     profiles: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 6, rate: float = 40.0, seed: int = 7,
-    keep: float = 0.999, slack: float = 0.5, ceiling: float = 0.4,
+    keep: float = 0.999, slack: float = 0.5,
 ) -> Model:
     """Stochastic gradient descent, one text a step; every fifth text is left out for calibration.
 
     The left-out texts set the temperature (least log loss over a grid) and the floor: the score that ``keep`` of the
-    rightly recognised ones reach, times ``slack``, never above ``ceiling``.
+    rightly recognised ones reach, times ``slack``.  What isn't in any learnt language is told by :func:`evidence`.
     """
     langs = sorted(set(labels))
     y = np.array([langs.index(x) for x in labels])
@@ -122,8 +164,9 @@ def train(
     temperature = min(np.geomspace(0.05, 20, 60), key=loss) if len(held) else 1.0
     p = softmax(z / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == yh] if len(held) else np.empty(0)
-    floor = min(ceiling, float(np.quantile(right, 1 - keep)) * slack) if len(right) else 0.0
-    return Model(langs, table.astype(np.float32), bias, float(temperature), floor)
+    floor = float(np.quantile(right, 1 - keep)) * slack if len(right) else 0.0
+    known, least = evidence(profiles, y, len(langs), keep)
+    return Model(langs, np.hstack([table, known]).astype(np.float32), bias, float(temperature), floor, least)
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> Model | None:
@@ -165,10 +208,10 @@ def identify(
 
     Only the text is looked at in a prediction.  Null texts and texts without a letter get ``und``, score 0 and are not
     ok; so does everything if nothing can be learnt.  Other rows get a learnt language, its calibrated probability, and
-    ok if that is at least the calibrated floor.  Repeated rows get equal answers; whole texts are read, in pieces.
+    ok if that and the evidence for some learnt language reach their calibrated floors.  Repeated rows get equal answers; whole texts are read, in pieces.
     """
     model = fit(labelled, id_col, text_col, lang_col, **kw)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x 2 x languages floats
 
     def run(texts: list[str | None]) -> list[list]:
         m = shared.value

@@ -1,6 +1,9 @@
+import random
 import zlib
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from eventide.llm import langid as L
 from eventide.llm.common import read
@@ -46,3 +49,22 @@ def test_edge_cases(spark):
     nothing = L.identify(df.drop("lang_score"), df.where("false")).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
     assert L.identify(df.drop("lang_score").where("false"), df).count() == 0
+
+
+@pytest.mark.parametrize("langs", [["en"], ["fr"], ["de", "en"], ["de", "en", "es", "fr"]])
+def test_foreign_and_junk_texts_are_rejected(langs):
+    r = random.Random(2)
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"])
+    docs = docs[docs["text"].map(L.has_letter)]
+    known, new = docs[docs["doc_id"] % 4 != 2], docs[docs["doc_id"] % 4 == 2]
+    known = known[known["lang"].isin(langs)]
+    m = L.train([L.profile(t) for t in known["text"]], list(known["lang"]))
+    share = lambda texts: np.mean([m.predict(t)[2] for t in texts])
+    assert share(new["text"][new["lang"].isin(langs)]) > 0.99
+    foreign = list(new["text"][~new["lang"].isin(langs)])
+    assert not foreign or share(foreign) < 0.05
+    letters = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=300)) for _ in range(40)]
+    shuffled = ["".join(r.sample(t, len(t))) for t in new["text"] if len(t) > 200]
+    assert share(letters) == 0 and share(shuffled) < 0.05
+    assert share(["Tämä on suomenkielinen teksti jota kukaan ei ymmärrä ilman sanakirjaa", "Это русский текст, он не похож на другие",
+                  "Ala ma kota, a kot ma mleko i pije je codziennie rano przed wyjściem na spacer"]) == 0

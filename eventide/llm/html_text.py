@@ -14,7 +14,7 @@ from eventide.llm.common import annotate
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math select object".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg annotation annotation-xml select object".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead "
@@ -42,6 +42,11 @@ NOT_NAMES = frozenset(
 NEGATIONS = frozenset("has with without no not is".split())  # as in has-sidebar, no-ads
 ARTICLE_NOISE = frozenset(
     "ad ads advert advertisement sponsored promo comment comments comentarios kommentare commentaires reply related teaser".split())
+PLAIN = frozenset(  # noise as names of page parts, but headings of articles just as well
+    "discussion related search feedback responses respond reply replies notice notices alert alerts notification notifications "
+    "announcement announcements disclaimer social rail thread threads share sharing recommended recommendations promo promos "
+    "promotion promoted subscription teaser teasers".split()
+)
 PAGE_HEADER = frozenset("header site page top global main wrapper container the".split())
 KEEP_ROOTS = frozenset(("html", "body", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
@@ -53,6 +58,7 @@ TAG = re.compile(
     re.S,
 )
 ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+MAIN_ROLE = re.compile(r"(?:^|[\s\"'/])role\s*=\s*[\"']?main\b", re.I)
 PARTS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -60,37 +66,48 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     """An element: its content in order, and counts over its subtree."""
 
-    __slots__ = ("tag", "up", "content", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "content", "chars", "tags", "link_chars", "link_tags", "density", "total", "article", "doubtful")
 
-    def __init__(self, tag: str, up: Node | None):
+    def __init__(self, tag: str, up: Node | None, article: bool = False, doubtful: bool = False):
         self.tag, self.up, self.content = tag, up, []
+        self.article = article  # in an article or main
+        self.doubtful = doubtful  # named as noise in an article: goes if it is mostly links
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _names_noise(tag: str, attrs: str) -> bool:
+def _named(tag: str, attrs: str, in_article: bool) -> int:
+    """2: noise by role, name or being hidden; 1: named as noise, but in doubt; 0: neither."""
+    found = 0
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "role":
             if value.lower() in NOT_ROLES:
-                return True
+                return 2
         elif name == "hidden":
-            return True
+            return 2
         elif name == "aria-hidden":
             if value.lower() == "true":
-                return True
+                return 2
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif any(_noise_name(tag, PARTS.findall(CAMEL.sub(" ", one).lower())) for one in value.split()):
-            return True
-    return False
+                return 2
+        elif tag not in HEADINGS:
+            for one in value.split():
+                found = max(found, _noise_name(tag, PARTS.findall(CAMEL.sub(" ", one).lower()), name == "id", in_article))
+    return found
 
 
-def _noise_name(tag: str, parts: list[str]) -> bool:
-    if not parts or parts[0] in NEGATIONS:
-        return False
-    return not (ARTICLE_NOISE if tag == "article" else NOT_NAMES).isdisjoint(parts)
+def _noise_name(tag: str, parts: list[str], is_id: bool, in_article: bool) -> int:
+    """As :func:`_named`.  Ids of sections and paragraphs often come from their text, so in an article no id counts."""
+    if not parts or parts[0] in NEGATIONS or (is_id and (in_article or tag == "p")):
+        return 0
+    hits = (ARTICLE_NOISE if tag == "article" else NOT_NAMES).intersection(parts)
+    if not hits or (in_article and tag == "p"):
+        return 0
+    if in_article and not hits & (ARTICLE_NOISE - PLAIN if tag == "section" else ARTICLE_NOISE):
+        return 1
+    return 1 if is_id and tag == "section" and hits <= PLAIN else 2
 
 
 def _is_page_header(attrs: str) -> bool:
@@ -104,12 +121,17 @@ def _is_page_header(attrs: str) -> bool:
     return False
 
 
-def _is_noise(tag: str, attrs: str, in_article: bool, by_name: bool) -> bool:
+def _noise(tag: str, attrs: str, in_article: bool, by_name: bool) -> int:
+    """2: noise, 1: in doubt, 0: neither."""
     if tag in KEEP_ROOTS:
-        return False
+        return 0
     if tag in NOT_ARTICLE or (tag == "header" and not in_article):
-        return True
-    return by_name and bool(attrs) and (_names_noise(tag, attrs) or (not in_article and tag not in HEADINGS and _is_page_header(attrs)))
+        return 2
+    if not by_name or not attrs:
+        return 0
+    if not in_article and tag not in HEADINGS and _is_page_header(attrs):
+        return 2
+    return _named(tag, attrs, in_article)
 
 
 def parse(page: str, by_name: bool = True) -> Node:
@@ -187,12 +209,13 @@ def parse(page: str, by_name: bool = True) -> Node:
                 pos = _raw_end(page, tag, pos)
             at.content.append(" " if tag not in BLOCK else "\n")
             continue
-        if _is_noise(tag, attrs, bool(open_count.get("article")), by_name):
+        noise = _noise(tag, attrs, at.article, by_name)
+        if noise == 2:
             if tag not in VOID and not attrs.endswith("/"):
                 skipped.append(tag)
             at.content.append(Node("hr", at) if tag in BLOCK else " ")
             continue
-        node = Node(tag, at)
+        node = Node(tag, at, at.article or tag in ("article", "main") or bool(MAIN_ROLE.search(attrs)), noise == 1)
         at.content.append(node)
         if tag not in VOID:
             at = node
@@ -246,23 +269,28 @@ def measure(root: Node) -> list[Node]:
 def choose(root: Node) -> list[Node]:
     """Subtrees that hold the article, in page order.
 
-    The node with the greatest sum of child densities is the core.  Inside an ``article`` or ``main``, that element is
-    taken.  Else the threshold is the least density on the way from the core up to the body, and every node at or above
-    it gives its own greatest-sum subtree.
+    The node with the greatest sum of child densities is the core, and the least density on the way from there up to the
+    body is the threshold.  Inside an ``article``, the outermost one is taken with all articles beside it that are at or
+    above the threshold and not mostly links; else inside a ``main``, that element.  Else every node at or above the
+    threshold gives its own greatest-sum subtree.
     """
     nodes = measure(root)
     core = max(nodes, key=lambda n: n.total)  # the first of equals
     if core.total <= 0:
         return []
-    n = core
-    while n is not None and n.tag not in ("article", "main"):
-        n = n.up
-    if n is not None:
-        return [n]
-    least, n = core.density, core
-    while n.up is not None:
-        n = n.up
+    least, n, around = core.density, core, {}
+    while n is not None:
         least = min(least, n.density)
+        if n.tag == "article" or n.tag not in around:
+            around[n.tag] = n  # the outermost article, the innermost main
+        n = n.up
+    if "article" in around:
+        one = around["article"]
+        beside = one.up.content if one.up is not None else [one]
+        return [x for x in beside if isinstance(x, Node) and x.tag == "article"
+                and (x is one or (x.density >= least and x.link_chars * 2 <= x.chars))]
+    if "main" in around:
+        return [around["main"]]
     place = {id(x): i for i, x in enumerate(nodes)}
     best: dict[int, Node] = {}  # greatest-sum node of each subtree
     for x in reversed(nodes):
@@ -317,7 +345,7 @@ def blocks(chosen: list[Node]) -> list[str]:
                 line.append(x)
             elif id(x) not in done:
                 done.add(id(x))
-                if _link_list(x) and x is not top:
+                if x is not top and (_link_list(x) or (x.doubtful and x.link_chars * 3 >= x.chars)):
                     flush()
                     continue
                 if x.tag == "header":  # inside an article: its headings only

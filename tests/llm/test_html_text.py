@@ -69,3 +69,26 @@ def test_edge_cases(spark):
     assert out.columns == ["page_id", "text", "n_chars"]
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "", 0), (1, "", 0), (None, "x", 1)], key=repr)
     assert H.extract(df.where("false")).count() == 0
+
+
+def test_parts_of_an_article_stay_whatever_their_names():
+    parts = ['<section id="discussion"><p>%s</p></section>', '<h2 id="related-work">Related work</h2><p>%s</p>', '<section id="feedback"><h2 id="search-results">Found</h2>%s</section>',
+             '<p id="notice" class="alert">%s</p>', '<section class="related-work"><p>%s</p></section>', '<div class="thread">%s</div>']
+    text = lambda x: " ".join(re.sub(r"<[^>]*>", " ", x).split())
+    for wrap in ("<article>%s</article>", "<main><div>%s</div></main>", "<div role=main><div>%s</div></div>"):
+        for part in parts:
+            got = H.main_text(PAGE % (wrap % (f"<h1>Title</h1><p>{LONG}</p>" + part % MORE + f"<p>{LONG}</p>")))
+            assert " ".join(got.split()) == text(f"Title {LONG} {part % MORE} {LONG}")
+    plain = H.main_text(PAGE % f'<div><p>{LONG}</p><h2 id="related-work">Related work</h2><p>{MORE}</p><section id="discussion"><p>{LONG} {MORE}</p></section></div>')
+    assert plain.split("\n\n") == [LONG, "Related work", MORE, f"{LONG} {MORE}"]
+    shared = H.main_text(PAGE % f'<article><p>{LONG}</p><div class="share"><a href=1>Mail it</a> <a href=2>Print it</a></div></article>')
+    assert shared == LONG
+
+
+def test_all_articles_and_formulas():
+    page = PAGE % f"<div><article><p>{LONG}</p></article><article><p>{MORE} {LONG}</p></article><article class=teaser><p>{MORE}</p></article></div>"
+    assert H.main_text(page).split("\n\n") == [LONG, f"{MORE} {LONG}"]
+    nested = PAGE % f"<article><p>{LONG}</p><article><p>{MORE} {LONG} {MORE}</p></article><p>{MORE}</p></article>"
+    assert H.main_text(nested).split("\n\n") == [LONG, f"{MORE} {LONG} {MORE}", MORE]
+    formula = '<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="application/x-tex">x=2</annotation></semantics></math>'
+    assert H.main_text(f"<article><p>Let {formula} hold.</p></article>") == "Let x=2 hold."

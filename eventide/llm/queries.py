@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, chat, decontaminate, factors, html_text, langid, lm, quality, simhash, urls
+from eventide.llm import bpe, chat, decontaminate, factors, html_text, langid, licences, lm, quality, simhash, urls
 from eventide.llm.common import fold, read
 
 QUERIES: dict = {}
@@ -185,3 +185,9 @@ def op2_factors(spark: SparkSession, sf: str) -> DataFrame:
 def op1_lm(spark: SparkSession, sf: str) -> DataFrame:
     out = lm.score(read(spark, sf, "documents"), fold(F.col("doc_id"), 7) != 2)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op13_licences(spark: SparkSession, sf: str) -> DataFrame:
+    out = licences.scan(read(spark, sf, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, chat, decontaminate, factors, html_text, langid, licences, lm, quality, simhash, urls
+from eventide.llm import bpe, chat, decontaminate, factors, html_text, langid, licences, lm, quality, repair, simhash, urls
 from eventide.llm.common import fold, read
 
 QUERIES: dict = {}
@@ -191,3 +191,8 @@ def op1_lm(spark: SparkSession, sf: str) -> DataFrame:
 def op13_licences(spark: SparkSession, sf: str) -> DataFrame:
     out = licences.scan(read(spark, sf, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query()
+def op11_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair(repair.damaged(read(spark, sf, "conversations"))).drop("repaired")

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, chat, decontaminate, factors, html_text, langid, licences, lm, quality, repair, simhash, urls
+from eventide.llm import (
+    bpe, chat, conv_trie, conversation_sql, decontaminate, factors, html_text, langid, licences, lm, quality, repair, simhash, urls,
+)
 from eventide.llm.common import fold, read
 
 QUERIES: dict = {}
@@ -193,6 +195,11 @@ def op13_licences(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-@query()
+@query(conversation_sql.REPAIR)
 def op11_repair(spark: SparkSession, sf: str) -> DataFrame:
     return repair.repair(repair.damaged(read(spark, sf, "conversations"))).drop("repaired")
+
+
+@query(conversation_sql.TRIE)
+def op12_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return conv_trie.prefix_trie(conv_trie.with_shared_heads(conv_trie.numbered(read(spark, sf, "conversations"))))

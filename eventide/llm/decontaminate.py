@@ -42,7 +42,7 @@ def shingles(w: list[str]) -> set[tuple[str, ...]]:
 
 @dataclass(frozen=True)
 class Hit:
-    item: int
+    item: object  # its id
     score: float  # share of the item's own BM25 score
     overlap: float  # share of the item's shingles in the passage
     question: float
@@ -56,10 +56,10 @@ class Index:
     the threshold is 1 for every item and one bound serves all.
     """
 
-    def __init__(self, items: list[tuple[int, str]], share: float = 0.7, similarity: float = 0.8, least: float = 0.5):
+    def __init__(self, items: list[tuple[object, str]], share: float = 0.7, similarity: float = 0.8, least: float = 0.5):
         self.share, self.similarity, self.least = share, similarity, least
         self.ids, self.parts, self.shingled, words = [], [], [], []
-        for i, text in sorted(items):
+        for i, text in sorted(items, key=lambda x: (x[1], str(x[0]))):
             q, a = question_and_answer(text)
             if q or a:
                 self.ids.append(i)
@@ -170,39 +170,41 @@ class Index:
         return [(i, hit.item, hit) for d, (i, hit) in sorted(best.items())]
 
 
-HITS = "array<struct<item_id:bigint,first_word:bigint,score:double,overlap:double,question:double,answer:double>>"
+HITS = "array<struct<item_id:{},first_word:bigint,score:double,overlap:double,question:double,answer:double>>"
 
 
 def marked(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     index_bytes: int = INDEX_BYTES, share: float = 0.7, similarity: float = 0.8, least: float = 0.5,
 ) -> DataFrame:
-    """``docs`` with ``leaks``, an array of the test items each row gives away; every row and column stays.
+    """``docs`` with ``leaks``, an array of the test items each row gives away, in place of a column of that name; every row stays.
 
     A passage is searched with its distinct words; every item that reaches ``share`` of its own BM25 score is checked:
     ``similarity`` of its five-word shingles, and ``least`` of its question and of its answer, must be in the passage.
     Items of fewer than five words must appear word for word.  Null and empty texts leak nothing, items without words are
-    never found, repeated items and rows each count, whole texts are searched, and no items or rows give no leaks.
+    never found, repeated items and rows each count, whole texts are searched, and no items or rows give no leaks.  Item ids
+    are carried as they are, of any type, null or repeated.
 
     The items are read in parts of at most ``index_bytes`` of text, each indexed and broadcast; a part is one pass of
     Python over the rows, so any number of items takes the same memory.  No row is shuffled.
     """
     c = F.col
-    known = items.where(c(item_text).isNotNull()).select(c(item_id).cast("bigint").alias("i"), c(item_text).alias("t"))
+    known = items.where(c(item_text).isNotNull()).select(c(item_id).alias("i"), c(item_text).alias("t"))
     size = known.agg(F.sum(F.octet_length("t")).alias("n")).first().n or 0
     parts = max(1, math.ceil(size * 2 / index_bytes)) if size > index_bytes else 1
     sc = docs.sparkSession.sparkContext
-    out = docs.withColumn("leaks", F.array().cast(HITS))
+    hits = HITS.format(known.schema["i"].dataType.simpleString())
+    out = docs.withColumn("leaks", F.array().cast(hits))
     for k in range(parts):
         part = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        index = sc.broadcast(Index([(r.i, r.t) for r in part.where("i IS NOT NULL").collect()], share, similarity, least))
+        index = sc.broadcast(Index([(r.i, r.t) for r in part.collect()], share, similarity, least))
 
         def run(texts: list[str | None], index=index) -> list[list]:
             x = index.value
             return [[[{"item_id": h.item, "first_word": i, "score": h.score, "overlap": h.overlap, "question": h.question,
                        "answer": h.answer} for i, _, h in x.hits(t)] for t in texts]]
 
-        out = annotate(out.withColumn("_llm_text", c(text_col)), "_llm_text", f"_llm_leaks {HITS}", run)
+        out = annotate(out.withColumn("_llm_text", c(text_col)), "_llm_text", f"_llm_leaks {hits}", run)
         out = out.withColumn("leaks", F.concat("leaks", "_llm_leaks")).drop("_llm_leaks")
     return out
 

@@ -170,41 +170,35 @@ def train(
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> Model | None:
-    """A model of a bounded sample: up to ``per_lang`` rows of each language, those with the least hash of the id.
+    """A model of a bounded sample: up to ``per_lang`` rows of each language, those with the least hash of id and text.
 
-    The sample is drawn from all given rows with a language and some letter; profiles are taken from whole texts by the
+    The sample is drawn from all given rows with a language and some letter, so a language with any such row is learnt.  Rows of
+    equal id, text and language count once; null ids are told apart by their texts.  Profiles are taken from whole texts by the
     executors.  None if there are no such rows.
     """
     c = F.col
-    key = F.xxhash64(c(id_col).cast("string"), F.length(text_col))
     rows = labelled.where(c(lang_col).isNotNull() & c(text_col).rlike(r"\p{L}")).select(
-        c(lang_col).alias("lang"), key.alias("key"), c(id_col).alias("id"), c(text_col).alias("text")
+        c(lang_col).alias("lang"), F.xxhash64(c(id_col).cast("string"), c(text_col)).alias("key"), c(text_col).alias("text")
     )
-    # The hash alone thins out each language to a few times per_lang rows, so the ranking below is small at any size.
-    share = F.least(F.lit(1.0), F.lit(4.0 * per_lang + 64) / c("n"))
-    counts = stage(rows.groupBy("lang").agg(F.count("*").alias("n"))).withColumn("share", share)
-    ids = rows.select("lang", "key", "id").join(counts, "lang")
-    ids = ids.where(F.pmod("key", F.lit(1 << 20)) < c("share") * (1 << 20)).select("lang", "key", "id").distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))
-    chosen = stage(ids.withColumn("r", rank).where(c("r") <= per_lang).drop("r"))
-    same = (rows["lang"] == chosen["lang"]) & (rows["key"] == chosen["key"]) & rows["id"].eqNullSafe(chosen["id"])
-    sample = rows.join(chosen, same, "left_semi")
+    # Copies meet before the ranking, and every task ranks its own keys before any of them travels.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = stage(rows.select("lang", "key").distinct().withColumn("r", rank).where(c("r") <= per_lang).drop("r"))
+    sample = rows.join(chosen, ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.min("text").alias("text"))
 
     def run(texts: list[str]) -> list[list]:
         return [[pack(ids, n.astype(np.int32)) for ids, n in map(profile, texts)]]
 
-    got = annotate(sample.select("lang", "key", "id", "text"), "text", "profile binary", run, 64)
-    found = {(r.lang, r.key, str(r.id)): r for r in got.toLocalIterator()}  # repeated rows count once
-    found = [found[k] for k in sorted(found)]
+    got = annotate(sample, "text", "profile binary", run, 64)
+    found = sorted(((r.lang, r.key, r.profile) for r in got.toLocalIterator()), key=lambda x: x[:2])
     if not found:
         return None
-    return train([tuple(unpack(r.profile)) for r in found], [r.lang for r in found])
+    return train([tuple(unpack(p)) for _, _, p in found], [lang for lang, _, _ in found])
 
 
 def identify(
     docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **kw
 ) -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_ok added; learns from ``labelled`` only.
+    """``docs`` with lang_pred, lang_score and lang_ok, in place of columns of these names; learns from ``labelled`` only.
 
     Only the text is looked at in a prediction.  Null texts and texts without a letter get ``und``, score 0 and are not
     ok; so does everything if nothing can be learnt.  Other rows get a learnt language, its calibrated probability, and
@@ -218,7 +212,7 @@ def identify(
         out = [m.predict(t) if m else (UNKNOWN, 0.0, False) for t in texts]
         return [list(x) for x in zip(*out, strict=True)]
 
-    with_text = docs.withColumn("_llm_text", F.col(text_col))
+    with_text = docs.drop("lang_pred", "lang_score", "lang_ok").withColumn("_llm_text", F.col(text_col))
     return annotate(with_text, "_llm_text", "lang_pred string, lang_score double, lang_ok boolean", run)
 
 

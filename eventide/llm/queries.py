@@ -121,7 +121,7 @@ def _op8_sql() -> str:
              coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
     p AS (SELECT *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS site FROM p0),
     said AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
-             WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
+             WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
     lab AS (SELECT page_id, site, max(bad) AS bad FROM p JOIN said USING (page_id) GROUP BY 1, 2),
     seen AS (SELECT site, count(*) AS n, sum(bad) AS bad FROM lab GROUP BY 1),
     sites AS (SELECT DISTINCT site, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain,
@@ -145,9 +145,8 @@ def _op8_sql() -> str:
 
 @query(_op8_sql())
 def op8_urls(spark: SparkSession, sf: str) -> DataFrame:
-    labels = read(spark, sf, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
-    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
-    return urls.judge(read(spark, sf, "pages"), labels.select(F.col("doc_id").alias("id"), bad.alias("bad")), URL_RULES)
+    outcomes = urls.outcomes(read(spark, sf, "labels"))
+    return urls.judge(read(spark, sf, "pages"), outcomes, URL_RULES)
 
 
 @query()

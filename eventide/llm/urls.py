@@ -105,6 +105,12 @@ def reputation(seen: DataFrame, sites: DataFrame) -> DataFrame:
     return all_of.select("site", (bad + k_site * prior).alias("a"), (n - bad + k_site * (1 - prior)).alias("b"))
 
 
+def outcomes(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, bad) of labelled pages: bad if the quality is known to be 0 or the page to be toxic; a row that says neither is none."""
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    return labels.where("quality IS NOT NULL OR toxic IS NOT NULL").select(F.col(id_col).alias("id"), bad.cast("int").alias("bad"))
+
+
 def judge(
     pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], z: float = 1.64, threshold: float = 0.5,
     id_col: str = "page_id", url_col: str = "url",

@@ -69,3 +69,11 @@ def test_edge_cases(spark, index_bytes):
     got = Counter((r.doc_id, x.item_id) for r in rows for x in r.leaks)
     assert got == {(1, 1): 1, (5, 2): 2, (None, 1): 1}
     assert D.leaks(docs.where("false"), items).count() == 0 == D.leaks(docs, items.where("false")).count()
+
+
+def test_ids_are_carried_as_they_are(spark):
+    docs = spark.createDataFrame([(*d, "kept") for d in DOCS], "doc_id long, text string, leaks string")
+    items = spark.createDataFrame([(None, ITEMS[0][1]), ("abc", "two words"), ("abc", "two words")], "item_id string, text string")
+    got = Counter((r.doc_id, x.item_id) for r in D.marked(docs, items).collect() for x in r.leaks)
+    assert got == {(1, None): 1, (5, "abc"): 4}
+    assert Counter((r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()) == got

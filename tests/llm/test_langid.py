@@ -40,7 +40,8 @@ def test_edge_cases(spark):
     rows = [(1, "aa bb ab", "p", 1.0), (2, "xx yy xy", "q", 1.0), (3, None, "p", 1.0), (4, "", None, 1.0),
             (5, "12 34", "p", 1.0), (6, "ab", None, 1.0), (6, "ab", None, 1.0), (None, "xy", "q", 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_score double")
-    out = L.identify(df.drop("lang_score"), df).collect()
+    df = df.selectExpr("*", "'x' AS lang_ok", "1 AS lang_pred", "2 AS key")
+    out = L.identify(df, df).collect()
     assert len(out) == len(rows)
     by = {r.doc_id: r for r in out}
     for d in (3, 4, 5):
@@ -68,3 +69,28 @@ def test_foreign_and_junk_texts_are_rejected(langs):
     assert share(letters) == 0 and share(shuffled) < 0.05
     assert share(["Tämä on suomenkielinen teksti jota kukaan ei ymmärrä ilman sanakirjaa", "Это русский текст, он не похож на другие",
                   "Ala ma kota, a kot ma mleko i pije je codziennie rano przed wyjściem na spacer"]) == 0
+
+
+def test_no_language_is_lost_to_repeated_rows_or_null_ids(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text", "lang"])
+    docs = docs[docs["text"].map(L.has_letter)]
+    rows = [(int(d), t, lang) for d, t, lang in docs.itertuples(index=False) if lang != "en"]
+    one = next((int(d), t, lang) for d, t, lang in docs.itertuples(index=False) if lang == "en")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = spark.createDataFrame([one], df.schema).crossJoin(spark.range(20_000)).drop("id")
+    assert L.fit(df.unionByName(many), "doc_id", "text", "lang").langs == ["de", "en", "es", "fr"]
+    null_ids = spark.createDataFrame([(None, t, lang) for _, t, lang in docs.itertuples(index=False)], df.schema)
+    m = L.fit(null_ids, "doc_id", "text", "lang")
+    assert m.langs == ["de", "en", "es", "fr"]
+    assert np.mean([m.predict(t)[0] == lang for t, lang in zip(docs["text"], docs["lang"], strict=True)]) > 0.97
+
+
+def test_sample_against_a_plain_ranking(spark):
+    """The sample is the per_lang least hashes of each language, whatever the copies; its training is plain numpy."""
+    rows = [(k % 40, f"text {'ab' if k % 2 else 'xy'} {k % 7}", "p" if k % 2 else "q") for k in range(400)] + [(1, "12", "p"), (2, None, "q"), (3, "ab", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    keys = df.selectExpr("lang", "text", "xxhash64(CAST(doc_id AS STRING), text) AS k").where("lang IS NOT NULL AND text LIKE 'text%'").distinct().collect()
+    want = [x for lang in ("p", "q") for x in sorted((r.lang, r.k, r.text) for r in keys if r.lang == lang)[:9]]
+    m = L.fit(df, "doc_id", "text", "lang", per_lang=9)
+    plain = L.train([L.profile(t) for _, _, t in want], [lang for lang, _, _ in want])
+    assert m.langs == plain.langs and np.array_equal(m.table, plain.table) and (m.floor, m.least) == (plain.floor, plain.least)

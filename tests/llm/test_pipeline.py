@@ -127,9 +127,13 @@ def test_edge_cases(spark, sf):
              (103, rows[3][1], "de", "t", 1), (104, rows[4][1], "en", "t", 2), (104, rows[4][1], "en", "t", 2),
              (105, make(en, 60), "en", "u", 3), (105, None, "en", "u", 3)]
     docs = documents(spark, rows).withColumn("id", F.lit("clash")).withColumn("ids", F.lit(1)).withColumn("kept", F.lit(2))
+    names = "lang_ok lang_pred lang_score leaks rest row block key size spans component_id fingerprint".split()
+    docs = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
     for name, stage in P.STAGES[:-1]:
         empty = stage(spark, docs.where("false"), sf)
         assert empty.columns == docs.columns and empty.count() == 0
+        for row in stage(spark, docs, sf).select(*[f"`{n}`" for n in names]).distinct().collect():
+            assert tuple(row) == tuple(f"own {n}" for n in names), name
     lang = P.language(spark, docs, sf)
     assert Counter(x.doc_id for x in lang.collect() if x.doc_id is None or x.doc_id > 99) == {None: 1, 103: 1, 104: 2, 105: 1}
     near = P.near(spark, docs, sf)

@@ -50,3 +50,9 @@ def test_nothing(spark):
     assert judged(spark, ["http://a.b/"], [])[0].verdict == "allow"
     same = judged(spark, ["http://a.b/1", "http://a.b/2"], [(0, 1), (1, 1)], rules=())
     assert {r.verdict for r in same.values()} == {"block"} or {r.verdict for r in same.values()} == {"allow"}
+
+
+def test_half_known_labels_count(spark):
+    rows = [(1, 0, None), (2, None, 1), (3, 1, None), (4, None, 0), (5, None, None), (6, 0, 1), (7, 1, 0)]
+    got = U.outcomes(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1), (2, 1), (3, 0), (4, 0), (6, 1), (7, 0)]

@@ -29,10 +29,19 @@ TOKENIZER = "byte_bpe_50k.json"
 BLOCK_BYTES = 8 << 20
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """Texts, and all other columns in one, so that no name can clash with what an operator adds."""
+    return docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c if c == "text" else f"rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the rows that have a language; looks at the text alone to decide."""
-    told = langid.identify(docs, docs.select("doc_id", "text", "lang"))
-    return told.where("lang_ok").select(*docs.columns)
+    told = langid.identify(carried(docs), docs.select("doc_id", "text", "lang"))
+    return restored(told.where("lang_ok"), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +85,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that give a test item away go."""
-    return decontaminate.marked(docs, read(spark, sf_dir, "benchmark")).where("size(leaks) = 0").select(*docs.columns)
+    told = decontaminate.marked(carried(docs), read(spark, sf_dir, "benchmark"))
+    return restored(told.where("size(leaks) = 0"), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

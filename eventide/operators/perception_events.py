@@ -38,8 +38,8 @@ def _tenths(box: Column) -> Column:
     return F.transform(box, lambda v: F.round(v, 1))
 
 
-def track_events(track_table: DataFrame, p: PerceptionParams) -> DataFrame:
-    """track.enter.*, track.exit and object.summary lines."""
+def track_events(track_table: DataFrame, p: PerceptionParams, enters: Column | None = None) -> DataFrame:
+    """track.enter.*, track.exit and object.summary lines.  ``enters`` says which rows report an enter; all do by default."""
     c = F.col
     local = lambda t: iso_local(t, p.local_tz)
     source = F.lit(p.source)
@@ -48,7 +48,7 @@ def track_events(track_table: DataFrame, p: PerceptionParams) -> DataFrame:
 
     enter_type = F.concat(F.lit("track.enter."), c("first_side"))
     enter = F.when(
-        c("enter_ts").isNotNull(),
+        c("enter_ts").isNotNull() & (F.lit(True) if enters is None else enters),
         _event(c("enter_ts"), enter_type, _line(
             type=enter_type, ts=local(c("enter_ts")), source=source, tid=tid, cls=c("cls"),
             confidence=F.round("enter_conf", 3), bbox_pxls=_tenths(c("enter_bbox")),

@@ -50,23 +50,23 @@ class InOrder(StatefulProcessor):
         """Timer for when the watermark has passed the earliest waiting row."""
         self.handle.registerTimer(us // 1000 + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+    def _due(self, limit: int) -> list[tuple]:
+        """Waiting rows before ``limit``, in order; the others go on waiting."""
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=self.place) if self.waiting.exists() else []
         due, later = [r for r in rows if r[0] < limit], [r for r in rows if r[0] >= limit]
-        if not due:
-            return iter([])
-        if later:
+        if due and later:
             self.waiting.put(later)
-            self._wake(later[0][0])
-        else:
+        elif due:
             self.waiting.clear()
-        memory = [tuple(r) for r in self.rule.get()] if self.rule.exists() else []
-        memory, out = self.advance(due, memory)
-        if memory:
-            self.rule.put(memory)
-        else:
-            self.rule.clear()
+        if later:
+            self._wake(later[0][0])
+        return due
+
+    @staticmethod
+    def place(row: tuple):
+        return row
+
+    def _named(self, key, out: list[tuple]) -> Iterator[pd.DataFrame]:
         if not out:
             return iter([])
         pdf = pd.DataFrame(out, columns=self.output)
@@ -74,7 +74,29 @@ class InOrder(StatefulProcessor):
             pdf.insert(0, name, value)
         return iter([pdf[[*self.keys, *self.output]]])
 
-    def advance(self, rows: list[tuple], memory: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        due = self._due(limit)
+        memory = [tuple(r) for r in self.rule.get()] if self.rule.exists() else []
+        rests = self.silence(memory)
+        if not due and (rests is None or rests >= limit):
+            return iter([])
+        memory, out = self.advance(due, memory, limit)
+        if memory:
+            self.rule.put(memory)
+        else:
+            self.rule.clear()
+        rests = self.silence(memory)
+        if rests is not None:
+            self._wake(rests)
+        return self._named(key, out)
+
+    def silence(self, memory: list[tuple]) -> int | None:
+        """When the key will have been silent for so long that the rule has something to say; None for never."""
+        return None
+
+    def advance(self, rows: list[tuple], memory: list[tuple], limit: int) -> tuple[list[tuple], list[tuple]]:
+        """New memory and output of rows in order, and of the silence up to ``limit``."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -85,32 +107,49 @@ class Bursts(InOrder):
     keys = ["camera"]
     columns = ["us", "frame_idx", "live", "presence", "motion", "objects"]
     row_schema = "us long, frame_idx long, live boolean, presence boolean, motion double, objects string"
-    # one row: the open burst, if any, and the last presence
+    # one row: the open burst, if any, the last presence, the last row
     rule_schema = (
         "open boolean, start long, last_live long, last_pres long, peak double, objects string, frames long, "
-        "motion0 double, objects0 string")
-    output = ["start_us", "last_live_us", "close_us", "peak_motion", "objects", "live_frames", "first_motion", "first_objects"]
+        "motion0 double, objects0 string, last_row long")
+    output = [
+        "start_us", "last_live_us", "close_us", "peak_motion", "objects", "live_frames", "first_motion", "first_objects",
+        "last_row_us", "flushed"]
 
-    def __init__(self, p: PerceptionParams):
+    def __init__(self, p: PerceptionParams, idle_s: float | None = None):
         self.grace, self.hold = blocks.micros(p.merge_grace_s), blocks.micros(p.presence_hold_s)
+        self.idle = None if idle_s is None else blocks.micros(idle_s)
 
-    def advance(self, rows, memory):
-        """A row when a burst starts, without ``close_us``, and one when it closes."""
-        is_open, start, last, pres, peak, objects, n, m0, o0 = memory[0] if memory else (False, 0, 0, None, 0.0, "", 0, 0.0, "")
+    def silence(self, memory):
+        return memory[0][-1] + self.idle if self.idle is not None and memory and memory[0][0] else None
+
+    def advance(self, rows, memory, limit):
+        """A row when a burst starts, without ``close_us``, and one when it closes or is flushed.
+
+        A camera that is silent for longer than the idle time has ended: what comes after begins anew.
+        """
+        fresh = (False, 0, 0, None, 0.0, "", 0, 0.0, "", None)
+        is_open, start, last, pres, peak, objects, n, m0, o0, seen = memory[0] if memory else fresh
         out = []
-        for us, _, live, presence, motion, objs in rows:
+        for us, _, live, presence, motion, objs in [*rows, (limit, None, None, None, None, None)]:
+            if self.idle is not None and seen is not None and us > seen + self.idle:
+                if is_open:
+                    out.append((start, last, None, peak, objects, n, m0, o0, seen, True))
+                is_open, pres = False, None
+            if live is None:
+                break
+            seen = us
             if presence:
                 pres = us
             if live:
                 if not is_open:
                     is_open, start, peak, objects, n, m0, o0 = True, us, motion, "", 0, motion, objs
-                    out.append((us, us, None, motion, objs, 1, m0, o0))
+                    out.append((us, us, None, motion, objs, 1, m0, o0, us, False))
                 last, peak, n = us, max(peak, motion), n + 1
                 objects = "/".join(sorted({*objects.split("/"), *objs.split("/")} - {""}))
             elif is_open and us - last >= self.grace and (pres is None or us - pres >= self.hold):
-                out.append((start, last, us, peak, objects, n, m0, o0))
+                out.append((start, last, us, peak, objects, n, m0, o0, us, False))
                 is_open = False
-        return [(is_open, start, last, pres, peak, objects, n, m0, o0)], out
+        return [(is_open, start, last, pres, peak, objects, n, m0, o0, seen)], out
 
 
 class Tracks(InOrder):
@@ -123,7 +162,7 @@ class Tracks(InOrder):
     def __init__(self, p: PerceptionParams):
         self.iou_threshold, self.ttl = p.iou_threshold, blocks.micros(p.track_ttl_s)
 
-    def advance(self, rows, memory):
+    def advance(self, rows, memory, limit):
         m = FrameMatcher(self.iou_threshold, self.ttl)
         m.live = [{"box": r[:4], "us": r[4], "n": r[5], "birth": tuple(r[6:])} for r in memory]
         out, i = [], 0
@@ -147,7 +186,7 @@ class Novelty(InOrder):
     def __init__(self, p: PerceptionParams):
         self.window, self.limit = blocks.micros(p.novelty_window_s), p.phash_distance_max
 
-    def advance(self, rows, memory):
+    def advance(self, rows, memory, limit):
         out = []
         for us, idx, h in rows:
             memory = [r for r in memory if us - r[0] <= self.window]
@@ -172,32 +211,44 @@ def _times(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def burst_changes(frames: DataFrame, p: PerceptionParams, delay: str = "10 seconds") -> DataFrame:
-    """Starts (no ``close_ts``) and ends of bursts of a stream of frames (camera, ts, frame_idx, live, presence, motion, objects)."""
+def burst_changes(
+    frames: DataFrame, p: PerceptionParams, delay: str = "10 seconds", idle_s: float | None = None
+) -> DataFrame:
+    """Starts and ends of bursts of a stream of frames (camera, ts, frame_idx, live, presence, motion, objects).
+
+    A start has neither ``close_ts`` nor ``flushed``.  With ``idle_s``, a burst still open when its camera has had no frame for that
+    long is flushed once the watermark is past that time: other cameras move it, the camera itself needs no later row.  What then
+    comes from the camera begins anew.
+    """
     flat = frames.withColumn("objects", F.array_join("objects", "/")).select(
         "camera", "ts", "frame_idx", "live", "presence", "motion", "objects")
     out = _run(
-        flat, Bursts(p),
+        flat, Bursts(p, idle_s),
         "camera string, start_us long, last_live_us long, close_us long, peak_motion double, objects string, live_frames long, "
-        "first_motion double, first_objects string", delay)
-    return _times(out, "start_us", "last_live_us", "close_us")
+        "first_motion double, first_objects string, last_row_us long, flushed boolean", delay)
+    return _times(out, "start_us", "last_live_us", "close_us", "last_row_us")
 
 
-def burst_stream(frames: DataFrame, p: PerceptionParams, delay: str = "10 seconds") -> DataFrame:
-    """Closed bursts of a stream of frames."""
-    return burst_changes(frames, p, delay).where(F.col("close_ts").isNotNull()).drop("first_motion", "first_objects")
+def burst_stream(
+    frames: DataFrame, p: PerceptionParams, delay: str = "10 seconds", idle_s: float | None = None
+) -> DataFrame:
+    """Ended bursts of a stream of frames: closed, or flushed after ``idle_s`` of silence."""
+    ended = F.col("close_ts").isNotNull() | F.col("flushed")
+    return burst_changes(frames, p, delay, idle_s).where(ended).drop("first_motion", "first_objects", "last_row_ts")
 
 
-def burst_line_stream(frames: DataFrame, p: PerceptionParams, delay: str = "10 seconds") -> DataFrame:
-    """Event lines of a stream's bursts: burst.start at once, motion.summary and burst.end when a long enough one closes."""
+def burst_line_stream(
+    frames: DataFrame, p: PerceptionParams, delay: str = "10 seconds", idle_s: float | None = None
+) -> DataFrame:
+    """Event lines of a stream's bursts: burst.start at once, motion.summary and burst.end when a long enough one closes or is flushed."""
     names = lambda c: F.array_sort(F.filter(F.split(c, "/"), lambda x: x != ""))
     padded = F.unix_micros(add_seconds(F.col("last_live_ts"), p.clip_post_s)) - F.unix_micros(
         add_seconds(F.col("start_ts"), -p.clip_pre_s))
-    b = burst_changes(frames, p, delay).withColumns({
-        "objects": names("objects"), "first_objects": names("first_objects"), "last_row_ts": F.col("close_ts"),
-        "duration_s": F.greatest(F.lit(0.0), padded / F.lit(1e6)), "flushed": F.lit(False),
+    b = burst_changes(frames, p, delay, idle_s).withColumns({
+        "objects": names("objects"), "first_objects": names("first_objects"),
+        "duration_s": F.greatest(F.lit(0.0), padded / F.lit(1e6)),
     })
-    ended = F.col("close_ts").isNotNull()
+    ended = F.col("close_ts").isNotNull() | F.col("flushed")
     b = b.withColumn("kept", ended & (F.col("duration_s") >= p.min_event_sec))
     return perception_events.burst_events(b, p, starts=~ended)
 

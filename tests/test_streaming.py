@@ -3,11 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventide.operators import bursts, gate, perception_events, tracks, trailing
 from eventide.params import PerceptionParams
-from eventide.streaming import stateful, windows
+from eventide.streaming import lifecycle, stateful, windows
 
 P = PerceptionParams(block_s=60.0, novelty_window_s=5.0, phash_distance_max=10)
 END = 10_000_000  # seconds: a last row that moves the watermark past all others
@@ -89,3 +90,81 @@ def test_windows(spark, tmp_path, make):
     df = frames(spark, 40, random.Random(4))
     got = run(spark, tmp_path, df, make, f"win_{abs(hash(str(tmp_path)))}")
     assert got.agg(F.sum("n")).first()[0] == 80
+
+
+def scene(spark, seed, n=70):
+    """Frames and detections of two cameras that move, rest and vanish; camera z only moves the watermark."""
+    rng = random.Random(seed)
+    fr, dets = [], []
+    for cam in ("a", "b"):
+        t = 0.0
+        for i in range(n):
+            t += rng.choice([0.5, 0.5, 1.0, 1.5, 3.0, 30.0 if i % 11 == 0 else 1.0])
+            fr.append((cam, t, i))
+            for k in range(rng.choice([0, 1, 2, 3])):
+                x = rng.choice([0.0, 300.0, 700.0]) + rng.randrange(40)
+                dets.append((cam, rng.choice(["cat", "dog"]), t, i, k, 1000, rng.random(), x, 0.0, x + 60, rng.choice([20.0, 60.0])))
+    fr.append(("z", float(END), 0))
+    ts = F.timestamp_micros((F.col("t") * 1e6).cast("long"))
+    f = spark.createDataFrame(fr, "camera string, t double, frame_idx long").withColumn("ts", ts).drop("t")
+    d = spark.createDataFrame(
+        dets, "camera string, cls string, t double, frame_idx long, det_idx int, img_w int, conf double, x1 double, y1 double, "
+        "x2 double, y2 double").withColumn("ts", ts).drop("t")
+    return f, d
+
+
+def in_parts(spark, tmp_path, tables, make, name, parts):
+    """The tables land in so many time slices, and the query is started anew, from its checkpoint, for each."""
+    got = None
+    for k, df in enumerate(tables):
+        df.limit(0).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+    times = sorted(r.ts for r in tables[0].select("ts").distinct().collect())
+    edges = [times[len(times) * k // parts] for k in range(1, parts)]
+    for part in range(parts):
+        for k, df in enumerate(tables):
+            after = sum((F.col("ts") >= e).cast("int") for e in edges) if edges else F.lit(0)
+            df.where(after == part).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+        streams = [spark.readStream.schema(df.schema).parquet(str(tmp_path / f"in{k}")) for k, df in enumerate(tables)]
+        q = make(*streams).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").start(
+            str(tmp_path / "out"))
+        q.awaitTermination(300)
+        assert q.exception() is None
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("parts,idle", [(1, None), (3, None), (3, 12.0)])
+def test_track_lines(spark, tmp_path, parts, idle):
+    """Enter, exit and summary lines of a stream are those of the batch, over restarts; silence ends tracks without a later row."""
+    f, d = scene(spark, parts + int(idle or 0))
+    make = lambda fs, ds: lifecycle.track_line_stream(fs, ds, P, "1 second", idle)
+    got = in_parts(spark, tmp_path, (f, d), make, "lines", parts)
+    table = tracks.tracks(d, lifecycle.with_silence(f, idle) if idle else f, P)
+    want = perception_events.track_events(table, P)
+    cols = ["camera", "ts", "type", "line"]
+    a, b = sorted(map(tuple, got.select(cols).collect())), sorted(map(tuple, want.select(cols).collect()))
+    assert a == b and {x[2].split(".")[1] for x in a} == {"enter", "exit", "summary"}
+    if idle:  # the last tracks of a and b exit, though neither camera has a frame after them
+        assert table.where("exit_ts IS NULL").isEmpty()
+
+
+def test_idle_bursts_are_flushed(spark, tmp_path):
+    """A burst left open by a silent camera ends as at the end of the camera's input, also when the camera comes back."""
+    idle = 30.0
+    df = frames(spark, 60, random.Random(11))
+    us, camera = F.unix_micros("ts"), Window.partitionBy("camera")
+    pause = (F.col("frame_idx") % 13 == 12) & (F.col("frame_idx") < 60)
+    shift = F.sum(F.when(pause, F.lit(100_000_000)).otherwise(0)).over(camera.orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1))
+    df = df.where("frame_idx < 60").withColumn("ts", F.timestamp_micros(us + F.coalesce(shift, F.lit(0))))
+    end = spark.createDataFrame([("z", 0, 0.0, False, 0)], "camera string, frame_idx long, motion double, presence boolean, phash long")
+    end = end.selectExpr("*", f"timestamp_seconds({END}) AS ts", "CAST(array() AS array<string>) AS objects")
+    live = gate.live_frames(df.unionByName(end), PerceptionParams(motion_threshold=0.5))
+    got = in_parts(spark, tmp_path, (live,), lambda s: stateful.burst_line_stream(s, P, "1 second", idle), "flush", 3)
+    pieces = F.sum(F.when(us - F.unix_micros(F.lag("ts").over(camera.orderBy("ts"))) > idle * 1e6, 1).otherwise(0)).over(
+        camera.orderBy("ts"))
+    cut = live.where("camera <> 'z'").withColumn("camera", F.concat_ws("#", "camera", pieces))
+    want = perception_events.burst_events(bursts.bursts(cut, P), P).withColumn("camera", F.substring_index("camera", "#", 1))
+    # ids of lines are made from the camera's name
+    cols = ["camera", "ts", "type", F.regexp_replace("line", '"event_id":"[^"]*"', "").alias("line")]
+    a = sorted(map(tuple, got.where("camera <> 'z'").select(cols).collect()))
+    b = sorted(map(tuple, want.select(cols).collect()))
+    assert a == b and sum("(flush)" in x[3] for x in a) >= 2

@@ -72,6 +72,7 @@ class TrendParams:
     stale_after_days: int = 2
     z_threshold: float = 3.0
     mix_threshold: float = 0.3
+    shift_threshold: float = 0.2
     retention_days: int = 7
     caption_similarity: float = 0.8
     min_speech_s: float = 0.5

@@ -145,11 +145,15 @@ def burst_lines(spark, sf):
     return out.withColumn("objects", F.array_join("objects", "/"))
 
 
-@register("novelty", """
-WITH h AS (SELECT vec_id, 'cam_' || (label % 3) AS camera, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
+NOVELTY_SQL = """
+h AS (SELECT vec_id, 'cam_' || (label % 3) AS camera, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
 d AS (SELECT a.vec_id, min(len(list_filter(list_zip(a.bits, b.bits), lambda p: p[1] <> p[2]))) AS dist
       FROM h a LEFT JOIN h b ON a.camera = b.camera AND b.vec_id < a.vec_id AND b.vec_id >= a.vec_id - 30
-      WHERE b.vec_id IS NOT NULL GROUP BY a.vec_id)
+      WHERE b.vec_id IS NOT NULL GROUP BY a.vec_id)"""
+
+
+@register("novelty", f"""
+WITH {NOVELTY_SQL}
 SELECT h.vec_id AS frame_idx, CAST(d.dist AS INTEGER) AS hash_distance,
        CASE WHEN d.dist <= 24 THEN 'duplicate' ELSE 'new' END AS novelty FROM h LEFT JOIN d USING (vec_id)""")
 def novelty(spark, sf):

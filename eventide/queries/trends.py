@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventide.functions.times import iso_z
+from eventide.operators import near_text, trailing
 from eventide.operators import sessions as session
 from eventide.params import TrendParams
-from eventide.plans import rollup, trends
+from eventide.plans import rollup, shifts, trends
 from eventide.queries import tables
-from eventide.queries.perception import _tracks, lanes_sql
+from eventide.queries.perception import NOVELTY, NOVELTY_SQL, _tracks, lanes_sql
 from eventide.queries.sql import EVENTS, ISO_Z, events_sql, journal_sql, turns_sql
 
 QUERIES: dict = {}
@@ -195,3 +196,64 @@ def sessions(spark, sf):
     out = session.sessions(e, ["camera"], ["ts", "event_id"], 1200.0, 86400.0)
     z = lambda n: iso_z(F.col(n)).alias(n)
     return out.select("camera", z("session_start"), z("session_last"), "events")
+
+
+@register("stale_sources", trend_sql("""
+SELECT strftime(date, '%Y-%m-%d') AS date_utc, known_sources, stale_sources, stale_sources / known_sources AS stale_rate FROM (
+  SELECT date, count(*) AS known_sources, count(*) FILTER (age > 0) AS stale_sources FROM (
+    SELECT day + age::INTEGER AS date, source, min(age) AS age FROM (SELECT DISTINCT CAST(hour AS DATE) AS day, source FROM j), range(8) r(age)
+    GROUP BY 1, 2) GROUP BY 1) WHERE stale_sources < known_sources"""))
+def stale_sources(spark, sf):
+    return shifts.stale_sources(rollup.grain(tables.journal(spark, sf)), PARAMS).select(
+        _date(), "known_sources", "stale_sources", "stale_rate")
+
+
+def shift_ctes(values: str, back: int = 7, least: int = 3) -> str:
+    """The same distance on exact quantiles: ``values`` has period and value."""
+    q = lambda t: (
+        f"SELECT period, v[(i * n + {shifts.GRID - 1}) // {shifts.GRID}] AS x FROM (SELECT *, unnest(range(1, {shifts.GRID + 1})) AS i FROM {t})")
+    return f"""
+v AS ({values}),
+a AS (SELECT period, count(*) AS n, list_sort(list(value)) AS v FROM v GROUP BY 1),
+b AS (SELECT a.period, count(DISTINCT v.period) AS days, count(v.value) AS n, list_sort(list(v.value) FILTER (v.value IS NOT NULL)) AS v
+      FROM a LEFT JOIN v ON v.period BETWEEN a.period - {back} AND a.period - 1 GROUP BY 1),
+ready AS (SELECT * FROM b WHERE days >= {least}),
+lv AS (SELECT period, x, sum(s) AS s FROM (
+         SELECT *, 1 AS s FROM ({q('a')}) UNION ALL SELECT *, -1 FROM ({q('ready')})) WHERE period IN (SELECT period FROM ready) GROUP BY 1, 2),
+far AS (SELECT period, max(abs(c)) / {shifts.GRID} AS distance FROM (
+        SELECT period, sum(s) OVER (PARTITION BY period ORDER BY x ROWS UNBOUNDED PRECEDING) AS c FROM lv) GROUP BY 1)"""
+
+
+SHIFTS = f"""
+SELECT period, a.n AS n, days AS base_periods, b.n AS base_n, distance, distance >= {PARAMS.shift_threshold} AS shift
+FROM a JOIN b USING (period) LEFT JOIN far USING (period)"""
+
+
+@register("confidence_shift", events_sql(SHIFTS, shift_ctes(
+    "SELECT CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS BIGINT) AS period, motion AS value FROM ev")))
+def confidence_shift(spark, sf):
+    """Scores of each day against those of the week before."""
+    day = F.date_diff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long")
+    return shifts.value_shift(tables.events(spark, sf).select(day.alias("period"), F.col("motion").alias("value")), "period", PARAMS)
+
+
+@register("novelty_shift", f"WITH {NOVELTY_SQL}, " + shift_ctes(
+    "SELECT 28401120 + vec_id // 60 AS period, dist::DOUBLE AS value FROM d") + SHIFTS)
+def novelty_shift(spark, sf):
+    """Hash distances of each minute against those of the seven minutes before."""
+    n = trailing.novelty(tables.hashed_frames(spark, sf), NOVELTY)
+    minute = F.floor(F.unix_seconds("ts") / 60).cast("long").alias("period")
+    return shifts.value_shift(n.select(minute, F.col("hash_distance").cast("double").alias("value")), "period", PARAMS)
+
+
+@register("caption_groups", f"""
+WITH RECURSIVE tn0 AS (SELECT conv_id * 100000 + turn AS id, {_WORDS} AS w FROM conversations WHERE text IS NOT NULL),
+lk AS (SELECT x.id AS a, y.id AS b FROM tn0 x JOIN tn0 y ON x.id <> y.id
+       AND CASE WHEN len(x.w) = 0 AND len(y.w) = 0 THEN true
+           ELSE len(list_intersect(x.w, y.w)) >= {PARAMS.caption_similarity} * len(list_distinct(list_concat(x.w, y.w))) END),
+r AS (SELECT id, id AS other FROM tn0 UNION SELECT r.id, lk.b FROM r JOIN lk ON lk.a = r.other)
+SELECT id, min(other) AS "group" FROM r GROUP BY 1""")
+def caption_groups(spark, sf):
+    """Utterances in groups of near-identical words, at any distance in time."""
+    t = tables.read(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
+    return near_text.near_groups(t, PARAMS.caption_similarity)

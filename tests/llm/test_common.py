@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from eventide.llm import common as C
-from eventide.llm import graph
+from eventide.operators.components import components
 
 
 def test_pack():
@@ -35,8 +35,8 @@ def test_blocks_hold_whole_rows_once(spark):
 def test_components(spark):
     edges = [(5, 4), (4, 3), (9, 9), (10, 20), (20, 30), (30, 10), (7, 100), (100, 50), (3, 2), (2, 1), (1, 1)]
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r.a: r.b for r in graph.components(df).collect()}
+    got = {r.a: r.b for r in components(df).collect()}
     assert got == {5: 1, 4: 1, 3: 1, 2: 1, 20: 10, 30: 10, 50: 7, 100: 7}
-    assert graph.components(df.where("a < 0")).count() == 0
+    assert components(df.where("a < 0")).count() == 0
     chain = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
-    assert graph.components(chain).agg(F.max("b"), F.count("*")).first() == (0, 199)
+    assert components(chain).agg(F.max("b"), F.count("*")).first() == (0, 199)

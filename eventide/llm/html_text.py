@@ -47,6 +47,14 @@ PLAIN = frozenset(  # noise as names of page parts, but headings of articles jus
     "announcement announcements disclaimer social rail thread threads share sharing recommended recommendations promo promos "
     "promotion promoted subscription teaser teasers".split()
 )
+NOTICES = frozenset("notice notices alert alerts notification notifications announcement announcements disclaimer".split())
+SURE = frozenset(  # adverts, comments and consent, whatever else the name says
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox adunit sponsor sponsored sponsors comment "
+    "comments commentlist comentarios kommentare commentaires disqus cookie cookies consent gdpr".split())
+COMMENTS = frozenset("comment comments commentlist comentarios kommentare commentaires disqus replies".split())
+CASES = frozenset(  # what a part of a page is called besides what it holds: ad-box, nav-wrapper
+    "container wrapper wrap box block list area bar item items section inner outer panel module unit slot top bottom left right main link "
+    "links button buttons icon icons header title primary secondary fixed sticky inline mobile desktop group row col column zone".split())
 PAGE_HEADER = frozenset("header site page top global main wrapper container the".split())
 KEEP_ROOTS = frozenset(("html", "body", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
@@ -66,47 +74,58 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     """An element: its content in order, and counts over its subtree."""
 
-    __slots__ = ("tag", "up", "content", "chars", "tags", "link_chars", "link_tags", "density", "total", "article", "doubtful")
+    __slots__ = ("tag", "up", "content", "chars", "tags", "link_chars", "link_tags", "density", "total", "article", "doubtful",
+                 "dropped", "after")
 
     def __init__(self, tag: str, up: Node | None, article: bool = False, doubtful: bool = False):
         self.tag, self.up, self.content = tag, up, []
         self.article = article  # in an article or main
         self.doubtful = doubtful  # named as noise in an article: goes if it is mostly links
+        self.after = False  # behind a paragraph or heading of the same parent
+        self.dropped = 0  # of the root: characters left out for a name, comments not counted
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _named(tag: str, attrs: str, in_article: bool) -> int:
-    """2: noise by role, name or being hidden; 1: named as noise, but in doubt; 0: neither."""
+def _named(tag: str, attrs: str, in_article: bool, names: frozenset[str]) -> int:
+    """3: noise by role or hidden; 2: noise by name; 1: named as noise, but in doubt; 0: neither."""
     found = 0
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "role":
             if value.lower() in NOT_ROLES:
-                return 2
+                return 3
         elif name == "hidden":
-            return 2
+            return 3
         elif name == "aria-hidden":
             if value.lower() == "true":
-                return 2
+                return 3
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return 2
+                return 3
         elif tag not in HEADINGS:
             for one in value.split():
-                found = max(found, _noise_name(tag, PARTS.findall(CAMEL.sub(" ", one).lower()), name == "id", in_article))
+                found = max(found, _noise_name(tag, PARTS.findall(CAMEL.sub(" ", one).lower()), name == "id", in_article, names))
     return found
 
 
-def _noise_name(tag: str, parts: list[str], is_id: bool, in_article: bool) -> int:
-    """As :func:`_named`.  Ids of sections and paragraphs often come from their text, so in an article no id counts."""
+def _noise_name(tag: str, parts: list[str], is_id: bool, in_article: bool, names: frozenset[str]) -> int:
+    """As :func:`_named`.  Ids of sections and paragraphs often come from their text, so in an article no id counts.
+
+    A name of several words is that of its last one (social-history is a history), unless that only says that it is some part
+    of the page.  Plain words, which head parts of articles too, leave a doubt: the part's own links then decide.
+    """
     if not parts or parts[0] in NEGATIONS or (is_id and (in_article or tag == "p")):
         return 0
-    hits = (ARTICLE_NOISE if tag == "article" else NOT_NAMES).intersection(parts)
+    hits = (ARTICLE_NOISE if tag == "article" else names).intersection(parts)
     if not hits or (in_article and tag == "p"):
         return 0
     if in_article and not hits & (ARTICLE_NOISE - PLAIN if tag == "section" else ARTICLE_NOISE):
         return 1
+    if tag != "article" and not hits & SURE:
+        head = next((x for x in reversed(parts) if x not in CASES), parts[-1])
+        if head not in names or hits <= PLAIN - NOTICES:
+            return 1
     return 1 if is_id and tag == "section" and hits <= PLAIN else 2
 
 
@@ -121,22 +140,25 @@ def _is_page_header(attrs: str) -> bool:
     return False
 
 
-def _noise(tag: str, attrs: str, in_article: bool, by_name: bool) -> int:
-    """2: noise, 1: in doubt, 0: neither."""
+def _noise(tag: str, attrs: str, in_article: bool, in_sentence: bool, names: frozenset[str] | None) -> int:
+    """3: noise by element, role or hidden; 2: by name; 1: in doubt; 0: no noise."""
     if tag in KEEP_ROOTS:
         return 0
+    if tag in ("button", "label") and in_sentence:  # a word of the sentence; forms are gone as a whole
+        return 0
     if tag in NOT_ARTICLE or (tag == "header" and not in_article):
-        return 2
-    if not by_name or not attrs:
+        return 3
+    if names is None or not attrs:
         return 0
     if not in_article and tag not in HEADINGS and _is_page_header(attrs):
         return 2
-    return _named(tag, attrs, in_article)
+    return _named(tag, attrs, in_article, names)
 
 
-def parse(page: str, by_name: bool = True) -> Node:
-    """The DOM without what is noise by its element and, if asked, its role or name; never fails, whatever the input."""
+def parse(page: str, names: frozenset[str] | None = NOT_NAMES) -> Node:
+    """The DOM without what is noise by its element and, with ``names``, its role or name; never fails, whatever the input."""
     root = Node("html", None)
+    counts = False  # whether what is left out now was named, and not as comments
     at, pos, skip = root, 0, 0  # skip: depth inside a noise element
     open_count: dict[str, int] = {"html": 1}
 
@@ -150,8 +172,11 @@ def parse(page: str, by_name: bool = True) -> Node:
     for m in TAG.finditer(page):
         if m.start() < pos:  # inside raw text that has been passed over
             continue
-        if m.start() > pos and not skipped:
-            at.content.append(page[pos : m.start()])
+        if m.start() > pos:
+            if not skipped:
+                at.content.append(page[pos : m.start()])
+            elif counts:
+                root.dropped += m.start() - pos
         pos = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -209,10 +234,11 @@ def parse(page: str, by_name: bool = True) -> Node:
                 pos = _raw_end(page, tag, pos)
             at.content.append(" " if tag not in BLOCK else "\n")
             continue
-        noise = _noise(tag, attrs, at.article, by_name)
-        if noise == 2:
+        noise = _noise(tag, attrs, at.article, bool(open_count.get("p")), names)
+        if noise >= 2:
             if tag not in VOID and not attrs.endswith("/"):
                 skipped.append(tag)
+                counts = noise == 2 and COMMENTS.isdisjoint(PARTS.findall(attrs.lower()))
             at.content.append(Node("hr", at) if tag in BLOCK else " ")
             continue
         node = Node(tag, at, at.article or tag in ("article", "main") or bool(MAIN_ROLE.search(attrs)), noise == 1)
@@ -261,6 +287,11 @@ def measure(root: Node) -> list[Node]:
             odds = n.chars / max(n.link_chars, 1) * tags / max(n.link_tags, 1)
             n.density = n.chars / tags * max(math.log(max(odds, 1.0)), 0.01) / max(math.log(base), 0.1)
     for n in nodes:
+        after = False
+        for c in n.content:
+            if isinstance(c, Node):
+                c.after = after
+                after = after or _is_text(c)
         n.total = sum(c.density for c in n.content if isinstance(c, Node))
         n.total += sum(len(c) for c in n.content if isinstance(c, str) and not c.isspace())
     return nodes
@@ -317,7 +348,12 @@ def _document_order(root: Node) -> Iterator[Node]:
 
 
 def _link_list(n: Node) -> bool:
-    return n.tag in ("ul", "ol", "dl") and n.link_tags > 1 and n.link_chars * 10 >= n.chars * 9
+    """A menu: a list of links that doesn't follow a paragraph, or a heading of a lower level, in its own part of the page."""
+    return n.tag in ("ul", "ol", "dl") and n.link_tags > 1 and n.link_chars * 10 >= n.chars * 9 and not n.after
+
+
+def _is_text(n: Node) -> bool:
+    return n.tag in HEADINGS - {"h1"} or (n.tag in ("p", "blockquote", "pre") and 0 < n.chars >= n.link_chars * 2)
 
 
 def blocks(chosen: list[Node]) -> list[str]:
@@ -365,11 +401,19 @@ def blocks(chosen: list[Node]) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page, blocks joined by two line feeds; empty for null, empty and textless pages."""
+    """The article of a page, blocks joined by two line feeds; empty for null, empty and textless pages.
+
+    Names are believed as long as what they leave out doesn't outweigh what is kept.  Then only sure ones (adverts, comments,
+    consent) count, and if that leaves nothing, none.
+    """
     if not page:
         return ""
-    found = blocks(choose(parse(page))) or blocks(choose(parse(page, by_name=False)))  # a page named as noise all over
-    return "\n\n".join(found)
+    root = parse(page)
+    found = "\n\n".join(blocks(choose(root)))
+    if root.dropped > len(found):
+        more = "\n\n".join(blocks(choose(parse(page, SURE))))
+        found = more if len(more) > 2 * len(found) else found
+    return found or "\n\n".join(blocks(choose(parse(page, None))))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

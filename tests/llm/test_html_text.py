@@ -92,3 +92,38 @@ def test_all_articles_and_formulas():
     assert H.main_text(nested).split("\n\n") == [LONG, f"{MORE} {LONG} {MORE}", MORE]
     formula = '<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="application/x-tex">x=2</annotation></semantics></math>'
     assert H.main_text(f"<article><p>Let {formula} hold.</p></article>") == "Let x=2 hold."
+
+
+@pytest.mark.parametrize("name", ["rail-history", "menu-open", "sidebar-layout", "banner", "thread", "search", "promo"])
+def test_a_name_around_the_whole_article(name):
+    """What a name leaves out must not outweigh what is kept."""
+    page = f'<body><p>short</p><div class="{name}"><h1>Title</h1><p>{LONG}</p><p>{MORE}</p><p>{LONG}</p></div></body>'
+    got = H.main_text(page)
+    assert all(x in got.split("\n\n") for x in ("Title", LONG, MORE))
+    comments = f'<body><article><p>{LONG}</p></article><div class="comments-list">{f"<p>{MORE}</p>" * 9}</div></body>'
+    assert H.main_text(comments) == LONG  # comments may outweigh the article
+
+
+@pytest.mark.parametrize("part", ['<div class="thread"><p>%s</p></div>', '<div class="social-history">%s</div>', '<div class="banner-text">%s</div>', '<p class="related">%s</p>',
+                                  '<div class="search-results"><p>%s</p></div>', '<section class="feedback">%s</section>'])
+def test_parts_with_plain_names_outside_an_article_element(part):
+    got = H.main_text(PAGE % f"<div><h1>Title</h1><p>{LONG}</p>{part % MORE}<p>{LONG} {MORE}</p></div>")
+    assert got.split("\n\n") == ["Title", LONG, MORE, f"{LONG} {MORE}"]
+
+
+@pytest.mark.parametrize("noise", ['<div class="ad-text">%s</div>', '<div class="cookie-banner">%s</div>', '<div class="site-notice">%s</div>', '<div id="sidebar-left"><p>%s</p></div>',
+                                   '<div class="comments-area"><p>%s</p></div>', '<div class="newsletter-box">%s</div>', '<div class="footer-wrapper">%s</div>'])
+def test_named_noise_still_goes(noise):
+    got = H.main_text(PAGE % f"<div><h1>Title</h1><p>{LONG}</p><p>{LONG} {MORE}</p></div>{noise % MORE}")
+    assert got.split("\n\n") == ["Title", LONG, f"{LONG} {MORE}"]
+
+
+def test_lists_of_links_and_words_in_buttons_stay_in_the_text():
+    links = "<ul><li><a href=/a>First book</a></li><li><a href=/b>Second book</a></li></ul>"
+    page = PAGE % f"<article><h1>Title</h1>{links}<p>{LONG}</p><h2>Further reading</h2>{links}<p>Press <button>Go</button> or <label>this</label> now.</p></article>"
+    assert H.main_text(page).split("\n\n") == ["Title", LONG, "Further reading", "First book", "Second book", "Press Go or this now."]
+
+
+def test_many_lists_in_time():
+    links = "<ul><li><a href=/a>First book</a></li><li><a href=/b>Second book</a></li></ul>"
+    assert H.main_text(f"<article><p>{LONG}</p>{links * 20_000}</article>").count("First book") == 20_000

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventide.functions.times import hour_end, iso_z, quarter_start
-from eventide.plans import audit, rollup, verify
+from eventide.plans import audit, digests, rollup, sketches, verify
 from eventide.queries import tables
 from eventide.queries.sql import ISO_Z, journal_sql
+from eventide.session import stage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -243,6 +244,30 @@ def verify_totals(spark, sf):
     return verify.verification(*_ids_and_journal(spark, sf)).select("checked_event_ids", "missing_event_ids")
 
 
+_LOST = "kind = 'error' AND CAST(created AS DATE) IN (DATE '2024-01-07', DATE '2024-01-19')"
+
+
+@register("verify_digests", journal_sql(f"""
+SELECT count(*) AS checked_event_ids, count(*) FILTER (WHERE {_LOST}) AS missing_event_ids,
+       (SELECT string_agg(event_id, ',' ORDER BY event_id) FROM (SELECT event_id FROM j WHERE {_LOST} ORDER BY event_id LIMIT 20)) AS sample FROM j"""))
+def verify_digests(spark, sf):
+    """The journal's ids against a journal that lost the errors of two days: only the hours that differ are joined."""
+    j = tables.journal(spark, sf).select("event_id", "kind", "created_utc")
+    lost = (F.col("kind") == "error") & F.to_date("created_utc").isin("2024-01-07", "2024-01-19")
+    left = j.where(~lost)
+    out = digests.verification(j, left, stage(digests.hour_digests(j)), stage(digests.hour_digests(left)))
+    return out.select("checked_event_ids", "missing_event_ids", F.array_join("missing_ids_sample", ",").alias("sample"))
+
+
+@register("distinct_sketches", journal_sql("""
+SELECT strftime(hour, '%Y-%m-%d') AS date_utc, count(DISTINCT source) AS unique_sources, count(DISTINCT nullif(clip_id, '')) AS unique_clips
+FROM j GROUP BY 1"""))
+def distinct_sketches(spark, sf):
+    """Distinct sources and clips of each day, from the sketches of its hours."""
+    s = sketches.hour_sketches(rollup.grain(tables.journal(spark, sf)))
+    return sketches.distincts(s, F.date_format("hour", "yyyy-MM-dd").alias("date_utc"))
+
+
 @register("verify_sample", journal_sql(
     f"SELECT DISTINCT event_id FROM j WHERE NOT ({_KNOWN}) ORDER BY event_id LIMIT 20"))
 def verify_sample(spark, sf):

@@ -42,6 +42,23 @@ def quarantine(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, f"{root}/quarantine", schema.QUARANTINE)
 
 
+DIGESTS = T.StructType([
+    T.StructField("hour", T.TimestampType()), T.StructField("n", T.LongType()), T.StructField("digest", T.DecimalType(30, 0))])
+
+
+def digests(spark: SparkSession, root: str) -> DataFrame:
+    """Per hour of the journal: how many ids it has, and their digest."""
+    return read_table(spark, f"{root}/digests", DIGESTS, "date")
+
+
+def write_digests(rows: DataFrame, root: str) -> None:
+    """Digests of whole dates of the journal, replaced date by date."""
+    from eventide.plans.digests import hour_digests
+
+    hour_digests(rows.select("created_utc", "event_id")).select("hour", "n", "digest", "date").coalesce(1).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{root}/digests")
+
+
 def scan_window(journal: DataFrame, start: Column, end: Column) -> DataFrame:
     """The rollup's columns of events created in [start, end]; prunes date partitions when there are any."""
     cols = [c for c in schema.ROLLUP_COLUMNS if c in journal.columns]

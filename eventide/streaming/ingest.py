@@ -36,6 +36,20 @@ def late_rows(rows: DataFrame, newest: dt.datetime | None, delay_s: float) -> Da
     return rows.where(F.col("created_utc") < F.lit(newest - dt.timedelta(seconds=delay_s)))
 
 
+def without_replays(lines: DataFrame, within: str) -> DataFrame:
+    """Lines of a stream without JSON lines that it already brought within ``within`` of processing time: shards delivered again.
+
+    The clock is that of the batches, so no line is ever too late and none is lost; the state holds a hash a line and is
+    dropped after that time.  The merge into the journal stays the authority for what comes again later.  Lines that
+    aren't JSON are left alone, since the quarantine counts their copies.
+    """
+    shown = F.trim("line")
+    whole = shown.startswith("{") & F.get_json_object("line", "$").isNotNull()
+    key = F.when(whole, F.sha2(shown, 256)).otherwise(F.uuid())
+    told = lines.withColumns({"_at": F.current_timestamp(), "_line": key}).withWatermark("_at", within)
+    return told.dropDuplicatesWithinWatermark(["_line"]).drop("_at", "_line")
+
+
 def ingest_stream(
     spark: SparkSession,
     events_root: str,
@@ -45,6 +59,7 @@ def ingest_stream(
     segments: DataFrame | None = None,
     late_after_s: float = 600.0,
     files_per_trigger: int | None = None,
+    replays_within: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Journal new shard files as they land.
@@ -52,7 +67,8 @@ def ingest_stream(
     Each micro-batch goes through the same steps as a batch ingest, with the
     same rule for recordings and the same quarantine, so a repeated batch, or a
     batch ingest of the same shards, adds nothing.  Late rows are journalled like any other
-    and also listed in ``late/``.  ``trigger`` as for ``DataStreamWriter``.
+    and also listed in ``late/``.  ``replays_within`` (such as ``1 hour``) drops lines delivered again before they reach the journal:
+    see :func:`without_replays`.  ``trigger`` as for ``DataStreamWriter``.
     """
     require_utc(spark)
     given = segments
@@ -76,5 +92,7 @@ def ingest_stream(
         newest = max(filter(None, (newest, top)), default=None)
 
     rows = read_stream(spark, events_root, p, files_per_trigger)
+    if replays_within:
+        rows = without_replays(rows, replays_within)
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return writer.trigger(**(trigger or {"processingTime": "30 seconds"})).start()

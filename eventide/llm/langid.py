@@ -180,9 +180,12 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
     rows = labelled.where(c(lang_col).isNotNull() & c(text_col).rlike(r"\p{L}")).select(
         c(lang_col).alias("lang"), F.xxhash64(c(id_col).cast("string"), c(text_col)).alias("key"), c(text_col).alias("text")
     )
-    # Copies meet before the ranking, and every task ranks its own keys before any of them travels.
+    # Copies meet first; then the number of different keys tells how low the least ones must lie, so that few are ranked.
+    keys = rows.select("lang", "key").distinct()
+    share = F.least(F.lit(1.0), F.lit(4.0 * per_lang + 64) / c("n"))
+    low = keys.join(keys.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(c("key") / F.lit(2.0**64) + 0.5 <= share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    chosen = stage(rows.select("lang", "key").distinct().withColumn("r", rank).where(c("r") <= per_lang).drop("r"))
+    chosen = stage(low.select("lang", "key", rank.alias("r")).where(c("r") <= per_lang).drop("r"))
     sample = rows.join(chosen, ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.min("text").alias("text"))
 
     def run(texts: list[str]) -> list[list]:

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from eventide.operators import bursts, gate, perception_events, tracks, trailing
+from eventide.operators import asof, bursts, gate, perception_events, tracks, trailing
 from eventide.params import PerceptionParams
-from eventide.streaming import lifecycle, stateful, windows
+from eventide.streaming import lifecycle, lookups, stateful, windows
 
 P = PerceptionParams(block_s=60.0, novelty_window_s=5.0, phash_distance_max=10)
 END = 10_000_000  # seconds: a last row that moves the watermark past all others
@@ -168,3 +168,33 @@ def test_idle_bursts_are_flushed(spark, tmp_path):
     a = sorted(map(tuple, got.where("camera <> 'z'").select(cols).collect()))
     b = sorted(map(tuple, want.select(cols).collect()))
     assert a == b and sum("(flush)" in x[3] for x in a) >= 2
+
+
+@pytest.mark.parametrize("gap", [2.0, 40.0])
+def test_lookups(spark, tmp_path, gap):
+    """Targets get the frames that the batch operators give them, over restarts; the last ones without a later frame."""
+    rng = random.Random(int(gap))
+    times = [(cam, i, rng.choice([0.5, 0.5, 3.0, 9.0])) for cam in "ab" for i in range(60)]
+    fr, t = [], 0.0
+    for cam, i, step in times:
+        t = step if i == 0 else t + step
+        fr.append((cam, t, i))
+        if rng.random() < 0.2:
+            fr.append((cam, t, i + 1000))
+    targets = [(cam, float(rng.randrange(2, 500)) / 2, k) for k in range(80) for cam in "abc"]
+    targets += [("z", float(END), 0)]
+    ts = F.timestamp_micros((F.col("t") * 1e6).cast("long"))
+    f = spark.createDataFrame(fr, "camera string, t double, frame_idx long").withColumn("ts", ts).drop("t")
+    d = spark.createDataFrame(targets, "camera string, t double, pid long").withColumn("ts", ts).drop("t")
+    both = lambda fs, ts_: lookups.nearest_frame_stream(ts_, fs, "ts", "pid", gap, "1 second").withColumn("rule", F.lit("near"))
+    after = lambda fs, ts_: lookups.next_frame_stream(ts_, fs, "ts", "pid", gap, "1 second").withColumn("rule", F.lit("next"))
+    near = in_parts(spark, tmp_path / "near", (f, d), both, "n", 3).where("camera <> 'z'")
+    following = in_parts(spark, tmp_path / "next", (f, d), after, "a", 2).where("camera <> 'z'")
+    mine = d.where("camera <> 'z'").withColumnRenamed("ts", "at")
+    want = asof.nearest_frame(mine, f, "at", 30.0, gap).select("camera", "pid", "frame_ts", "frame_idx").collect()
+    cols = ["camera", "pid", "frame_ts", "frame_idx"]
+    assert sorted(map(tuple, near.select(cols).collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    limit = F.col("at") + F.expr(f"INTERVAL '{int(gap)}' SECOND")
+    want = asof.next_frame_after(mine, f, "at", "frame_ts", 30.0).withColumn("frame_ts", F.when(F.col("frame_ts") <= limit, F.col("frame_ts")))
+    got = following.select("camera", "pid", "frame_ts").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want.select("camera", "pid", "frame_ts").collect()), key=repr)

@@ -7,6 +7,7 @@ so key order and free text are those of the input.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,15 +57,15 @@ def set_top_level(line: str, new: dict[str, str | None]) -> str:
     return "".join(out) + line[at:]
 
 
-def _set_all(line: Column, texts: dict[str, Column]) -> Column:
-    """Replace string values of top-level fields where their text is not NULL.
-
-    A line with one brace has no inner object and takes the pattern; the others go to the text scanner.
-    """
-    flat = F.regexp_count(line, F.lit(r"\{")) <= 1
-    plain = line
+def _set_plain(line: Column, texts: dict[str, Column]) -> Column:
+    """Replace string values of fields of a line without inner objects, where their text is not NULL."""
     for name, text in texts.items():
-        plain = _set(plain, name, text)
+        line = _set(line, name, text)
+    return line
+
+
+def _set_nested(line: Column, texts: dict[str, Column]) -> Column:
+    """The same for the top-level fields of any line, by a text scanner."""
     names = list(texts)
 
     @F.pandas_udf("string")
@@ -72,8 +73,16 @@ def _set_all(line: Column, texts: dict[str, Column]) -> Column:
         rows = zip(lines, *new, strict=True)
         return pd.Series([None if x is None else set_top_level(x, dict(zip(names, v, strict=True))) for x, *v in rows], dtype=object)
 
-    some = lambda c: F.when(~flat, c)
-    return F.when(flat, plain).otherwise(nested(some(line), *(some(t) for t in texts.values())))
+    return nested(line, *texts.values())
+
+
+def _by_shape(parsed: DataFrame, moved: Callable[[DataFrame, Callable], DataFrame]) -> DataFrame:
+    """``moved(lines, setter)`` of the lines without and of those with inner objects (a second brace), each with its setter.
+
+    The lines are told apart by their text before they are parsed, so each is parsed once and only the latter meet Python.
+    """
+    flat = F.coalesce(F.regexp_count("line", F.lit(r"\{")) <= 1, F.lit(True))
+    return moved(parsed.where(flat), _set_plain).unionByName(moved(parsed.where(~flat), _set_nested))
 
 
 def _shifted(ts: Column, delta_us: Column) -> Column:
@@ -105,9 +114,12 @@ def retime(
     )
     usable = F.col("first_ts").isNotNull() & (F.lit(True) if per_line else F.col("all_json"))
     clocks = clocks.select("file", F.when(usable, delta).alias("delta_us"))
-    out = parsed.join(clocks, "file", "left")
     texts = {f: iso_local(_shifted(_field_ts(f), F.col("delta_us")), tz) for f in SHARD_FIELDS}
-    return out.withColumn("line", _set_all(F.col("line"), texts)).withColumn("retimed", F.col("delta_us").isNotNull()).drop("obj")
+
+    def moved(lines: DataFrame, put: Callable) -> DataFrame:
+        return lines.join(clocks, "file", "left").withColumn("line", put(F.col("line"), texts))
+
+    return _by_shape(parsed, moved).withColumn("retimed", F.col("delta_us").isNotNull()).drop("obj")
 
 
 def align_transcript(
@@ -121,14 +133,18 @@ def align_transcript(
     clocks = file_clocks(parsed, order, CLOCK_FIELDS)
     usable = F.col("first_ts").isNotNull() & F.col("all_json")
     delta = F.unix_micros(anchor.select("anchor").scalar()) - F.unix_micros("first_ts")
-    out = parsed.join(clocks.select("file", F.when(usable, delta).alias("delta_us")), "file", "left")
+    clocks = clocks.select("file", F.when(usable, delta).alias("delta_us"))
     moved = {f: _shifted(_field_ts(f), F.col("delta_us")) for f in fields}
     local = iso_local(F.coalesce(*(moved[f] for f in LOCAL_FIELDS)), tz)
     texts = {f: iso_utc_micros(ts, "Z") if f.endswith("_utc") else iso_local(ts, tz) for f, ts in moved.items()}
-    line = _set_all(F.col("line"), texts | {"loc_ts": local})
-    appended = F.regexp_replace(line, F.lit(r"\s*\}\s*$"), F.concat(F.lit(', "loc_ts": "'), local, F.lit('"}')))
-    line = F.when(local.isNull() | F.col("obj.loc_ts").isNotNull(), line).otherwise(appended)
-    return out.withColumn("line", line).withColumn("retimed", F.col("delta_us").isNotNull()).drop("obj")
+
+    def aligned(lines: DataFrame, put: Callable) -> DataFrame:
+        line = put(F.col("line"), texts | {"loc_ts": local})
+        appended = F.regexp_replace(line, F.lit(r"\s*\}\s*$"), F.concat(F.lit(', "loc_ts": "'), local, F.lit('"}')))
+        line = F.when(local.isNull() | F.col("obj.loc_ts").isNotNull(), line).otherwise(appended)
+        return lines.join(clocks, "file", "left").withColumn("line", line)
+
+    return _by_shape(parsed, aligned).withColumn("retimed", F.col("delta_us").isNotNull()).drop("obj")
 
 
 def first_event_time(parsed: DataFrame, order: list[str]) -> DataFrame:

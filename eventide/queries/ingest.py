@@ -14,6 +14,7 @@ from eventide.queries.sql import EVENTS, ISO_US, ISO_Z, TURNS, events_sql, journ
 from eventide.sources import journal as J
 from eventide.sources import jsonl
 from eventide.sources.segments import with_bounds
+from eventide.streaming import ingest as stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -288,3 +289,25 @@ def iso_formats(spark, sf):
     local = iso_local(ts, "Asia/Kolkata")
     return tables.events(spark, sf).select(
         "event_id", iso_utc_micros(ts).alias("micros"), local.alias("local_text"), iso_z(parse_ts(local)).alias("parsed"))
+
+
+@register("offset_fallback", events_sql("""
+SELECT event_id, CASE WHEN event_id % 11 = 0 THEN user_id WHEN event_id % 7 = 0 THEN 0 ELSE greatest(0, delta_ms - 2000) END AS t0_ms,
+       CASE WHEN event_id % 11 = 0 THEN user_id + 50 WHEN event_id % 7 = 0 THEN 5000 ELSE delta_ms + 3000 END AS t1_ms,
+       CASE WHEN event_id % 11 = 0 THEN 'explicit' WHEN event_id % 7 = 0 THEN 'none' ELSE 'hour' END AS basis FROM ev"""))
+def offset_fallback(spark, sf):
+    """Offsets of events, every seventh without a time, every eleventh with offsets of its own."""
+    c = F.col
+    ts = F.when(c("event_id") % 7 != 0, c("ts"))
+    own = F.when(c("event_id") % 11 == 0, c("user_id").cast("bigint"))
+    t0, t1, basis = P.offsets(ts, F.lit(None).cast("timestamp"), own, own + 50, 2000, 3000)
+    return tables.events(spark, sf).select("event_id", t0.alias("t0_ms"), t1.alias("t1_ms"), basis.alias("basis"))
+
+
+@register("late_rows", journal_sql("""
+SELECT event_id, kind FROM j WHERE created < (SELECT date_trunc('day', max(created)) FROM j) - INTERVAL 600 SECOND"""))
+def late_rows(spark, sf):
+    """What a stream that has come to the start of the last day would list as late."""
+    j = tables.journal(spark, sf)
+    newest = j.agg(F.date_trunc("day", F.max("created_utc"))).first()[0]
+    return stream.late_rows(j, newest, 600.0).select("event_id", "kind")

@@ -145,6 +145,34 @@ def burst_lines(spark, sf):
     return out.withColumn("objects", F.array_join("objects", "/"))
 
 
+_NUMBERS = "[0-9]+([.][0-9]+)?"  # their formats differ between engines
+
+
+@register("burst_texts", frames_sql(f"""
+SELECT camera, type, strftime(seen_at, {ISO_US}) || '+00:00' AS ts, regexp_replace(msg, '{_NUMBERS}', '#', 'g') AS msg FROM (
+  SELECT camera, 'burst.start' AS type, start_ts AS seen_at, 'burst started when ' || coalesce(nullif(array_to_string(first_objects, '/'), ''), '-')
+         || ' seen; motion_score=0.00' AS msg FROM bu
+  UNION ALL SELECT camera, 'motion.summary', {_AT}, label || ' from ' || {_BEGIN} || ' to ' || fin || ' (~0.0s), peak motion_score=0.00'
+         || CASE WHEN close_ts IS NULL THEN ' (flush)' ELSE '' END FROM lb
+  UNION ALL SELECT camera, 'burst.end', {_AT}, 'burst ended for ' || label || CASE WHEN close_ts IS NULL THEN ' on flush' ELSE '' END
+         || '; duration 0.0s (' || {_BEGIN} || ' → ' || fin || ')' FROM lb)""", *BURST_CTES, f"""
+lb AS (SELECT *, coalesce(nullif(array_to_string(objects, '/'), ''), 'motion') AS label,
+         strftime(last_live_ts, {ISO_US}) || '+00:00' AS fin FROM bu WHERE duration_s >= 1)"""))
+def burst_texts(spark, sf):
+    """The free text of the lines, numbers masked."""
+    lines = perception_events.burst_events(_bursts(spark, sf), PARAMS)
+    return lines.select("camera", "type", _us("ts"), F.regexp_replace(F.get_json_object("line", "$.msg"), _NUMBERS, "#").alias("msg"))
+
+
+@register("sensitive_gate", events_sql("SELECT event_id, motion >= 0.08 AS over, 0.35 AS usual, 10.0 AS cadence_fps FROM ev"))
+def sensitive_gate(spark, sf):
+    """The gate in the sensitive profile, whose threshold is the lower one."""
+    p = PerceptionParams().sensitive()
+    return tables.events(spark, sf).select(
+        "event_id", S.over_gate(F.col("motion"), p.motion_threshold).alias("over"),
+        F.lit(PerceptionParams().motion_threshold).cast("decimal(3,2)").alias("usual"), F.lit(p.cadence_fps).cast("decimal(3,1)").alias("cadence_fps"))
+
+
 NOVELTY_SQL = """
 h AS (SELECT vec_id, 'cam_' || (label % 3) AS camera, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
 d AS (SELECT a.vec_id, min(len(list_filter(list_zip(a.bits, b.bits), lambda p: p[1] <> p[2]))) AS dist

@@ -12,6 +12,7 @@ from eventide.plans import rollup, shifts, trends
 from eventide.queries import tables
 from eventide.queries.perception import NOVELTY, NOVELTY_SQL, _tracks, lanes_sql
 from eventide.queries.sql import EVENTS, ISO_Z, events_sql, journal_sql, turns_sql
+from eventide.streaming import windows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -257,3 +258,10 @@ def caption_groups(spark, sf):
     """Utterances in groups of near-identical words, at any distance in time."""
     t = tables.read(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
     return near_text.near_groups(t, PARAMS.caption_similarity)
+
+
+@register("tumbling_counts", journal_sql(f"""
+SELECT strftime(date_trunc('hour', created), {ISO_Z}) AS window_start, kind, count(*) AS n FROM j GROUP BY 1, 2"""))
+def tumbling_counts(spark, sf):
+    """Event-time windows of an hour, as a stream counts them."""
+    return windows.tumbling_counts(tables.journal(spark, sf)).select(iso_z(F.col("window_start")).alias("window_start"), "kind", "n")

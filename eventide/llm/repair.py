@@ -312,7 +312,8 @@ def repair(rows: DataFrame, texts: bool = False, block: int = BLOCK, held: int =
     repaired_sha256: digest of the repaired lines ``role:text``.
     repaired: with ``texts``, the turns (edit, role, text); else null.
 
-    Equal rows are counted before anything is ordered, and what is a repetition is found by text, not by conversation.  Conversations
+    Equal rows (by SHA-256 of the text) are counted before anything is ordered, and what is a repetition is found by text, not by
+    conversation.  Conversations
     are then cut into pieces wherever a partition ends, and every ``block`` rows; a piece gives the lightest derivation from each state
     to each other, and pieces are joined in order: what stays in memory is a piece, and the edits so far of at most four items.
     """
@@ -321,12 +322,15 @@ def repair(rows: DataFrame, texts: bool = False, block: int = BLOCK, held: int =
     copies = c("copies").cast("long") if "copies" in rows.columns else F.lit(1).cast("long")
     rows = rows.select(c("conv_id").cast("long"), c("turn").cast("long"), space("role").alias("role"), space("text").alias("text"),
                        copies.alias("copies"))
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")  # stands for the text wherever the text itself isn't needed
     marks = rows.select("conv_id", F.when(c("copies") > 0, c("turn")).alias("turn"),
-                        *[F.when(c("copies") > 0, c(n)).otherwise("").alias(n) for n in ("role", "text")], "copies", F.lit(0).alias("fresh"))
+                        *[F.when(c("copies") > 0, c(n)).otherwise("").alias(n) for n in ("role", "text")], "copies", F.lit(0).alias("fresh")).withColumn("digest", digest)
     first = F.min(F.struct(c("turn").isNotNull().alias("some"), "turn")).alias("t")
-    firsts = rows.where("copies > 0").groupBy("conv_id", "role", "text").agg(first)
-    firsts = firsts.select("conv_id", c("t.turn").alias("turn"), "role", "text", F.lit(0).cast("long").alias("copies"), F.lit(1).alias("fresh"))
-    counted = marks.unionByName(firsts).groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"), F.max("fresh").alias("fresh"))
+    firsts = rows.where("copies > 0").groupBy("conv_id", "role", digest).agg(first)
+    firsts = firsts.select("conv_id", c("t.turn").alias("turn"), "role", F.lit(None).cast("string").alias("text"),
+                           F.lit(0).cast("long").alias("copies"), F.lit(1).alias("fresh"), "digest")
+    counted = marks.unionByName(firsts).groupBy("conv_id", "turn", "role", "digest").agg(
+        F.max("text").alias("text"), F.sum("copies").alias("copies"), F.max("fresh").alias("fresh")).drop("digest")
     schema = _struct(piece=_PIECE, result=_RESULT)
     arrow, result = to_arrow_schema(schema), to_arrow_schema(_RESULT)
 

@@ -68,6 +68,37 @@ def test_gadgets_against_merging_in_order():
             assert [auto.bytes_of[t].decode() for t in auto.word("".join(x).encode())] == want
 
 
+def test_table_against_gadgets_laid_one_by_one():
+    """The rectangles are the matrix that copying rows and columns merge after merge gives, also for merges of equal parts."""
+    r = random.Random(3)
+    for _ in range(60):
+        letters = "abcd"[: r.randint(1, 4)]
+        vocab, merges = {c: i for i, c in enumerate(letters)}, []
+        gone = {i: set() for i in vocab.values()}  # state -> closed arcs
+        for _ in range(r.randint(0, 25)):
+            a, b = r.choice(list(vocab)), r.choice(list(vocab))
+            u, v = vocab[a], vocab[b]
+            if a + b in vocab or v in gone[u]:
+                continue
+            w = vocab[a + b] = len(vocab)
+            merges.append((a, b))
+            gone[w] = set(gone[v])
+            gone[u].add(v)
+            for arcs in gone.values():
+                if u in arcs:
+                    arcs.add(w)
+        auto = B.Automaton(vocab, merges)
+        assert {(x, y) for x in gone for y in gone if not auto.follows(x, y)} == {(x, y) for x in gone for y in gone[x]}
+
+
+def test_table_is_small_and_words_are_read_once():
+    assert len(set(AUTOMATON.state)) < 15_000 and len(set(AUTOMATON.closed)) < 11_000
+    assert sum(map(len, set(AUTOMATON.closed))) < 20 << 20
+    assert AUTOMATON.word(b"") == ()
+    with pytest.raises(ValueError):
+        B.Automaton({"a": 0, "b": 1, "ab": 2}, [("a", "b")]).word(b"abx")
+
+
 def test_query(spark, sf):
     rows = {r.doc_id: r for r in QUERIES["op9_bpe"](spark, sf).collect()}
     docs = read(spark, sf, "documents").select("doc_id", "text").collect()

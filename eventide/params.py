@@ -16,6 +16,7 @@ class IngestParams:
     limit: int | None = None
     dedupe_seconds: float | None = None
     default_source: str = "stage2"
+    id_buckets: int | None = None  # lay a new journal's events out by id, in so many buckets a date
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ from eventide.operators.dedupe import drop_windowed_duplicates
 from eventide.params import IngestParams
 from eventide.plans import incremental
 from eventide.session import require_utc, scratch, stage
-from eventide.sources import journal, jsonl
+from eventide.sources import by_id, journal, jsonl
 from eventide.sources.segments import list_files, list_segments, with_bounds
 
 
@@ -152,7 +152,12 @@ def merge(spark: SparkSession, batch: DataFrame, segments: DataFrame, root: str,
     n_caps = journal.append_new(caps, journal.captions(spark, root), f"{root}/captions", "event_id", journal.DATE)
     n_clips = journal.append_new(clip_rows(batch, segments), journal.clips(spark, root), f"{root}/clips", "clip_id")
     incremental.mark(batch, root)  # before, so that an interrupted run leaves no hour unmarked
-    n_events = journal.append_new(batch, journal.events(spark, root), f"{root}/events", "event_id", journal.DATE)
+    if p.id_buckets:
+        by_id.lay_out(spark, root, p.id_buckets)
+    if buckets := by_id.buckets_of(spark, root):
+        n_events = by_id.append_new(batch, f"{root}/events", schema.EVENTS, "event_id", journal.DATE, buckets)
+    else:
+        n_events = journal.append_new(batch, journal.events(spark, root), f"{root}/events", "event_id", journal.DATE)
     if n_events:
         incremental.mark(batch, root)  # after, for a refresh that ran in between
         journal.write_digests(journal.on_dates_of(journal.events(spark, root), batch), root)

@@ -116,10 +116,10 @@ def append_new(
         fresh.write.mode("append").partitionBy(partition).parquet(path)
     else:
         fresh.write.mode("append").parquet(path)
-    return _observed(seen)
+    return observed(seen)
 
 
-def _observed(seen: Observation) -> int:
+def observed(seen: Observation) -> int:
     """Rows counted while writing.
 
     When Spark finds at run time that nothing is to be written, it drops the

@@ -1,7 +1,8 @@
 """Links between texts whose sets of word shingles are similar, to go with the fingerprints of :mod:`simhash`.
 
 Each text keeps the least shingle hash in each of 64 classes; bands of four of them are fingerprints of a part of the text.
-Texts that meet in a band are compared by their 64 least hashes, and what looks similar by their whole sets.
+Texts that meet in a band are compared by their whole sets wherever the sizes of these allow the similarity asked for, in
+groups of any size; a smaller group gives all its links, a larger one those that connect it as all would.
 """
 
 from __future__ import annotations
@@ -166,13 +167,13 @@ def similar_pairs(
             out = []
             for ms in b["ms"]:
                 ids = [m["id"] for m in ms]
-                sig = np.array([m["least"] for m in ms])
+                n = [m["n"] for m in ms]
                 out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in combinations(range(len(ids)), 2)
-                        if (sig[i] == sig[j]).mean() >= similarity - 0.25]
+                        if min(n[i], n[j]) >= similarity * max(n[i], n[j])]
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    few = met.where(c("n1") <= group).join(first.select("id", "least"), "id").groupBy("band", "k1").agg(
-        F.collect_list(F.struct("id", "least")).alias("ms")).where("size(ms) > 1")
+    few = met.where(c("n1") <= group).groupBy("band", "k1").agg(
+        F.collect_list(F.struct("id", "n")).alias("ms")).where("size(ms) > 1")
     close = few.select("ms").mapInPandas(compare, "a long, b long")
     asked = stage(close.unionByName(star).distinct())
     needed = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()

@@ -6,6 +6,9 @@ to look at; every pair is verified on the sets, so nothing is joined by chance.
 A band that very many different sets share (a phrase all captions begin with) is not paired out.  Its least set is the
 pivot: sets near the pivot are one group already and need no look at each other.  The others meet the band's sets
 through the rarest of their words: of two sets that are near, a prefix of each, in one order of all words, has a word in common.
+
+At thresholds so low that a band is one hash, bands would select most of all pairs: there all sets meet, in blocks, and no
+pair is missed (:mod:`eventide.operators.near_blocks`).
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.text import tokens
 from eventide.operators.components import components
+from eventide.operators.near_blocks import block_links
 from eventide.session import stage
 
 PAIRED = 64  # different sets of a band that are paired out
@@ -64,6 +68,8 @@ def near_links(sets: DataFrame, threshold: float, missed: float = MISSED, paired
     ``sets`` has id and words, distinct sets that are not empty.
     """
     n, rows = bands(threshold, missed)
+    if rows == 1:
+        return block_links(sets, threshold)
     c = F.col
     keyed = stage(sets.select("id", F.posexplode(_keys(c("words"), n, rows)).alias("band", "k")))
     size = stage(keyed.groupBy("band", "k").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1"))

@@ -3,9 +3,11 @@
 import random
 from bisect import bisect_right
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eventide.operators import near_blocks
 from eventide.operators import near_text as N
 from eventide.operators.components import components
 from eventide.params import TrendParams
@@ -96,3 +98,51 @@ def test_a_band_that_all_captions_share(spark):
     links = N.near_links(sets, 0.8)
     assert links.count() <= 20 * len(rows)
     assert {(x.a, x.b) for x in components(links).collect()} == {(k, 0) for k in range(1, 2000)}
+
+
+def test_low_threshold_misses_no_pair(spark):
+    """Pairs right at 0.2, where bands of one hash overlook one in a thousand and select most others: all are found."""
+    rows = []
+    for k in range(4000):
+        mine = lambda s, k=k: " ".join(f"{s}{k}_{i}" for i in range(4))
+        rows += [(2 * k, f"p{k} q{k} {mine('a')}"), (2 * k + 1, f"p{k} q{k} {mine('b')}")]  # 2 of 10 words
+    got = N.near_groups(spark.createDataFrame(rows, "id long, text string"), 0.2).collect()
+    assert sum(x["group"] == x.id - x.id % 2 for x in got) == len(rows)
+
+
+@pytest.mark.parametrize("threshold,words", [(0.2, 1000), (0.2, 9000), (0.08, 2000)])
+def test_blocks_against_all_pairs(spark, threshold, words):
+    """Sets of 1 to 40 words with frequent ones among them, and a group of near copies, in several blocks or one."""
+    r = random.Random(words)
+    often, rare = [f"o{k}" for k in range(12)], [f"w{k}" for k in range(700)]
+    rows = [(k, " ".join(r.sample(often, r.randint(0, 4)) + r.sample(rare, r.randint(1, 36)))) for k in range(150)]
+    same = r.sample(rare, 20)
+    rows += [(200 + k, " ".join([*same, f"x{k}"])) for k in range(60)] + [(400, "o1"), (401, "o1 o2 o3 o4 o5"), (402, "o6 o7 o8 o9 o10 o0")]
+    sets = spark.createDataFrame(rows, "id long, text string").select("id", N.word_set(F.col("text")).alias("words"))
+    links = near_blocks.block_links(sets, threshold, words)
+    assert links.count() < 10 * len(rows)
+    at = {x.a: x.b for x in components(links).collect()}
+    assert {k: at.get(k, k) for k, _ in rows} == groups(rows, threshold)
+
+
+def test_blocks_leave_out_what_is_joined(monkeypatch):
+    """Large groups are left out of the index while they grow; the groups found are those of all pairs."""
+    monkeypatch.setattr(near_blocks, "LEAST_LEFT_OUT", 4)
+    r = random.Random(3)
+    sets = [sorted(r.sample(range(b, b + 30), r.randint(3, 14))) for b in (0, 0, 0, 20, 60, 60, 100) for _ in range(30)]
+    n = len(sets)
+    left, right = np.arange(n) % 2 == 0, np.arange(n) % 3 != 0
+    edges = near_blocks.forest(np.arange(n), np.arange(n) // 2 * 2, left, right, np.array([len(s) for s in sets]),
+                               np.concatenate([np.array(s, np.int64) for s in sets]), 0.25)
+    near = [(x, y) for x in range(n) for y in range(n) if x != y and left[x] and right[y]
+            and 4 * len({*sets[x]} & {*sets[y]}) >= len({*sets[x]} | {*sets[y]})]
+    known = [(x, x // 2 * 2) for x in range(n)]
+
+    def least(pairs):
+        at = list(range(n))
+        for a, b in pairs:
+            lo, hi = sorted((at[a], at[b]))
+            at = [lo if v == hi else v for v in at]
+        return at
+
+    assert len(edges) < n and least([*known, *edges]) == least([*known, *near])

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.payload import RECORD
-from eventide.functions.times import strip
+from eventide.functions.times import WS_CHARS, strip
 
 QUARANTINE_CHARS = 200  # fixed value: how much of a bad line is kept
 
@@ -55,10 +57,22 @@ def shard_paths(root: str, glob: str = "*/*.jsonl") -> str:
     return f"{root.rstrip('/')}/{glob}"
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` passes a generator: what stands above reads it instead of computing it again."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def _trimmed(line: Column) -> Column:
+    """:func:`strip`, which walks through the whole line, only where an end has white space."""
+    edge = F.left(line, F.lit(1)).isin(*WS_CHARS) | reduce(or_, map(line.endswith, WS_CHARS))
+    return F.when(edge, strip(line)).otherwise(line)
+
+
 def clean_lines(lines: DataFrame) -> DataFrame:
     """Trimmed lines without blanks and ``#`` comments; numbering is untouched."""
-    s = strip(F.col("line"))
-    return lines.withColumn("line", s).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+    line = F.col("line")
+    read = _once(_once(lines, "line", line), "line", _trimmed(line))
+    return read.where((line != "") & ~line.startswith("#"))
 
 
 def first_lines(lines: DataFrame, limit: int) -> DataFrame:

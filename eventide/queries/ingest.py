@@ -144,7 +144,7 @@ def quarantine(spark, sf):
     lines = e.select(
         F.lit("/events/a.jsonl").alias("file"), F.col("event_id").alias("line_no"),
         F.when(F.col("event_type") == "error", torn).otherwise(good).alias("line"))
-    return jsonl.quarantine(jsonl.parse_lines(lines)).select("line_no", "line")
+    return jsonl.quarantine(jsonl.parse_lines(lines, once=True)).select("line_no", "line")
 
 
 @register("ingest_balance", lines_sql("""

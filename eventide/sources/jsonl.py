@@ -68,10 +68,14 @@ def _trimmed(line: Column) -> Column:
     return F.when(edge, strip(line)).otherwise(line)
 
 
-def clean_lines(lines: DataFrame) -> DataFrame:
-    """Trimmed lines without blanks and ``#`` comments; numbering is untouched."""
+def clean_lines(lines: DataFrame, once: bool = False) -> DataFrame:
+    """Trimmed lines without blanks and ``#`` comments; numbering is untouched.
+
+    ``once``, for long lines and such as are costly to make: each is made once and walked through only if it needs
+    trimming, but filters on lines no longer reach the scan.
+    """
     line = F.col("line")
-    read = _once(_once(lines, "line", line), "line", _trimmed(line))
+    read = _once(_once(lines, "line", line), "line", _trimmed(line)) if once else lines.withColumn("line", strip(line))
     return read.where((line != "") & ~line.startswith("#"))
 
 
@@ -80,7 +84,7 @@ def first_lines(lines: DataFrame, limit: int) -> DataFrame:
     return clean_lines(lines).orderBy("file", "line_no").limit(limit)
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, once: bool = False) -> DataFrame:
     """Adds ``obj``, the record of a line; NULL for one that is not exactly one JSON object.
 
     Lines are parsed inside brackets, so trailing text or a second object on
@@ -91,7 +95,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     arr = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
     whole = line.startswith("{") & line.endswith("}")
     return (
-        clean_lines(lines)
+        clean_lines(lines, once)
         .withColumn("_arr", F.when(whole, arr))
         .withColumn("obj", F.when(
             F.try_variant_get("_arr", "$[1]", "variant").isNull(), F.try_variant_get("_arr", "$[0]", RECORD)))

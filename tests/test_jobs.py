@@ -112,14 +112,14 @@ def test_quarantine_and_numbers(spark, shard):
 def test_long_lines_are_built_and_walked_once(spark):
     """A line that is an expression is computed once; its trimming is Python's, and skipped where neither end needs it."""
     made = spark.range(3).select("id", F.concat(F.lit('{"x": '), F.repeat(F.lit("y"), (F.col("id") * 400).cast("int"))).alias("line"))
-    bad = jsonl.quarantine(jsonl.parse_lines(made))
+    bad = jsonl.quarantine(jsonl.parse_lines(made, once=True))
     plan = bad._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("repeat(") == 1 and plan.count("trim(") == 1
     assert {(r.id, r.line) for r in bad.collect()} == {(k, ('{"x": ' + "y" * 400 * k).strip()[:200]) for k in range(3)}
     ends = ["", " ", "\x85", "\u3000x", *times.WS_CHARS]
     texts = [f"{a}{body}{b}" for a in ends for b in ends for body in ("", "a", "#", "é \u2003 é")] + [None]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, line string")
-    got = {r.id: r.line for r in jsonl.clean_lines(rows).collect()}
+    got = {r.id: r.line for r in jsonl.clean_lines(rows, once=True).collect()}
     assert got == {k: t.strip() for k, t in enumerate(texts) if t and t.strip() and not t.strip().startswith("#")}
 
 

@@ -146,3 +146,37 @@ def test_blocks_leave_out_what_is_joined(monkeypatch):
         return at
 
     assert len(edges) < n and least([*known, *edges]) == least([*known, *near])
+
+
+def test_an_index_knows_what_two_sets_share():
+    """Frequent words as bits and rarer ones over postings: a look-up gives the near sets and exact counts, nothing is left to verify."""
+    r = random.Random(7)
+    sets = [{*r.sample(range(90), r.randint(0, 25)), *r.sample(range(90, 400), r.randint(1, 12))} for _ in range(300)]
+    sizes = np.array([len(s) for s in sets])
+    looked = []
+
+    class Index(near_blocks._Index):
+        def near(self, words, bits, size, threshold):
+            found = super().near(words, bits, size, threshold)
+            looked.append(found)
+            return found
+
+    ranks = np.concatenate([np.array([*s], np.int64) for s in sets])
+    whole, near_blocks._Index = near_blocks._Index, Index
+    try:
+        near_blocks.forest(np.arange(300), np.arange(300), sizes >= 0, sizes >= 0, sizes, ranks, 0.2)
+    finally:
+        near_blocks._Index = whole
+    order = np.argsort(sizes, kind="stable")
+    assert len(looked) == 300
+    for x, (y, same) in zip(order.tolist(), looked, strict=True):
+        assert [len(sets[x] & sets[k]) for k in y.tolist()] == same.tolist()
+        assert {*y.tolist()} == {k for k in range(300) if 5 * len(sets[x] & sets[k]) >= len(sets[x] | sets[k])}
+
+
+def test_words_that_one_set_has_do_not_travel(spark):
+    """They can't be shared, but they count in a set's size."""
+    sets = spark.createDataFrame([(1, ["a", "b", "x1"]), (2, ["a", "b", "x2"]), (3, ["b", "x3"]), (4, ["x4"])], "id long, words array<string>")
+    got = {x.id: (x.size, len(x.ranks)) for x in near_blocks._numbered(sets).collect()}
+    assert got == {1: (3, 2), 2: (3, 2), 3: (2, 1)}
+    assert {(x.a, x.b) for x in near_blocks.block_links(sets, 0.3).collect()} == {(2, 1)}
